@@ -34,6 +34,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 2).drop("ids")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.decontaminate import digest, find_leaks
+
+    return digest(find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
