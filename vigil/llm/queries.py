@@ -40,6 +40,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.sharding import assign_shards
+
+    return assign_shards(_table(spark, sf_dir, "documents"), 8)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.quality import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
