@@ -130,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     demand = {r["_class"]: r["count"] for r in pieces.groupBy("_class").count().collect()}
     runs: dict[int, list[tuple[int, int, int, int]]] = {}  # class: (rank from, sequence from, pieces a sequence, slot from)
     used, sequences = dict.fromkeys(demand, 0), 0
-    for pattern, times in cutting_stock(demand):
+    for pattern, times in cutting_stock(demand, capacity // unit):
         n, slot = int(times + 1e-6), 0
         n = min([n, *((demand[c] - used[c]) // k for c, k in pattern.items())])
         if n:
