@@ -6,6 +6,9 @@ Layout of a folder, one set of files for each shard (shards and the documents in
   shard-00000.doc   n little-endian 64-bit doc_ids, then n bytes that are 1 where the doc_id is null
 The manifest (a small table) has each shard's documents and ids; exclusive prefix sums of them are the shards' bases.
 
+Shards are ranges of doc_id between approximate quantiles, chosen before anything is encoded, so that encoded documents
+are shuffled once and never kept elsewhere.
+
 Every document ends with end_id. Null text counts as empty. Null doc_ids come first; rows with equal doc_id are
 ordered by their ids, so results don't depend on the order of the input. Other columns are ignored. A retried task
 writes under a name of its own and renames at the end, so a lost executor leaves no half-written shard.
@@ -24,27 +27,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.bpe import encoder
-from vigil.llm.common import materialise, shared_dir
+from vigil.llm.common import shared_dir
 
 #: Bytes of ids that a shard should have.
 SHARD_BYTES = 64 << 20
-#: Ids that a task holds before it writes them out.
-_FLUSH = 4 << 20
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian binary, with the end id) of each document."""
+def shard_bounds(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """Upper doc_ids of all shards but the last; a shard has about shard_bytes of ids, at two bytes for three of text."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * (size or 0) // (3 * shard_bytes)))
+    if not n:
+        return []
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)] or [1.0], 50 * shards)).first()[0]
+    return sorted(set(cuts or []))
+
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
+    """doc_id, shard, ids (little-endian binary, with the end id) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = int(end_id).to_bytes(enc.width, "little")
+        upper = np.array(bounds, dtype=np.int64)
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
+                shard = np.searchsorted(upper, np.asarray(part.column(0).fill_null(-(1 << 63)))).astype(np.int32)
                 ids = pa.array([enc.encode(t.as_py()) + end for t in part.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shard), ids], ["doc_id", "shard", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shard int, ids binary")
 
 
 def _fs(uri: str):
@@ -53,40 +66,58 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write(encoded: DataFrame, width: int, folder: str, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, int, int]]:
-    """Write encoded documents; the manifest as (shard, documents, ids) in order."""
+class _ShardWriter:
+    """The three files of one shard, under a name of its own until close()."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def __init__(self, files, top: str, shard: int, width: int):
+        self.files, self.top, self.shard, self.width = files, top, shard, width
+        self.name = f"{top}/.{uuid.uuid4().hex}"
+        self.out = files.open_output_stream(f"{self.name}.ids")
+        self.at, self.offsets, self.ids, self.nulls = 0, [np.zeros(1, "<i8")], [], []
 
-        shard = TaskContext.get().partitionId()
-        files, top = _fs(folder)
-        files.create_dir(top, recursive=True)
-        mine = f"{top}/.{uuid.uuid4().hex}"
-        offsets, ids, nulls, at = [np.zeros(1, "<i8")], [], [], 0
-        with files.open_output_stream(f"{mine}.ids") as out:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                col = b.column(1)
-                off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-                out.write(col.buffers()[2].slice(int(off[0]), int(off[-1] - off[0])))
-                offsets.append((at + (off[1:] - off[0]) // width).astype("<i8"))
-                at = int(offsets[-1][-1])
-                ids.append(np.asarray(b.column(0).fill_null(0)).astype("<i8"))
-                nulls.append(np.asarray(b.column(0).is_null()).astype(np.uint8))
-        n = sum(map(len, ids))
-        for end, parts in (("off", offsets), ("doc", ids + nulls)):
-            with files.open_output_stream(f"{mine}.{end}") as out:
+    def add(self, docs: pa.Array, ids: pa.Array) -> None:
+        off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+        self.out.write(ids.buffers()[2].slice(int(off[0]), int(off[-1] - off[0])))
+        self.offsets.append((self.at + (off[1:] - off[0]) // self.width).astype("<i8"))
+        self.at = int(self.offsets[-1][-1])
+        self.ids.append(np.asarray(docs.fill_null(0)).astype("<i8"))
+        self.nulls.append(np.asarray(docs.is_null()).astype(np.uint8))
+
+    def close(self) -> tuple[int, int, int]:
+        self.out.close()
+        for end, parts in (("off", self.offsets), ("doc", self.ids + self.nulls)):
+            with self.files.open_output_stream(f"{self.name}.{end}") as out:
                 for p in parts:
                     out.write(p.tobytes())
         for end in ("ids", "off", "doc"):
-            files.move(f"{mine}.{end}", f"{top}/shard-{shard:05d}.{end}")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([n], pa.int64()), "ids": pa.array([at], pa.int64())})
+            self.files.move(f"{self.name}.{end}", f"{self.top}/shard-{self.shard:05d}.{end}")
+        return self.shard, sum(map(len, self.ids)), self.at
 
-    size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    shards = max(encoded.sparkSession.sparkContext.defaultParallelism, -(-size // shard_bytes))
-    ordered = encoded.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+
+def write(encoded: DataFrame, shards: int, width: int, folder: str) -> list[tuple[int, int, int]]:
+    """Write encoded documents; the manifest as (shard, documents, ids) in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = _fs(folder)
+        files.create_dir(top, recursive=True)
+        writer, done = None, []
+        for b in batches:
+            shard = np.asarray(b.column(1))
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i == j:
+                    continue
+                if writer is None or writer.shard != shard[i]:
+                    if writer:
+                        done.append(writer.close())
+                    writer = _ShardWriter(files, top, int(shard[i]), width)
+                writer.add(b.column(0).slice(i, j - i), b.column(2).slice(i, j - i))
+        if writer:
+            done.append(writer.close())
+        s, n, ids = zip(*done, strict=True) if done else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["shard", "docs", "ids"])
+
+    ordered = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     return sorted(tuple(r) for r in ordered.mapInArrow(run, "shard int, docs long, ids long").collect())
 
 
@@ -143,5 +174,6 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens"
     width = encoder(tokenizer).width
-    manifest = write(materialise(encode(docs, tokenizer, end_id)), width, folder)
+    bounds = shard_bounds(docs)
+    manifest = write(encode(docs, tokenizer, end_id, bounds), len(bounds) + 1, width, folder)
     return read(spark, folder, width, manifest)
