@@ -40,6 +40,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.toxicity import fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return fit(docs, _table(spark, sf_dir, "labels")).score(docs)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.packing import pack_documents
 
