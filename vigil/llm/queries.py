@@ -53,6 +53,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.minhash import digest, near_duplicates
+
+    return digest(near_duplicates(_table(spark, sf_dir, "documents"), 3, 85))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.sharding import assign_shards
 
