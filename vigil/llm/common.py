@@ -143,3 +143,28 @@ def blocks(column: pa.Array, kind: str, lower: bool, size: int = BLOCK_BYTES) ->
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+#: Bits of the filter that keeps rows which aren't wanted out of a shuffle, as a power of two.
+_FILTER_BITS = 22
+
+
+def may_hold(rows: DataFrame, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """rows (with k2) without most of those whose key isn't in wanted: a broadcast bitmap of fixed size, no false loss.
+
+    others: the rows that this leaves out instead.
+    """
+    bits = wanted.select(F.shiftrightunsigned(F.col("k2"), 64 - _FILTER_BITS).alias("b")).select(F.shiftright("b", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v"))
+    bitmap = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
+    for r in bits.groupBy("w").agg(F.bit_or("v").alias("v")).toLocalIterator():
+        bitmap[r.w] = r.v
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    k2 = rows.columns.index("k2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            h = np.asarray(b.column(k2)).view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
+            yield b.filter(pa.array(((known[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)).astype(np.int64)) & 1 == 1) ^ others))
+
+    return rows.mapInArrow(run, rows.schema)

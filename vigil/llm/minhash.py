@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import blocks, materialise, mix, row_key, signed
+from vigil.llm.common import blocks, materialise, may_hold, mix, row_key, signed
 from vigil.llm.graph import components
 
 K = 32
@@ -143,28 +143,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return materialise(texts.select("set_key", "text").mapInArrow(run, "set_key binary, shingles array<long>"))
 
 
-#: Bits of the filter that keeps rows which aren't wanted out of a shuffle, as a power of two.
-_FILTER_BITS = 22
-
-
-def may_hold(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows (with k2) without most of those whose key isn't in wanted: a broadcast bitmap of fixed size, no false loss."""
-    bits = wanted.select(F.shiftrightunsigned(F.col("k2"), 64 - _FILTER_BITS).alias("b")).select(F.shiftright("b", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v"))
-    bitmap = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    for r in bits.groupBy("w").agg(F.bit_or("v").alias("v")).toLocalIterator():
-        bitmap[r.w] = r.v
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    k2 = rows.columns.index("k2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for b in batches:
-            h = np.asarray(b.column(k2)).view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
-            yield b.filter(pa.array((known[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)).astype(np.int64)) & 1 == 1))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def _similar(a: str, b: str, percent: int):
     inter, union = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
     return (100 + percent) * inter >= percent * union
@@ -303,7 +281,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """docs with one row of each group: that of the least doc_id (of rows that share it, the one of the least key)."""
     found = near_duplicates(docs, words, percent)
     alone = found.where("n_shingles = 0").select("k1", "k2")
-    group = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("of")).select("of.k1", "of.k2")
+    group = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct((F.col("k1") == -(1 << 62)).alias("no_id"), "k1", "k2")).alias("of")).select("of.k1", "of.k2")
     stay = group.union(alone).distinct().select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     k1, k2 = row_key()
     kept = docs.withColumns({"_k1": k1, "_k2": k2}).join(stay, ["_k1", "_k2"], "left_semi")

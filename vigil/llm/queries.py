@@ -59,6 +59,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(near_duplicates(_table(spark, sf_dir, "documents"), 3, 85))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.substring import digest
+
+    return digest(_table(spark, sf_dir, "documents"), 35)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.sharding import assign_shards
 
