@@ -53,6 +53,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 2)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.hmm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.minhash import digest, near_duplicates
 

@@ -225,18 +225,18 @@ class ToxicityModel:
         scored = _with_features(rows, self.terms).withColumn("score", 1 / (1 + F.exp(-z)))
         return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def is_toxic(self):
-        """A function of batches (doc text in the first column) to booleans, for filters that keep other columns."""
-        terms, weights = self.terms, self.weights
-
-        def run(series_batches):
-            import pandas as pd
+    def drop_toxic(self, docs: DataFrame) -> DataFrame:
+        """docs, all columns, without the rows that score 0.5 or more."""
+        shared, text = docs.sparkSession.sparkContext.broadcast((self.terms, self.weights)), docs.columns.index("text")
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, w = shared.value
             m = Matcher(Lexicon(terms))
-            for s in series_batches:
-                yield pd.Series([bool(np.dot(m.features(t), weights[:-1]) + weights[-1] >= 0) for t in s], dtype=bool)
+            for b in batches:
+                x = np.array([m.features(t.as_py()) for t in b.column(text)]).reshape(-1, FEATURES)
+                yield b.filter(pa.array(x @ w[:-1] + w[-1] < 0))
 
-        return run
+        return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
