@@ -2,14 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None
+from vigil.llm.common import materialise
+from vigil.llm.decontaminate import remove_leaks
+from vigil.llm.minhash import drop_near_duplicates
+from vigil.llm.packing import pack_documents
+from vigil.llm.substring import drop_repeats
+from vigil.llm.toxicity import fit
+from vigil.session import ship
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score as toxic."""
+    ship(spark)
+    return fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop_toxic(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, a similarity of 0.8 or more)."""
+    ship(spark)
+    return drop_near_duplicates(docs, 5, 80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 35 words or more that occur more than once."""
+    ship(spark)
+    return drop_repeats(docs, 35)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without contaminated documents, and the others without the benchmark's passages."""
+    ship(spark)
+    return remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 13)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4,096 tokens."""
+    ship(spark)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]
+ORACLE_SQL = None  # tokenizers and trained models are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs)
     return docs
