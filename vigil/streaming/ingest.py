@@ -123,6 +123,6 @@ def feed(rows: DataFrame, folder: str, rows_per_file: int = 500) -> int:
 
 
 def windowed_counts(stream: DataFrame, length: str = "1 day", watermark: str = WATERMARK) -> DataFrame:
-    """Extension: event-time windows over the deduplicated stream (counts and sums by window and source)."""
-    rows = typed(deduplicated(stream, watermark))
-    return rows.withWatermark("event_time", watermark).groupBy(F.window("event_time", length).alias("w"), "sourceNodeId").agg(F.count("*").alias("n"), F.sum("value").alias("amount"))
+    """Extension: counts and sums of valid rows by event-time window and source; any output mode."""
+    rows = typed(with_validity(stream).where("_is_valid")).withWatermark("event_time", watermark)
+    return rows.groupBy(F.window("event_time", length).alias("w"), "sourceNodeId").agg(F.count("*").alias("n"), F.sum("value").alias("amount"))
