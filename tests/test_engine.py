@@ -198,7 +198,7 @@ def test_table_store(spark, tmp_path):
 
 
 def test_runner(tmp_path):
-    assert runner.Environment("dev").table("gold", "x") == "aml_dev.gold.x"
+    assert runner.Environment("dev").table("gold", "x") == "risk_dev.gold.x"
     with pytest.raises(ValueError):
         runner.Environment("prod")
     assert runner.statements("-- note\nSELECT 1 FROM {catalog}.a;\n\nSELECT 2 FROM {{catalog}}.b;\n", {"catalog": "c"}) == ["SELECT 1 FROM c.a", "SELECT 2 FROM c.b"]

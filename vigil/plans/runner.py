@@ -13,8 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Environments and their catalogs.
-CATALOGS = {"dev": "aml_dev", "test": "aml_test", "prod_sim": "aml_prod_sim"}
+# Environments and their catalogs.
+CATALOGS = {"dev": "risk_dev", "test": "risk_test", "prod_sim": "risk_prod_sim"}
 LAYERS = ("bronze", "silver", "gold")
 
 
