@@ -10,7 +10,7 @@ at once) and return expected counts of transitions and emissions; these are summ
 next model. The first rounds look at one row in WARM of the training rows by hash, the last ones at all of them.
 
 Scoring. The scaled forward recursion runs over whole texts, so the class sequence's likelihood is exact. Word counts
-are exact as well: the FREQUENT most frequent words are broadcast, all others are joined by a shuffle.
+are exact as well: the most frequent words, at most FREQUENT, are broadcast, all others are joined by a shuffle.
 
 `base_score` is the unigram score with add-one smoothing: sum of log10((c + 1) / (N + V + 1)) over all tokens.
 
@@ -189,6 +189,18 @@ def train(rows: DataFrame, frequency: np.ndarray) -> HMM:
     return model
 
 
+def _least_count(counts: DataFrame) -> int:
+    """The least power of two such that at most FREQUENT words occur so often."""
+    by_size = counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("words")).orderBy(F.desc("k")).collect()
+    seen, least = 0, 1 << 62
+    for r in by_size:
+        seen += r.words
+        if seen > FREQUENT:
+            break
+        least = 1 << int(r.k)
+    return least
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     spark = docs.sparkSession
@@ -205,7 +217,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     mass = per_class.sum(axis=1) + 1
     model = train(training, mass / mass.sum())
 
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    top = counts.where(F.col("n") >= _least_count(counts)).collect()
     words = np.array([r.word for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
     known = words[order], np.array([r.n for r in top], np.int64)[order]
