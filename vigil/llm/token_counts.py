@@ -42,8 +42,10 @@ def load_ranks(path: str) -> dict[str, int]:
 
 class PrefixTrie:
     def __init__(self, ranks: dict[str, int], limit: int = TRIE_NODES):
-        self.score = {p: -math.log(r + 2) for p, r in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        # ends of pieces: the log probability of a piece, or 1.0 for what is only the end of some; so a search of the
+        # pieces that end at a place stops as soon as no piece ends that way
+        self.ends = {p[i:]: 1.0 for p in ranks for i in range(len(p))}
+        self.ends |= {p: -math.log(r + 2) for p, r in ranks.items()}
         self.limit = limit
         self._begin()
 
@@ -53,18 +55,26 @@ class PrefixTrie:
         self.count = [0]
         self.terminal: dict[str, tuple[int, float]] = {}
 
-    def _step(self, text: str, end: int, best: list[float], count: list[int]) -> tuple[float, int]:
-        """Forward score and count of text[:end], from those of its shorter prefixes."""
-        c = len(text[end - 1].encode())
-        top, n = best[end - 1] + _UNKNOWN * c, count[end - 1] + c
-        score = self.score
-        for begin in range(max(0, end - self.longest), end):
-            s = score.get(text[begin:end])
-            if s is not None:
-                s += best[begin]
-                if s > top or s == top and count[begin] + 1 < n:
-                    top, n = s, count[begin] + 1
-        return top, n
+    def _extend(self, text: str, best: list[float], count: list[int]) -> None:
+        """Forward scores and counts of all prefixes of text that are longer than those known, from the shorter ones."""
+        ends = self.ends.get
+        for end in range(len(best), len(text) + 1):
+            begin = end - 1
+            top, n = -math.inf, 0
+            s = ends(text[begin:end])
+            if s is None or s > 0:
+                n = len(text[begin].encode())
+                top = best[begin] + _UNKNOWN * n
+                n += count[begin]
+            while s is not None:
+                if s < 0:
+                    s += best[begin]
+                    if s > top or s == top and count[begin] < n:
+                        top, n = s, count[begin] + 1
+                begin -= 1
+                s = ends(text[begin:end]) if begin >= 0 else None
+            best.append(top)
+            count.append(n)
 
     def tokens(self, pretoken: str) -> tuple[int, float]:
         """(tokens, score) of the best segmentation."""
@@ -74,25 +84,25 @@ class PrefixTrie:
         text = MARK + pretoken
         best, count = [0.0], [0]
         if len(text) > LONGEST_SHARED:
-            for end in range(1, len(text) + 1):
-                top, n = self._step(text, end, best, count)
-                best.append(top)
-                count.append(n)
+            self._extend(text, best, count)
             return count[-1], best[-1]
         if len(self.best) > self.limit:
             self._begin()
         node, child = 0, self.child
-        for end in range(1, len(text) + 1):
-            key = (node, text[end - 1])
-            below = child.get(key)
+        for c in text:
+            below = child.get((node, c))
             if below is None:
-                top, n = self._step(text, end, best, count)
-                below = child[key] = len(self.best)
-                self.best.append(top)
-                self.count.append(n)
+                break
             node = below
             best.append(self.best[node])
             count.append(self.count[node])
+        shared = len(best)
+        self._extend(text, best, count)
+        for end in range(shared, len(best)):
+            below = child[node, text[end - 1]] = len(self.best)
+            self.best.append(best[end])
+            self.count.append(count[end])
+            node = below
         self.terminal[pretoken] = out = (count[-1], best[-1])
         return out
 
