@@ -227,16 +227,19 @@ class ToxicityModel:
 
     def drop_toxic(self, docs: DataFrame) -> DataFrame:
         """docs, all columns, without the rows that score 0.5 or more."""
-        shared, text = docs.sparkSession.sparkContext.broadcast((self.terms, self.weights)), docs.columns.index("text")
+        shared = docs.sparkSession.sparkContext.broadcast((self.terms, self.weights))
+        names = [f"`{c}`" for c in docs.columns]
+        rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in names]).alias("row"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms, w = shared.value
             m = Matcher(Lexicon(terms))
             for b in batches:
-                x = np.array([m.features(t.as_py()) for t in b.column(text)]).reshape(-1, FEATURES)
+                x = np.array([m.features(t.as_py()) for t in b.column(0)]).reshape(-1, FEATURES)
                 yield b.filter(pa.array(x @ w[:-1] + w[-1] < 0))
 
-        return docs.mapInArrow(run, docs.schema)
+        kept = rows.mapInArrow(run, rows.schema)
+        return kept.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
