@@ -4,7 +4,8 @@
    are one class (they are exact links); all further work is on class representatives.
 2. A pair at or above the similarity agrees in at least T of the K coordinates, but for odds of 1e-6 (T is the binomial
    tail's point). So it agrees in one of the first K - T + 1 coordinates (the prefix), and only those are posted: a
-   class under each of its prefix (coordinate, value) pairs. Lists of one member are skipped.
+   class under each of its prefix (coordinate, value) pairs. Lists of one member are skipped, and so are classes in
+   fewer lists than a pair at the threshold would share but for the same odds.
 3. Every class is compared with one centre, the member that leads most of its lists. Exact similarity on the full sets
    makes links; components of links merge classes, which settles most members of big groups.
 4. Only lists whose members are still of several components go on. They are merged in blocks of members (a list of any
@@ -40,14 +41,14 @@ _SET_SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 SIGNATURES = "k1 long, k2 long, n_shingles long, set_key binary, signature binary"
 
 
-def collisions_needed(percent: int, odds: float = 1e-6) -> int:
-    """The most coordinates T such that a pair of just that similarity has fewer with at most those odds."""
+def collisions_needed(percent: int, of: int = K, odds: float = 1e-6) -> int:
+    """The most T such that a pair of just that similarity agrees in fewer than T of so many coordinates with at most those odds."""
     p, tail = percent / 100, 0.0
-    for t in range(K + 1):
-        tail += comb(K, t) * p**t * (1 - p) ** (K - t)
+    for t in range(of + 1):
+        tail += comb(of, t) * p**t * (1 - p) ** (of - t)
         if tail > odds:
             return max(1, t)
-    return K
+    return of
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -227,6 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     posted = _postings(classes, prefix)
     lists = materialise(posted.groupBy("list").agg(F.count("*").alias("n"), F.min("set_key").alias("centre")).where("n > 1"))
     posted = materialise(posted.join(lists, "list"))
+    enough = posted.groupBy("set_key").agg(F.count("*").alias("shared")).where(F.col("shared") >= collisions_needed(percent, prefix)).select("set_key")
+    posted = materialise(posted.join(enough, "set_key", "left_semi"))
 
     star = posted.where("set_key <> centre").groupBy("set_key", "centre").agg(F.count("*").alias("votes"))
     star = star.groupBy("set_key").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre"))
