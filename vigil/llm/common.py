@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -149,22 +151,35 @@ def signed(h: np.ndarray) -> np.ndarray:
 _FILTER_BITS = 22
 
 
-def may_hold(rows: DataFrame, wanted: DataFrame, others: bool = False) -> DataFrame:
-    """rows (with k2) without most of those whose key isn't in wanted: a broadcast bitmap of fixed size, no false loss.
+def trim() -> None:
+    """Give freed memory back, so that an idle worker keeps little beside its imports."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-    others: the rows that this leaves out instead.
-    """
-    bits = wanted.select(F.shiftrightunsigned(F.col("k2"), 64 - _FILTER_BITS).alias("b")).select(F.shiftright("b", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v"))
-    bitmap = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    for r in bits.groupBy("w").agg(F.bit_or("v").alias("v")).toLocalIterator():
-        bitmap[r.w] = r.v
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    k2 = rows.columns.index("k2")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for b in batches:
-            h = np.asarray(b.column(k2)).view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
-            yield b.filter(pa.array(((known[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)).astype(np.int64)) & 1 == 1) ^ others))
+class KeyFilter:
+    """A bitmap of fixed size over row keys' hashes (k2): no key that is wanted is missed, and few others pass."""
 
-    return rows.mapInArrow(run, rows.schema)
+    def __init__(self, wanted: DataFrame):
+        bits = wanted.select(F.shiftrightunsigned(F.col("k2"), 64 - _FILTER_BITS).alias("b")).select(F.shiftright("b", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("v"))
+        bitmap = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
+        for r in bits.groupBy("w").agg(F.bit_or("v").alias("v")).toLocalIterator():
+            bitmap[r.w] = r.v
+        self.shared = wanted.sparkSession.sparkContext.broadcast(bitmap)
+
+    def test(self, k2: pa.Array) -> pa.Array:
+        """Which rows may be wanted; for use within tasks."""
+        h = np.asarray(k2).view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
+        return pa.array((self.shared.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)).astype(np.int64)) & 1 == 1)
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """rows (with k2) that may be wanted."""
+        at, test = rows.columns.index("k2"), self.test
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(test(b.column(at)))
+            trim()
+
+        return rows.mapInArrow(run, rows.schema)

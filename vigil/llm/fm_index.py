@@ -46,6 +46,9 @@ class FMIndex:
             self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))]).astype(np.int32))
             self.zeros.append(len(bit) - int(bit.sum()))
             bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
+        # of each symbol: its place among sorted suffixes, less that of its first occurrence in the last level
+        symbols = np.arange(sigma)
+        self.base = self.smaller[:-1] - self._place(symbols, np.zeros(sigma, np.int64))
 
     def _rank(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones of a level before each position."""
@@ -53,33 +56,60 @@ class FMIndex:
         below = self.bits[level][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
         return self.ones[level][word] + np.bitwise_count(below)
 
-    def occurrences(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol is in the transform before each position."""
-        begin = np.zeros(len(at), np.int64)
+    def _place(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the symbols before a position end up in the last level, if that symbol comes next."""
         for i, level in enumerate(reversed(range(self.levels))):
-            bit = (symbols >> level) & 1
-            ones_at, ones_begin = self._rank(i, at), self._rank(i, begin)
-            at = np.where(bit == 1, self.zeros[i] + ones_at, at - ones_at)
-            begin = np.where(bit == 1, self.zeros[i] + ones_begin, begin - ones_begin)
-        return at - begin
+            bit = (symbols >> level) & 1 == 1
+            ones = self._rank(i, at)
+            at = np.where(bit, self.zeros[i] + ones, at - ones)
+        return at
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges of the patterns with a symbol put before each."""
-        n = len(symbols)
-        both = self.occurrences(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
-        return self.smaller[symbols] + both[:n], self.smaller[symbols] + both[n:]
+        n, base = len(symbols), self.base[symbols]
+        both = self._place(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
+        return base + both[:n], base + both[n:]
 
-    def count(self, text: np.ndarray, starts: np.ndarray, length: int, least: int = 2) -> np.ndarray:
-        """Occurrences of the patterns text[s : s + length]; a search ends, with 0, once fewer than least are left."""
-        out = np.zeros(len(starts), np.int64)
-        alive = np.arange(len(starts))
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
-        for k in reversed(range(length)):
-            low, high = self.extend(text[starts[alive] + k], low, high)
-            keep = high - low >= least
-            if not keep.all():
-                alive, low, high = alive[keep], low[keep], high[keep]
-            if not len(alive):
-                return out
-        out[alive] = high - low
-        return out
+    def reach(self, text: np.ndarray, end: np.ndarray, floor: np.ndarray, least: int = 2) -> np.ndarray:
+        """The least s >= floor for which text[s : end + 1] occurs `least` times or more; end + 1 if there is none.
+
+        These are the matching statistics of the places `end`, by backward search.
+        """
+        begin, alive = end + 1, np.arange(len(end))
+        low, high = np.zeros(len(end), np.int64), np.full(len(end), self.size, np.int64)
+        while len(alive):
+            inside = begin[alive] > floor[alive]
+            alive, low, high = alive[inside], low[inside], high[inside]
+            low, high = self.extend(text[begin[alive] - 1], low, high)
+            more = high - low >= least
+            alive, low, high = alive[more], low[more], high[more]
+            begin[alive] -= 1
+        return begin
+
+    def repeated_windows(self, text: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+        """Bit masks: bit i of a segment text[begin : begin + length] says that its window i occurs twice or more.
+
+        From a segment's end, the longest repeated text is found; all windows in it are repeated, and the next end to
+        look at is that of the window that begins just before it. If it is shorter than a window, the word before it
+        is tried with a few of the following ones: windows that hold a unique text are skipped together.
+        """
+        mask = np.zeros(len(begin), np.int64)
+        todo = np.flatnonzero(length >= window)
+        end = begin + length - 1
+        while len(todo):
+            b, e = begin[todo], end[todo]
+            s = self.reach(text, e, b)
+            low, high = s - b, e - (window - 1) - b
+            some = high >= low
+            mask[todo[some]] |= (np.int64(1) << (high[some] + 1)) - (np.int64(1) << low[some])
+            after = np.minimum(e - 1, s + window - 2)
+            short = np.flatnonzero(~some & (s > b))
+            for m in (0, 1, 3):
+                short = short[s[short] - 1 + m < e[short]]
+                odd = s[short] - 1
+                unique = self.reach(text, odd + m, odd) > odd
+                after[short[unique]] = odd[unique] + m - 1
+                short = short[~unique]
+            end[todo] = after
+            todo = todo[after - (window - 1) >= b]
+        return mask

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import blocks, materialise, may_hold, mix, row_key, signed
+from vigil.llm.common import KeyFilter, blocks, materialise, mix, row_key, signed, trim
 from vigil.llm.graph import components
 
 K = 32
@@ -112,6 +112,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 part = b.slice(row, len(n))
                 row += len(n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), _binary(keys), _binary(minima)], ["k1", "k2", "n_shingles", "set_key", "signature"])
+        trim()
 
     return docs.select(*row_key(), F.col("text").cast("string")).mapInArrow(run, SIGNATURES)
 
@@ -139,8 +140,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 part = b.column(0).slice(row, len(at) - 1)
                 row += len(at) - 1
                 yield pa.RecordBatch.from_arrays([part, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(x)))], ["set_key", "shingles"])
+        trim()
 
-    texts = may_hold(docs.select(*row_key(), F.col("text").cast("string")), wanted).join(wanted, ["k1", "k2"]).dropDuplicates(["set_key"])
+    texts = KeyFilter(wanted).apply(docs.select(*row_key(), F.col("text").cast("string"))).join(wanted, ["k1", "k2"]).dropDuplicates(["set_key"])
     return materialise(texts.select("set_key", "text").mapInArrow(run, "set_key binary, shingles array<long>"))
 
 

@@ -6,8 +6,8 @@
 2. Segments of the other minimisers are grouped by minimiser and content (pre-aggregated): equal segments repeat as a
    whole. Only one of each kind goes on, and only where a minimiser has several kinds.
 3. Those segments are dealt by minimiser to shards. Each shard builds an FM-index (suffix array, Burrows-Wheeler
-   transform, wavelet tree) and streams its segments through it: backward search gives the matches of every window,
-   and a segment's windows with a second match are reported as a bit mask. A minimiser with a great many kinds of
+   transform, wavelet tree) and streams through it the segments that aren't known to repeat as a whole: backward search
+   gives their matching statistics, and windows within a stretch that occurs twice are reported as a bit mask. A minimiser with a great many kinds of
    segments is dealt window by window, by the window's own hash, so that no shard grows with one passage.
 4. Masks go back to all segments of their kind and, by document, to the texts; covered words are left out. Documents
    without any report don't take part in that shuffle (a fixed-size bitmap of keys keeps them out).
@@ -22,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import Words, blocks, materialise, may_hold, mix, row_key, signed
+from vigil.llm.common import KeyFilter, Words, blocks, materialise, mix, row_key, signed, trim
 from vigil.llm.decontaminate import window_hashes
 from vigil.llm.fm_index import FMIndex
 
 GRAM = 10
 #: Words of text in a shard's index.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 200_000
 #: Kinds of segments beyond which a minimiser's windows are dealt one by one.
 MANY_KINDS = 2_000
 
@@ -85,6 +86,7 @@ def _find_segments(docs: DataFrame, window: int) -> DataFrame:
                     [pa.array(k1[i + doc]), pa.array(k2[i + doc]), pa.array((at - w.docs[doc]).astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(signed(minimiser)), pa.array(signed(content))],
                     ["k1", "k2", "at", "n", "minimiser", "content"],
                 )
+        trim()
 
     return docs.mapInArrow(run, "k1 long, k2 long, at int, n short, minimiser long, content long")
 
@@ -103,16 +105,17 @@ def _extract(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
                         a = int(w.docs[d]) + s["at"]
                         if s["many"]:
                             own = signed(window_hashes(h[a : a + s["n"] + window - 1], window))
-                            out += [(s["minimiser"], s["content"], k, int(own[k]), h[a + k : a + k + window].tobytes()) for k in range(s["n"])]
+                            out += [(s["minimiser"], s["content"], k, int(own[k]), h[a + k : a + k + window].tobytes(), s["asked"]) for k in range(s["n"])]
                         else:
-                            out.append((s["minimiser"], s["content"], 0, s["minimiser"], h[a : a + s["n"] + window - 1].tobytes()))
+                            out.append((s["minimiser"], s["content"], 0, s["minimiser"], h[a : a + s["n"] + window - 1].tobytes(), s["asked"]))
                 for j in range(0, len(out), 20_000):
                     c = list(zip(*out[j : j + 20_000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary())], ["minimiser", "content", "of", "spread", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary()), pa.array(c[5])], ["minimiser", "content", "of", "spread", "words", "asked"])
+        trim()
 
-    by_doc = kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "minimiser", "content", "many")).alias("wanted"))
-    texts = may_hold(docs, kinds).dropDuplicates(["k1", "k2"]).join(by_doc, ["k1", "k2"]).select("text", "wanted")
-    return texts.mapInArrow(run, "minimiser long, content long, of int, spread long, words binary")
+    by_doc = kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "minimiser", "content", "many", "asked")).alias("wanted"))
+    texts = KeyFilter(kinds).apply(docs).dropDuplicates(["k1", "k2"]).join(by_doc, ["k1", "k2"]).select("text", "wanted")
+    return texts.mapInArrow(run, "minimiser long, content long, of int, spread long, words binary, asked boolean")
 
 
 def index_shard(table: pa.Table, window: int) -> pa.Table:
@@ -127,13 +130,12 @@ def index_shard(table: pa.Table, window: int) -> pa.Table:
     shift = np.repeat(np.arange(len(lengths)), lengths)
     text[np.arange(len(h)) + shift] = codes
     begins = begins + np.arange(len(lengths))
-    n = lengths - window + 1
-    segment = np.repeat(np.arange(len(n)), n)
-    within = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-    twice = FMIndex(text, window).count(text, begins[segment] + within, window) >= 2
-    mask = np.zeros(len(n), np.int64)
-    np.bitwise_or.at(mask, segment[twice], np.int64(1) << (within[twice] + np.asarray(table.column("of"))[segment[twice]]).astype(np.int64))
+    asked = np.flatnonzero(np.asarray(table.column("asked")))
+    mask = np.zeros(len(lengths), np.int64)
+    mask[asked] = FMIndex(text, int(lengths.max(initial=1))).repeated_windows(text, begins[asked], lengths[asked], window) << np.asarray(table.column("of"))[asked]
     some = mask != 0
+    del text, codes, h, raw
+    trim()
     return pa.table({"minimiser": table.column("minimiser").filter(pa.array(some)), "content": table.column("content").filter(pa.array(some)), "mask": pa.array(mask[some])})
 
 
@@ -148,7 +150,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     kinds = found.groupBy("minimiser", "content", "n").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "at")).alias("where"))
     kinds = materialise(kinds.select("minimiser", "content", "n", "times", "where.*"))
     several = kinds.groupBy("minimiser").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = materialise(kinds.join(several, "minimiser").withColumn("many", F.col("kinds") > MANY_KINDS))
+    several = materialise(kinds.join(several, "minimiser").withColumns({"many": F.col("kinds") > MANY_KINDS, "asked": F.col("times") == 1}))
     words = several.agg(F.sum(F.when(F.col("many"), F.col("n") * window).otherwise(F.col("n") + window))).first()[0] or 0
     shards = 1 + words // SHARD_WORDS
     dealt = _extract(docs, several, window).withColumn("shard", F.pmod(F.xxhash64("spread"), F.lit(shards)))
@@ -197,15 +199,20 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     schema = T.StructType([T.StructField("row", wide.schema["row"].dataType), *extra])
 
+    known = KeyFilter(places)
+    may_be_touched = known.test
+
     def run(with_places: bool):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, n, gone, kept in _strip(batches, 0, 2 if with_places else None, window):
+            rows = batches if with_places else (b.filter(pc.invert(may_be_touched(b.column(2)))) for b in batches)
+            for b, n, gone, kept in _strip(rows, 0, 2 if with_places else None, window):
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n), pa.array(gone), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept_text"])
+            trim()
 
         return go
 
-    touched = may_hold(wide, places).join(places, ["k1", "k2"], "left").select("text", "row", "places").mapInArrow(run(True), schema)
-    untouched = may_hold(wide, places, others=True).select("text", "row").mapInArrow(run(False), schema)
+    touched = known.apply(wide).join(places, ["k1", "k2"], "left").select("text", "row", "places").mapInArrow(run(True), schema)
+    untouched = wide.select("text", "row", "k2").mapInArrow(run(False), schema)
     out = touched.unionByName(untouched)
     return out.select("row", "n_words", "n_removed", "kept_text")
 
