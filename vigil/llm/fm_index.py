@@ -19,7 +19,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     while True:
         key = rank * (n + 2)
         key[: n + 1 - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get equal ranks, so their order is free
         sorted_key = key[order]
         new = np.zeros(n + 1, np.int64)
         new[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
