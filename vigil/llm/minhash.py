@@ -221,7 +221,7 @@ def _links(pairs: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """k1, k2, doc_id, n_shingles, component_id of each row; percent: the least similarity of linked sets."""
+    """k1, k2, root (null without shingles), doc_id, n_shingles, component_id of each row; percent: the least similarity of linked sets."""
     need = collisions_needed(percent)
     prefix = K - need + 1
     rows = materialise(signatures(docs, words))
@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     least = named.where("n_shingles > 0").groupBy("root").agg(F.min(doc_id).alias("component_id"))
     out = named.join(least, "root", "left")
     own = F.when(F.col("n_shingles") == 0, doc_id).otherwise(F.col("component_id"))
-    return out.select("k1", "k2", doc_id.alias("doc_id"), "n_shingles", own.alias("component_id"))
+    root = F.when(F.col("n_shingles") > 0, F.col("root"))
+    return out.select("k1", "k2", root.alias("root"), doc_id.alias("doc_id"), "n_shingles", own.alias("component_id"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -286,7 +287,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """docs with one row of each group: that of the least doc_id (of rows that share it, the one of the least key)."""
     found = near_duplicates(docs, words, percent)
     alone = found.where("n_shingles = 0").select("k1", "k2")
-    group = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct((F.col("k1") == -(1 << 62)).alias("no_id"), "k1", "k2")).alias("of")).select("of.k1", "of.k2")
+    group = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct((F.col("k1") == -(1 << 62)).alias("no_id"), "k1", "k2")).alias("of")).select("of.k1", "of.k2")
     stay = group.union(alone).distinct().select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     k1, k2 = row_key()
     kept = docs.withColumns({"_k1": k1, "_k2": k2}).join(stay, ["_k1", "_k2"], "left_semi")
