@@ -87,6 +87,19 @@ def test_better_than_the_base_on_held_out_rows(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_every_round_sees_all_training_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, f"a{d} b c") for d in range(20)], "doc_id long, text string")
+    seen, real = [], hmm._round
+
+    def spy(sequences, model, frequency):
+        seen.append(sequences.count())
+        return real(sequences, model, frequency)
+
+    monkeypatch.setattr(hmm, "_round", spy)
+    score_texts(docs).count()
+    assert len(seen) == 10 and set(seen) == {sum(zlib.crc32(str(d).encode()) % 7 != 2 for d in range(20))}
+
+
 def test_nothing_to_learn_from(spark):
     assert score_texts(empty(spark)).count() == 0
     only = spark.createDataFrame([(d, "a b") for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2], "doc_id long, text string")

@@ -7,7 +7,7 @@ with c the word's count in training texts, C the tokens and V the distinct words
 
 Training. Each round, tasks run scaled forward and backward passes over their rows (in segments of SEGMENT tokens, many
 at once) and return expected counts of transitions and emissions; these are summed over all partitions and make the
-next model. The first rounds look at one row in WARM of the training rows by hash, the last ones at all of them.
+next model. Every one of the ROUNDS rounds looks at all training rows.
 
 Scoring. The scaled forward recursion runs over whole texts, so the class sequence's likelihood is exact. Word counts
 are exact as well: the most frequent words, at most FREQUENT, are broadcast, all others are joined by a shuffle.
@@ -34,7 +34,7 @@ STATES = 6
 CLASSES = 8192
 SEGMENT = 64
 FREQUENT = 1 << 17
-WARM, WARM_ROUNDS, FULL_ROUNDS = 16, 8, 2
+ROUNDS = 10
 END = np.uint64(0x0123456789ABCDEF)
 _COUNT_SCHEMA = "word long, n long"
 #: Distinct words that a task counts before it hands them on.
@@ -88,10 +88,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, j, w in blocks(b.column(1), "space", True):
+        for _, _, w in blocks(b.column(0), "space", True):
             t, at = tokens_of(w)
             raw = classes_of(t).tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([raw[2 * x : 2 * y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["warm", "classes"])
+            yield pa.RecordBatch.from_arrays([pa.array([raw[2 * x : 2 * y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["classes"])
 
 
 class HMM:
@@ -180,12 +180,11 @@ def _round(sequences: DataFrame, model: HMM, frequency: np.ndarray) -> HMM:
 
 
 def train(rows: DataFrame, frequency: np.ndarray) -> HMM:
-    """rows: doc_id, text of training documents; frequency: a smoothed distribution of classes."""
-    sequences = materialise(rows.select((F.pmod(F.xxhash64("doc_id", "text"), F.lit(WARM)) == 0).alias("warm"), "text").mapInArrow(_sequences, "warm boolean, classes binary"))
+    """rows: text of training documents; frequency: a smoothed distribution of classes."""
+    sequences = materialise(rows.select("text").mapInArrow(_sequences, "classes binary"))
     model = HMM.initial(frequency)
-    warm = sequences.where("warm")
-    for i in range(WARM_ROUNDS + FULL_ROUNDS):
-        model = _round(warm if i < WARM_ROUNDS else sequences, model, frequency)
+    for _ in range(ROUNDS):
+        model = _round(sequences, model, frequency)
     return model
 
 
