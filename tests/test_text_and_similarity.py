@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigil.functions import similarity as sim
 from vigil.functions import text
 from vigil.functions.clock import ANCHOR_EPOCH, step_to_datetime, step_to_time
+from vigil.plans.catalogue import QUERIES
 
 
 @pytest.mark.parametrize(("raw", "want"), [("  John   Smith  ", "JOHN SMITH"), ("O'Brien, Patrick", "O BRIEN PATRICK"), ("José Núñez", "JOSE NUNEZ"), ("", ""), (None, ""), ("-0-", "0"), ("a_b", "A_B")])
@@ -54,6 +55,27 @@ def test_known_scores(a, b, want):
     assert sim.score(a, b) == pytest.approx(want, abs=0.006)
 
 
+def plain_levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_top_matches_of_the_whole_list(spark):
+    sf = "/root/testdata/sf0.01"
+    names = sorted({r.p_name.upper() for r in spark.read.parquet(f"{sf}/part.parquet").select("p_name").distinct().collect()})
+    want = []
+    for a in names:
+        scores = sorted((-round(100 - 100 * plain_levenshtein(a, b) / max(len(a), len(b)), 4), b) for b in names)
+        want += [(a, b, -s, k) for k, (s, b) in enumerate(scores[:5], 1) if -s >= 50]
+    got = sorted(tuple(r) for r in QUERIES["match_top_n_whole"](spark, sf).select("candidate_id", "entity_id", "match_score", "match_rank").collect())
+    assert got == sorted(want)
+    assert sum(a[0] != b[0] for a, b, _, _ in got) > 0
+
+
 def plain_lcs(a: str, b: str) -> int:
     row = [0] * (len(b) + 1)
     for x in a:

@@ -30,6 +30,11 @@ def block_key(text: Column) -> Column:
     return F.substring(text, 1, 1)
 
 
+def whole_list(text: Column) -> Column:
+    """One block for all names, which the salts alone deal out: every name meets the entire list."""
+    return F.lit("")
+
+
 def may_reach(a: Column, b: Column, floor: float) -> Column:
     """Whether lengths alone allow a pair the floor (exact: only hopeless pairs fail)."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))

@@ -362,6 +362,17 @@ def match_top_n(spark, d):
     return matching.top_matches(pairs.select(F.col("a").alias("candidate_id"), F.col("b").alias("entity_id"), F.col("score").alias("match_score")))
 
 
+_LEV_WHOLE = o.with_(_NAMES, "u AS (SELECT DISTINCT upper(name) AS x FROM n)", "s AS (SELECT a.x AS a, b.x AS b, round(100 - 100 * levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 4) AS score FROM u a CROSS JOIN u b)", select="{}")
+
+
+@query(_LEV_WHOLE.format("SELECT a AS candidate_id, b AS entity_id, score AS match_score, CAST(k AS INTEGER) AS match_rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= 50) x WHERE k <= 5"))
+def match_top_n_whole(spark, d):
+    """match_top_n without blocks: every name is ranked against the entire list."""
+    names = _watchlist(spark, d).select(text.ascii_name(F.col("name")).alias("text"))
+    pairs = matching.similar_names(names, names, 50.0, salts=32, key=matching.whole_list, scorer=_levenshtein)
+    return matching.top_matches(pairs.select(F.col("a").alias("candidate_id"), F.col("b").alias("entity_id"), F.col("score").alias("match_score")))
+
+
 def _people(spark, d):
     w = _watchlist(spark, d)
     return identity.assign(t.accounts(spark, d), w, 0.10), w
