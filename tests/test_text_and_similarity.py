@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -23,6 +24,21 @@ def column(spark, f, values):
     return [r.x for r in df.select("i", f(F.col("v")).alias("x")).orderBy("i").collect()]
 
 
+def plain_name(raw: str | None) -> str:
+    out = []
+    for c in unicodedata.normalize("NFKD", raw or ""):
+        if not unicodedata.combining(c):
+            out.append(c if c.isalnum() or c == "_" else " ")
+    return " ".join("".join(out).split()).upper()
+
+
+def test_whole_texts_of_all_rows(spark, tmp_path):
+    texts = ["Straße ÆØ þórr \"No. 7\"", "José " * 30 + "€ 12-34", "日本 x²", "a_b 'c'", "x" * 100, "", None, "plain words only"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.name for r in QUERIES["text_normalize_name_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain_name(x) for i, x in enumerate(texts)}
+
+
 def test_column_forms(spark):
     assert column(spark, text.normalized_name, ["José  Núñez", None, "-0-"]) == ["JOSE NUNEZ", "", "0"]
     assert column(spark, text.strip_legal_suffixes, ["ACME TRADING LLC", "GLOBEX CORP", "BANCO NACIONAL DE CUBA", "A CO. LTD"]) == ["ACME TRADING", "GLOBEX", "BANCO NACIONAL DE CUBA", "A"]

@@ -409,6 +409,12 @@ def text_normalize_name(spark, d):
     return plain.select("doc_id", text.normalized_name(F.col("s")).alias("name"))
 
 
+@query()
+def text_normalize_name_whole(spark, d):
+    """text_normalize_name of every row's whole text; no SQL says Unicode's decomposition and word letters alike."""
+    return t.table(spark, d, "documents").select("doc_id", text.normalized_name(F.col("text")).alias("name"))
+
+
 @query("SELECT s_suppkey, upper(s_name) AS core FROM supplier")
 def text_strip_suffix(spark, d):
     s = t.table(spark, d, "supplier")
