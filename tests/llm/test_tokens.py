@@ -1,15 +1,19 @@
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
 from tests.llm.fixtures import awkward, empty, pairs, rows_of
+from vigil.llm.bpe import Encoder
 from vigil.llm.decontaminate import digest, find_leaks, remove_leaks
 from vigil.llm.token_counts import MARK, PrefixTrie, load_ranks, token_counts
-from vigil.llm.token_files import token_files
+from vigil.llm.token_files import encode, read, shard_bounds, token_files, write
 
 DIGEST2 = ["doc_id", "start", "n_tokens", "ids_crc32"]
 DIGEST3 = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -35,6 +39,32 @@ def test_token_files_of_the_table(spark, sf):
     assert rows_of(token_files(docs, path, 2), *DIGEST2) == sorted(brute.token_files(pairs(docs), path), key=repr)
 
 
+def test_token_files_of_one_hot_id(spark, tmp_path):
+    """An id with most of the rows, many of them equal, is parted; rows stay whole and in order."""
+    rows = [(7, f"text {i % 3} " * (40 if i % 3 else 1)) for i in range(600)] + [(i, "x " * 30) for i in range(200)] + [(None, "n")] * 5 + [(9, "long " * 9000)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), P.path("byte_bpe_50k.json")
+    upper, _ = shard_bounds(docs, 4000)
+    assert upper.count(7) > 3 and upper == sorted(upper)
+    bounds = shard_bounds(docs, 4000)
+    manifest = write(encode(docs, path, 2, bounds), len(bounds[0]) + 1, 2, f"file://{tmp_path}/t")
+    got = sorted(read(spark, f"file://{tmp_path}/t", 2, manifest).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.n_tokens) for r in got if r.doc_id != 7] == [(d, n) for d, _, n, _ in brute.token_files(pairs(docs), path) if d != 7]
+    assert sum(r.doc_id == 7 for r in got) == 601 and sum(s > 3 for s, _, _ in manifest) > 3
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+
+
+def test_encoder_on_awkward_texts():
+    """Columns of texts against the library, text by text."""
+    rng = random.Random(3)
+    bits = ["a", "B", "é", "  ", " ", "\n", "\n\n", "\t", ".", ",", "'s", "1", "23", " ", "\u0301", "ß", "İ", "ς", "日", "\x01", "<|endoftext|>", "<|", "x\ty", "\r\n", "!!", "***", "ɐ", "\x85"]
+    texts = [None, "", " ", "\n", *("".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(3000))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = Encoder(P.path(name))
+        for i, _, ids, at in enc.blocks(pa.array(texts), 500):
+            for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                assert ids[x:y].tolist() == enc.tok.encode(texts[i + k] or "", add_special_tokens=False).ids
+
+
 def test_token_files_empty(spark):
     assert token_files(empty(spark), P.path("byte_bpe_50k.json"), 2).count() == 0
 

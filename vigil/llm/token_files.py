@@ -6,11 +6,12 @@ Layout of a folder, one set of files for each shard (shards and the documents in
   shard-00000.doc   n little-endian 64-bit doc_ids, then n bytes that are 1 where the doc_id is null
 The manifest (a small table) has each shard's documents and ids; exclusive prefix sums of them are the shards' bases.
 
-Shards are ranges of doc_id between approximate quantiles, chosen before anything is encoded, so that encoded documents
-are shuffled once and never kept elsewhere.
+Shards are ranges of doc_id of about equal bytes, chosen before anything is encoded, so that encoded documents are
+shuffled once, each shard to a task of its own, and never kept elsewhere. A doc_id with more rows than a shard should
+have is parted by a hash of the text and the row's place.
 
 Every document ends with end_id. Null text counts as empty. Null doc_ids come first; rows with equal doc_id are
-ordered by their ids, so results don't depend on the order of the input. Other columns are ignored. A retried task
+ordered by a hash of their texts, so results don't depend on the order of the input. Other columns are ignored. A retried task
 writes under a name of its own and renames at the end, so a lost executor leaves no half-written shard.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -31,33 +33,89 @@ from vigil.llm.common import shared_dir
 
 #: Bytes of ids that a shard should have.
 SHARD_BYTES = 64 << 20
+_NULL, _LAST = -(1 << 63), (1 << 63) - 1
 
 
-def shard_bounds(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
-    """Upper doc_ids of all shards but the last; a shard has about shard_bytes of ids, at two bytes for three of text."""
-    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
-    shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * (size or 0) // (3 * shard_bytes)))
-    if not n:
-        return []
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)] or [1.0], 50 * shards)).first()[0]
-    return sorted(set(cuts or []))
+#: Ranges of doc_id, for each shard, whose bytes are added up before they are made into shards.
+_FINE = 8
+
+
+def _tie():
+    """Parts the rows of a doc_id: by text first, then by place, so that equal rows stay together but can be split."""
+    return F.xxhash64("text").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 32))
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """doc_id, shard, ids (little-endian binary, with the end id) of each document."""
+def shard_bounds(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[list[int], list[int]]:
+    """Upper (doc_id, tie) of all shards but the last; a shard has about shard_bytes of ids, at two bytes for three of text.
+
+    Fine ranges of doc_id come from approximate quantiles; their bytes are added up, and whole ranges make up a shard.
+    A doc_id that fills several ranges is parted by quantiles of the tie.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.octet_length("text").alias("size"), _tie().alias("tie"))
+    n, size = rows.agg(F.count("*"), F.sum("size")).first()
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * (size or 0) // (3 * shard_bytes)))
+    if not n or shards < 2:
+        return [], []
+    fine = _FINE * shards
+    cuts = rows.agg(F.percentile_approx("doc", [i / fine for i in range(1, fine)], 20 * fine)).first()[0]
+    times = Counter(cuts)
+    upper = sorted(times)
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(upper))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value) + 1)
+        for b in batches:
+            total += np.bincount(np.searchsorted(shared.value, np.asarray(b.column(0))), np.asarray(b.column(1).fill_null(0)) + 1.0, len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["at", "bytes"])
+
+    sums = rows.select("doc", "size").mapInArrow(place, "at long, bytes long").groupBy("at").agg(F.sum("bytes").alias("bytes"))
+    sizes = {r.at: r.bytes for r in sums.collect()}
+    most = sum(sizes.values()) / shards
+    hot = {d: max(2, round(sizes.get(i, 0) / most)) for i, d in enumerate(upper) if times[d] > 1 and sizes.get(i, 0) > 1.5 * most}
+    ties: dict[int, list[int]] = {}
+    for d, m in hot.items():
+        ties[d] = sorted(set(rows.where(F.col("doc") == d).agg(F.percentile_approx("tie", [k / m for k in range(1, m)], 100 * m)).first()[0]))
+    out: list[tuple[int, int]] = []
+    filled = 0
+    for i, d in enumerate(upper):
+        if d in ties:
+            if filled and i:
+                out.append((upper[i - 1], _LAST))
+            out += [(d, t) for t in ties[d]] + [(d, _LAST)]
+            filled = 0
+            continue
+        filled += sizes.get(i, 0)
+        if filled >= most * 0.9:
+            out.append((d, _LAST))
+            filled = 0
+    return [d for d, _ in out], [t for _, t in out]
+
+
+def _shard_of(doc: np.ndarray, tie: np.ndarray, upper: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(upper, doc)
+    for d in upper[np.flatnonzero(np.diff(upper) == 0)]:
+        mine = np.flatnonzero(doc == d)
+        first, end = np.searchsorted(upper, [d, d + 1])
+        at[mine] = first + np.searchsorted(ties[first:end], tie[mine])
+    return at.astype(np.int32)
+
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int, bounds: tuple[list[int], list[int]]) -> DataFrame:
+    """doc_id, tie, shard, ids (little-endian binary, with the end id) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = int(end_id).to_bytes(enc.width, "little")
-        upper = np.array(bounds, dtype=np.int64)
+        upper, ties = (np.array(x, dtype=np.int64) for x in bounds)
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                shard = np.searchsorted(upper, np.asarray(part.column(0).fill_null(-(1 << 63)))).astype(np.int32)
-                ids = pa.array([enc.encode(t.as_py()) + end for t in part.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shard), ids], ["doc_id", "shard", "ids"])
+            shard = pa.array(_shard_of(np.asarray(b.column(0).fill_null(_NULL)), np.asarray(b.column(2)), upper, ties))
+            for i, j, ids, at in enc.ended(b.column(1), end_id):
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(at.astype(np.int64) * enc.width), pa.py_buffer(ids)])
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), shard.slice(i, j - i), raw.cast(pa.binary())], ["doc_id", "tie", "shard", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shard int, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", _tie().alias("tie"))
+    return rows.mapInArrow(run, "doc_id long, tie long, shard int, ids binary")
 
 
 def _fs(uri: str):
@@ -102,7 +160,7 @@ def write(encoded: DataFrame, shards: int, width: int, folder: str) -> list[tupl
         files.create_dir(top, recursive=True)
         writer, done = None, []
         for b in batches:
-            shard = np.asarray(b.column(1))
+            shard = np.asarray(b.column(2))
             edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 if i == j:
@@ -111,13 +169,13 @@ def write(encoded: DataFrame, shards: int, width: int, folder: str) -> list[tupl
                     if writer:
                         done.append(writer.close())
                     writer = _ShardWriter(files, top, int(shard[i]), width)
-                writer.add(b.column(0).slice(i, j - i), b.column(2).slice(i, j - i))
+                writer.add(b.column(0).slice(i, j - i), b.column(3).slice(i, j - i))
         if writer:
             done.append(writer.close())
         s, n, ids = zip(*done, strict=True) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["shard", "docs", "ids"])
 
-    ordered = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie")
     return sorted(tuple(r) for r in ordered.mapInArrow(run, "shard int, docs long, ids long").collect())
 
 
@@ -139,7 +197,7 @@ def read(spark: SparkSession, folder: str, width: int, manifest: list[tuple[int,
                 return np.frombuffer(f.read(), np.uint8)
 
         for b in batches:
-            for shard in b.column(0).to_pylist():
+            for shard in filter(bases.__contains__, b.column(0).to_pylist()):
                 raw = opened(f"shard-{shard:05d}.ids")
                 off = np.frombuffer(opened(f"shard-{shard:05d}.off").tobytes(), "<i8")
                 doc = opened(f"shard-{shard:05d}.doc").tobytes()
@@ -160,8 +218,8 @@ def read(spark: SparkSession, folder: str, width: int, manifest: list[tuple[int,
                         ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
 
-    shards = spark.range(0, max([s for s, _, _ in manifest], default=-1) + 1, 1, max(1, len(manifest)))
-    shards = shards.where(F.col("id").isin([s for s, _, _ in manifest])) if len(bases) < 1000 else shards
+    last = max([s for s, _, _ in manifest], default=-1)
+    shards = spark.range(0, last + 1, 1, last + 2)
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
@@ -174,6 +232,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens"
     width = encoder(tokenizer).width
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     bounds = shard_bounds(docs)
-    manifest = write(encode(docs, tokenizer, end_id, bounds), len(bounds) + 1, width, folder)
+    manifest = write(encode(docs, tokenizer, end_id, bounds), len(bounds[0]) + 1, width, folder)
     return read(spark, folder, width, manifest)
