@@ -3,12 +3,14 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
 
 from tests.llm import brute
 from tests.llm.fixtures import awkward, empty, pairs, rows_of
+from vigil.llm.common import inverse
 from vigil.llm.packing import best_fit, cut, cutting_stock, pack_documents
 from vigil.llm.quality import quality_rules
 from vigil.llm.sharding import assign_shards
@@ -105,6 +107,25 @@ def test_packing_ids_are_the_texts(spark, sf):
     assert {d: zlib.crc32(b"".join(x for _, x in sorted(p))) for d, p in ids.items()} == want
 
 
+def test_cutting_stock_of_all_classes_ends():
+    demand = {c: (c * 7919) % 97 + 3 * (257 - c) for c in range(1, 257)}
+    plan = cutting_stock(demand)
+    assert all(sum(c * k for c, k in p.items()) <= 256 for p, _ in plan)
+    made = Counter()
+    for p, times in plan:
+        for c, k in p.items():
+            made[c] += k * times
+    assert all(made[c] == pytest.approx(n, abs=1e-3) for c, n in demand.items())
+    bound = sum(c * n for c, n in demand.items()) / 256
+    assert bound <= sum(t for _, t in plan) <= 1.01 * bound + 1
+
+
+def test_inverse():
+    rng = np.random.default_rng(1)
+    m = rng.integers(0, 3, (40, 40)).astype(float) + np.diag(rng.permutation(40)[::-1] + 1.0)[::-1]
+    assert np.allclose(inverse(m) @ m, np.eye(40))
+
+
 def test_cutting_stock_is_near_its_bound():
     demand = {c: (c * 37) % 101 + 5 for c in range(3, 90, 7)}
     used = Counter()

@@ -31,7 +31,18 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost no recomputation."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_folder"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables whose successors have been written."""
+    for t in tables:
+        if path := t.__dict__.pop("_folder", None):
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def row_key() -> list:
@@ -183,3 +194,19 @@ class KeyFilter:
             trim()
 
         return rows.mapInArrow(run, rows.schema)
+
+
+def inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination with pivots of the greatest size, elementwise: no threaded library runs in the driver."""
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n)], axis=1)
+    for i in range(n):
+        j = i + int(np.abs(both[i:, i]).argmax())
+        if j != i:
+            both[[i, j]] = both[[j, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        rows = np.flatnonzero(factor)
+        both[rows] -= factor[rows, None] * both[i]
+    return both[:, n:]

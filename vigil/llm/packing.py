@@ -8,7 +8,7 @@ most one sequence for each of at most UNITS basic patterns, or UNITS * UNITS pie
 decreasing by their true lengths. Every piece gets its rank within its class and so its pattern, sequence and slot.
 
 Ranks come from hashed buckets of a class (their sizes summed up, then numbered within), so that a class which holds a
-third of all pieces is spread over many tasks. Null text counts as empty and still has its end token. Rows that repeat
+third of all pieces is spread over many tasks; the hash is of a piece's place, which repeated rows don't share. Null text counts as empty and still has its end token. Rows that repeat
 are packed as often as they occur; null doc_ids are packed as well. An empty table gives no sequences. Other columns
 are ignored.
 """
@@ -24,80 +24,103 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.bpe import encoder
-from vigil.llm.common import materialise
+from vigil.llm.common import inverse, materialise
 
 UNITS = 256
 #: Pieces that a bucket of a class should have at most.
 _BUCKET_ROWS = 50_000
 _TOLERANCE = 1e-9
+#: The linear program is solved to this share above its bound.
+_GAP = 5e-4
+#: How much of the prices with the best bound so far goes into those that a pattern is sought for.
+_STEADY = 0.9
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, and with keep_ids their ids (binary)."""
+    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, place (a number of its own), and with keep_ids their ids (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        from pyspark import TaskContext
+
+        enc, place = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(np.frombuffer(enc.encode(text.as_py()), f"<u{enc.width}").astype("<u4"), np.uint32(end_id))
-                for a in range(0, len(ids), capacity):
-                    part = ids[a : a + capacity].tobytes()
-                    out.append((doc, a, len(part) // 4, zlib.crc32(part), len(ids), part if keep_ids else None))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+            for i, j, ids, at in enc.ended(b.column(1), end_id):
+                raw = memoryview(ids.astype("<u4").tobytes())
+                n = np.diff(at)
+                parts = -(-n // capacity)
+                row = np.repeat(np.arange(j - i), parts)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
+                length = np.minimum(capacity, n[row] - start)
+                begin = (at[row] + start) * 4
+                spans = list(zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True))
+                crc = pa.array([zlib.crc32(raw[x:y]) for x, y in spans], pa.int64())
+                kept = pa.array([bytes(raw[x:y]) for x, y in spans] if keep_ids else [None] * len(spans), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + row)), pa.array(start), pa.array(length), crc, pa.array(n[row]), pa.array(place + np.arange(len(row))), kept], [f.split()[0] for f in schema.split(", ")])
+                place += len(row)
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, ids binary"
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
     return pieces if keep_ids else pieces.drop("ids")
 
 
 def _price(duals: np.ndarray, sizes: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     """The pattern of greatest worth that fits `units` (unbounded knapsack)."""
-    best, took = np.zeros(units + 1), np.full(units + 1, -1)
+    gain = np.full(units + 1, -np.inf)  # of a piece of each size; nothing for a unit left empty
+    gain[sizes] = duals
+    gain[1] = max(gain[1], 0.0)
+    best, took = np.zeros(units + 1), np.zeros(units + 1, np.int64)
     for room in range(1, units + 1):
-        n = np.searchsorted(sizes, room, side="right")
-        best[room], took[room] = best[room - 1], -1
-        if n:
-            worth = duals[:n] + best[room - sizes[:n]]
-            k = int(np.argmax(worth))
-            if worth[k] > best[room] + _TOLERANCE:
-                best[room], took[room] = worth[k], k
-    pattern, room = np.zeros(len(sizes)), units
+        worth = gain[1 : room + 1] + best[room - 1 :: -1] if room > 1 else gain[1:2] + best[:1]
+        k = int(worth.argmax())
+        best[room], took[room] = worth[k], k + 1
+    pattern, room = np.zeros(units + 1), units
     while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            pattern[took[room]] += 1
-            room -= sizes[took[room]]
+        pattern[took[room]] += 1
+        room -= took[room]
+    pattern = pattern[sizes]
+    if len(sizes) and sizes[0] == 1 and duals[0] <= 0:
+        pattern[0] = 0
     return float(best[units]), pattern
 
 
 def cutting_stock(demand: dict[int, int], units: int = UNITS, most: int = 5000) -> list[tuple[dict[int, int], float]]:
-    """Patterns {class: pieces} and how often to use each (a fraction), for demand pieces of each class of 1..units."""
+    """Patterns {class: pieces} and how often to use each (a fraction), for demand pieces of each class of 1..units.
+
+    The revised simplex method; products are sums of elementwise ones, as matrices have at most UNITS rows.
+    """
     sizes = np.array(sorted(c for c, n in demand.items() if n), dtype=np.int64)
     if not len(sizes):
         return []
     need = np.array([demand[int(c)] for c in sizes], dtype=float)
     basis = np.diag((units // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
+    bound, steady = 0.0, None
     for step in range(most):
         if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        x = inverse @ need
+            inverse = inverse(basis)
+        x = (inverse * need).sum(axis=1)
         duals = inverse.sum(axis=0)
-        worth, pattern = _price(duals, sizes, units)
-        if worth <= 1 + 1e-7 or (worth - 1) / worth * x.sum() < 0.5 and (worth - 1) < 1e-4:
+        steady = duals if steady is None else _STEADY * steady + (1 - _STEADY) * duals
+        worth, pattern = _price(steady, sizes, units)
+        held = float((steady * need).sum()) / worth  # no plan has fewer sequences
+        if held > bound:
+            bound, centre = held, steady
+        steady = centre
+        if (duals * pattern).sum() <= 1 + 1e-9:  # the steady prices mislead: take the true ones
+            worth, pattern = _price(duals, sizes, units)
+            bound = max(bound, float(x.sum()) / worth)
+        if x.sum() - bound <= max(0.5, _GAP * bound) or worth <= 1 + 1e-9:
             break
-        direction = inverse @ pattern
+        direction = (inverse * pattern).sum(axis=1)
         ratio = np.where(direction > _TOLERANCE, np.maximum(x, 0) / np.where(direction > _TOLERANCE, direction, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = pattern
         row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
+        inverse -= direction[:, None] * row
         inverse[out] = row
-    x = np.linalg.solve(basis, need)
+    x = (inverse(basis) * need).sum(axis=1)
     return [({int(c): int(k) for c, k in zip(sizes, basis[:, j], strict=True) if k}, max(0.0, float(x[j]))) for j in range(len(sizes))]
 
 
@@ -124,7 +147,7 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[tuple[in
 
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """pieces (with columns doc_id, start, length, ids_crc32) with sequence_id and offset; other columns stay."""
+    """pieces (with columns length and place) with sequence_id and offset; other columns stay."""
     unit = -(-capacity // UNITS)
     pieces = pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("int"))
     demand = {r["_class"]: r["count"] for r in pieces.groupBy("_class").count().collect()}
@@ -140,10 +163,10 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
                 slot += k
             sequences += n
     buckets = max(256, max(demand.values(), default=0) // _BUCKET_ROWS)
-    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
     at = Window.partitionBy("_class").orderBy("_bucket")
     bases = pieces.groupBy("_class", "_bucket").agg(F.count("*").alias("_n")).withColumn("_base", F.sum("_n").over(at) - F.col("_n")).drop("_n")
-    within = Window.partitionBy("_class", "_bucket").orderBy("doc_id", "start", "ids_crc32")
+    within = Window.partitionBy("_class", "_bucket").orderBy("place")
     ranked = pieces.withColumn("_rank", F.row_number().over(within)).join(bases, ["_class", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_rank") - 1).drop("_base", "_bucket")
     ranked = materialise(ranked)
     rest_from = F.create_map(*[F.lit(x) for c in used for x in (c, used[c])])[F.col("_class")] if used else F.lit(0)
@@ -183,4 +206,4 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids), sequence_id, offset of each piece of all documents."""
-    return pack(materialise(cut(docs, tokenizer, end_id, capacity, keep_ids)), capacity)
+    return pack(materialise(cut(docs, tokenizer, end_id, capacity, keep_ids)), capacity).drop("place")
