@@ -74,6 +74,51 @@ def test_identities(spark):
     assert not any(r.is_seeded_collision for r in identity.assign(accounts, watch.limit(0)).collect())
 
 
+def test_every_entity_can_be_drawn(spark):
+    accounts = spark.range(30_000).select(F.col("id").cast("string").alias("account_id"))
+    watch = spark.range(6000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("entity_id"), F.lit("SOME NAME").alias("name"))
+    assert sorted(r.number for r in identity.numbered(watch, "entity_id", 64).collect()) == list(range(6000))
+    drawn = identity.assign(accounts, watch, 1.0).select("seeded_from_entity_id").distinct().count()
+    assert drawn > 5900
+
+
+def test_one_match_is_explained(spark):
+    entity = ("e1", "Ivan Petrov", ["Vanya  PETROV", "I. Petrov"], "ru", "01 Jan 1970")
+    got = matching.explain(spark, ("vanya petrov", " RU", "1970-01-01"), entity)
+    assert (got.matched_on_field, got.matched_on_spelling, got.raw_score, got.bonus, got.match_score) == ("alias", "Vanya  PETROV", 100.0, 8.0, 100.0)
+    assert got.match_confidence_band == "exact" and got.country_match and got.dob_match
+    weak = matching.explain(spark, ("Ivan Petrow", None, None), entity)
+    assert weak.matched_on_field == "primary_name" and weak.bonus == 0 and not weak.country_match and weak.raw_score == weak.match_score < 100
+    assert matching.explain(spark, ("Zoe Smith", None, None), entity) is None
+
+
+def test_schema_history(spark, tmp_path):
+    import datetime
+
+    store, at = TableStore(spark, f"file://{tmp_path}/s"), datetime.datetime(2026, 1, 1)
+    schema = lambda text: spark.createDataFrame([], text).schema
+    assert not ops.observe_schema(store, "p", "t", schema("a int, b string"), at)["is_breaking"]
+    with pytest.raises(quality.DataContractError):
+        ops.observe_schema(store, "p", "t", schema("a string, b string"), at + datetime.timedelta(days=1))
+    with pytest.raises(quality.DataContractError):  # still compared with the last one that was accepted
+        ops.observe_schema(store, "p", "t", schema("a string, b string"), at + datetime.timedelta(days=2))
+    ops.accept_schema(store, "p", "t", schema("a string, b string"), at + datetime.timedelta(days=3))
+    assert ops.observe_schema(store, "p", "t", schema("a string, b string, c int"), at + datetime.timedelta(days=4))["added"] == ["c"]
+    assert [r.is_breaking for r in store.read("ops_schema_drift").orderBy("observed_at").collect()] == [False, True, True, False, False]
+
+
+def test_tokens_and_pruned_merge(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/s")
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, time int")
+    assert store.merge_new(rows((1, 1), (2, 2), (2, 2)), "t", ["k", "time"], "q-0", prune="time") == 2
+    assert store.merge_new(rows((9, 9)), "t", ["k", "time"], "q-0", prune="time") == 0, "that batch has been written"
+    assert store.merge_new(rows((2, 2), (3, 3), (None, None)), "t", ["k", "time"], "q-1", prune="time") == 2
+    store.append(rows((5, 5)), "t", "other-0")
+    assert store.append(rows((5, 5)), "t", "q-1") == 3 and store.read("t").count() == 5
+    store.compact("t")
+    assert store.append(rows((5, 5)), "t", "other-0") == 4 and store.read("t").count() == 5, "tokens outlive a compaction"
+
+
 def test_validity_and_contracts(spark):
     rows = [("1", "2", "3.5", "4"), ("99999999999", "2", "1", "1"), ("1", None, "1", "1"), ("1", "2", "x", "1"), ("1", "2", "NaN", "1"), ("1", "2", "1", "0"), ("1", "2", "1", "-1"), ("1.5", "2", "1", "1")]
     df = spark.createDataFrame(rows, schemas.TRANSACTIONS)

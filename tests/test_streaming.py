@@ -34,6 +34,27 @@ def test_duplicates_restart_and_late_rows(spark, place):
     assert store.read("txn_events").count() == 22
 
 
+def test_state_drops_repeats_within_the_watermark(spark, place):
+    store, source, check = place
+    seen = []
+
+    class Spy(ingest.BatchSink):
+        def __call__(self, batch, number):
+            seen.append(batch.count())
+            super().__call__(batch, number)
+
+    real, ingest.BatchSink = ingest.BatchSink, Spy
+    try:
+        drop(rows(spark, [(1, 2, 1.5, t) for t in range(1, 21)] * 2 + [(1, 2, 1.0, -1)]), source)
+        ingest.run(spark, source, store, check, within="40 days")
+        drop(rows(spark, [(1, 2, 1.5, t) for t in range(1, 21)] + [(3, 4, 1.0, 30)]), source)
+        ingest.run(spark, source, store, check, within="40 days")
+    finally:
+        ingest.BatchSink = real
+    assert sum(seen) == 22, "twenty rows once, a dead letter, and the new row"
+    assert store.read("txn_events").count() == 21 and store.read("txn_events_dead_letter").count() == 1
+
+
 def test_bad_time_does_not_move_the_clock(spark, place):
     store, source, check = place
     good = [(1, 2, 1.0, t) for t in range(1, 31)]

@@ -35,7 +35,7 @@ def plain_name(raw: str | None) -> str:
 def test_whole_texts_of_all_rows(spark, tmp_path):
     texts = ["Straße ÆØ þórr \"No. 7\"", "José " * 30 + "€ 12-34", "日本 x²", "a_b 'c'", "x" * 100, "", None, "plain words only"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.name for r in QUERIES["text_normalize_name_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.name for r in QUERIES["text_normalize_name"](spark, str(tmp_path)).collect()}
     assert got == {i: plain_name(x) for i, x in enumerate(texts)}
 
 
@@ -87,7 +87,7 @@ def test_top_matches_of_the_whole_list(spark):
     for a in names:
         scores = sorted((-round(100 - 100 * plain_levenshtein(a, b) / max(len(a), len(b)), 4), b) for b in names)
         want += [(a, b, -s, k) for k, (s, b) in enumerate(scores[:5], 1) if -s >= 50]
-    got = sorted(tuple(r) for r in QUERIES["match_top_n_whole"](spark, sf).select("candidate_id", "entity_id", "match_score", "match_rank").collect())
+    got = sorted(tuple(r) for r in QUERIES["match_top_n"](spark, sf).select("candidate_id", "entity_id", "match_score", "match_rank").collect())
     assert got == sorted(want)
     assert sum(a[0] != b[0] for a, b, _, _ in got) > 0
 

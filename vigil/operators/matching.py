@@ -8,7 +8,7 @@ short-cut the comparison, and pairs whose lengths rule the floor out never reach
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.similarity import score_udf
@@ -50,30 +50,38 @@ def similar_names(left: DataFrame, right: DataFrame, floor: float = FLOOR, salts
     return pairs.withColumn("score", scorer(F.col("a"), F.col("b"))).where(F.col("score") >= floor).select("a", "b", "score")
 
 
-def screen(candidates: DataFrame, watchlist: DataFrame, floor: float = FLOOR, salts: int = 8, scorer=None) -> DataFrame:
+def screen(candidates: DataFrame, watchlist: DataFrame, floor: float = FLOOR, salts: int = 8, scorer=None, key=block_key) -> DataFrame:
     """All entities at or above the floor for each candidate (candidate_id, name, country, dob).
 
     watchlist: entity_id, name, aliases, country, dob. The best name of an entity counts; of equals, the earliest.
     """
     people = candidates.select("candidate_id", F.col("country").alias("c_country"), F.col("dob").alias("c_dob"), normalized_name(F.col("name")).alias("a")).where("a <> ''")
     names = names_of(watchlist)
-    scored = similar_names(people.withColumnRenamed("a", "text"), names, floor, salts, scorer=scorer)
-    hits = people.join(scored, "a").join(names.select("entity_id", "ordinal", "field", F.col("text").alias("b")), "b")
-    best = hits.groupBy("candidate_id", "entity_id").agg(F.max_by(F.struct("a", "b", "field", "score", "c_country", "c_dob"), F.struct("score", -F.col("ordinal"))).alias("h")).select("candidate_id", "entity_id", "h.*")
+    scored = similar_names(people.withColumnRenamed("a", "text"), names, floor, salts, key, scorer)
+    hits = people.join(scored, "a").join(names.select("entity_id", "ordinal", "field", "raw", F.col("text").alias("b")), "b")
+    best = hits.groupBy("candidate_id", "entity_id").agg(F.max_by(F.struct("a", "b", "raw", "field", "score", "c_country", "c_dob"), F.struct("score", -F.col("ordinal"))).alias("h")).select("candidate_id", "entity_id", "h.*")
     about = watchlist.select("entity_id", F.col("country").alias("e_country"), F.col("dob").alias("e_dob"))
     out = best.join(about, "entity_id")
     same = lambda a, b: F.coalesce(a == b, F.lit(False))
     country = same(F.upper(F.trim("c_country")), F.upper(F.trim("e_country")))
     dob = same(normalize_dob(F.col("c_dob")), normalize_dob(F.col("e_dob")))
-    total = F.round(F.least(F.lit(100.0), F.col("score") + F.when(country, COUNTRY_BONUS).otherwise(0.0) + F.when(dob, DOB_BONUS).otherwise(0.0)), 2)
-    out = out.withColumns({"country_match": country, "dob_match": dob, "match_score": total})
+    bonus = F.when(country, COUNTRY_BONUS).otherwise(0.0) + F.when(dob, DOB_BONUS).otherwise(0.0)
+    total = F.round(F.least(F.lit(100.0), F.col("score") + bonus), 2)
+    out = out.withColumns({"country_match": country, "dob_match": dob, "bonus": bonus, "match_score": total})
     return out.select(
         "candidate_id", "entity_id", "match_score",
         F.when(F.col("a") == F.col("b"), "exact").when(F.col("match_score") >= STRONG, "strong").otherwise("weak").alias("match_confidence_band"),
-        F.col("field").alias("matched_on_field"), F.col("b").alias("matched_on_text"), "country_match", "dob_match",
+        F.col("field").alias("matched_on_field"), F.col("b").alias("matched_on_text"), F.col("raw").alias("matched_on_spelling"), F.round("score", 2).alias("raw_score"), "bonus", "country_match", "dob_match",
     )
 
 
+def explain(spark: SparkSession, candidate: tuple, entity: tuple, floor: float = FLOOR) -> Row | None:
+    """The match of one candidate (name, country, dob) with one entity (entity_id, name, aliases, country, dob) and its reasons, or None."""
+    one = spark.createDataFrame([("", *candidate)], "candidate_id string, name string, country string, dob string")
+    two = spark.createDataFrame([entity], "entity_id string, name string, aliases array<string>, country string, dob string")
+    return screen(one, two, floor, salts=1, key=whole_list).first()
+
+
 def top_matches(matches: DataFrame, n: int = 5) -> DataFrame:
     """The n best matches of each candidate, ties by entity."""
     from pyspark.sql import Window

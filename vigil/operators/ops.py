@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigil.operators.quality import DataContractError
+from vigil.operators.quality import DataContractError, schema_diff, schema_fields, schema_hash
 
 # Seconds of lag up to which a batch is fresh or stale, and dollars a row by kind of pipeline.
 FRESH_SECONDS, STALE_SECONDS = 900, 2_700
@@ -78,6 +80,31 @@ def latest_breaking_drift(history: DataFrame) -> DataFrame:
     return history.withColumn("_n", F.row_number().over(order)).where("_n = 1 AND is_breaking").drop("_n", "is_breaking")
 
 
+def observe_schema(store, pipeline: str, table: str, schema: T.StructType, observed_at: datetime.datetime) -> dict:
+    """Snapshot a table's schema and its difference to the last accepted one; a breaking change is kept, then raised.
+
+    A broken observation isn't accepted, so the change blocks every run until the schema fits again or accept_schema() is called.
+    """
+    fields = schema_fields(schema)
+    before = fields
+    if store.exists("ops_schema_drift"):
+        last = store.read("ops_schema_drift").where((F.col("table_name") == table) & ~F.col("is_breaking")).orderBy(F.desc("observed_at"), F.desc("schema_hash")).first()
+        before = json.loads(last.schema_json) if last else fields
+    drift = schema_diff(before, fields)
+    row = (pipeline, table, schema_hash(fields), json.dumps(fields, sort_keys=True), json.dumps(drift), drift["is_breaking"], observed_at)
+    store.append(store.spark.createDataFrame([row], DRIFT_SCHEMA), "ops_schema_drift")
+    if drift["is_breaking"]:
+        raise DataContractError(f"{table} breaks its schema: removed {drift['removed']}, retyped {drift['type_changed']}")
+    return drift
+
+
+def accept_schema(store, pipeline: str, table: str, schema: T.StructType, observed_at: datetime.datetime) -> None:
+    """Take a schema for the one to compare with from now on."""
+    fields = schema_fields(schema)
+    row = (pipeline, table, schema_hash(fields), json.dumps(fields, sort_keys=True), json.dumps(schema_diff(fields, fields)), False, observed_at)
+    store.append(store.spark.createDataFrame([row], DRIFT_SCHEMA), "ops_schema_drift")
+
+
 def headline_deltas(now: DataFrame, before: DataFrame) -> DataFrame:
     a = now.groupBy("escalation_reason").agg(F.count("*").alias("c"))
     b = before.groupBy("escalation_reason").agg(F.count("*").alias("p"))
@@ -99,9 +126,16 @@ def score_movers(now: DataFrame, before: DataFrame, n: int | None = 50) -> DataF
     return out.orderBy(F.desc(F.abs("score_delta")), "entity_id").limit(n) if n else out
 
 
+def counts_to_reconcile(accounts: DataFrame, profiles: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row: accounts, profiles, alerts."""
+    one = lambda df, name: df.agg((F.count_distinct("account_id") if name == "accounts" else F.count(F.lit(1))).alias("n")).select(F.lit(name).alias("of"), "n")
+    parts = one(accounts, "accounts").union(one(profiles, "profiles")).union(one(alerts, "alerts"))
+    return parts.agg(*[F.max(F.when(F.col("of") == c, F.col("n"))).alias(c) for c in ("accounts", "profiles", "alerts")])
+
+
 def reconcile(accounts: DataFrame, profiles: DataFrame, alerts: DataFrame) -> dict[str, int]:
     """Every account has one profile, and no more alerts than profiles; counts, or a broken contract."""
-    n = {"accounts": accounts.select("account_id").distinct().count(), "profiles": profiles.count(), "alerts": alerts.count()}
+    n = counts_to_reconcile(accounts, profiles, alerts).first().asDict()
     if n["accounts"] != n["profiles"] or n["alerts"] > n["profiles"]:
         raise DataContractError(f"counts don't reconcile: {n}")
     return n

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import text
@@ -13,6 +13,7 @@ from vigil.functions.clock import step_to_time
 from vigil.operators import entities, features, governance, graph, identity, matching, ops, quality, scd2, scoring, serving
 from vigil.plans import oracle as o
 from vigil.plans import tables as t
+from vigil.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,10 +109,67 @@ def _store(spark):
 
     from vigil.sources.store import TableStore
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/vigil-tables"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/vigil-tables"
     return TableStore(spark, f"{root.rstrip('/')}/{uuid.uuid4().hex}")
 
 
+def _csv(spark, rows: DataFrame, header: bool, **options) -> str:
+    """rows as a CSV folder in the shared place, quotes doubled."""
+    path = f"{_store(spark).root}/csv"
+    rows.write.options(header=header, quote='"', escape='"', **options).csv(path)
+    return path
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders")
+def src_csv_headered(spark, d):
+    rows = t.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority")
+    return readers.delimited(spark, _csv(spark, rows, True), "o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate DATE, o_orderpriority STRING")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
+def src_csv_multiline_headerless(spark, d):
+    """Whole texts, with their line breaks and quotes, through a file without a header."""
+    rows = t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    return readers.headerless_list(spark, _csv(spark, rows, False), "doc_id STRING, text STRING, lang STRING")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
+def src_csv_strings(spark, d):
+    """Nothing is inferred: every column is read as a string."""
+    rows = t.table(spark, d, "events").select("user_id", "event_id", "event_type", F.to_date("ts").alias("day"))
+    return readers.delimited(spark, _csv(spark, rows, True), "user_id STRING, event_id STRING, event_type STRING, day STRING")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS \"txId\", CAST(p_partkey % 49 AS INTEGER) AS time_step, CAST(p_size + p_size / 2.0 + p_size / 4.0 AS DOUBLE) AS total, 3 AS n FROM part")
+def src_csv_features(spark, d):
+    """Wide rows without a header, read into one array."""
+    rows = t.table(spark, d, "part").select("p_partkey", F.col("p_partkey") % 49, F.col("p_size").cast("double"), F.col("p_size") / 2, F.col("p_size") / 4)
+    got = readers.feature_vectors(spark, _csv(spark, rows, False), 3)
+    return got.select("txId", "time_step", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("features").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('nation', 1, '[]', '[]', '[]', false), ('nation', 2, '[\"n_extra\"]', '[]', '[]', false), ('nation', 3, '[]', '[\"n_extra\"]', '[\"n_nationkey\"]', true)) x (table_name, n, added, removed, type_changed, is_breaking)")
+def ops_drift_history(spark, d):
+    """Three observations of a table whose schema grows, then breaks; the last is kept though it raises."""
+    store, rows = _store(spark), t.table(spark, d, "nation").select("n_nationkey", "n_name")
+    grown = rows.withColumn("n_extra", F.lit(1))
+    broken = rows.withColumn("n_nationkey", F.col("n_nationkey").cast("string"))
+    for k, frame in enumerate((rows, grown, broken), 1):
+        try:
+            ops.observe_schema(store, "pipeline", "nation", frame.schema, LAST_DAY + datetime.timedelta(hours=k))
+        except quality.DataContractError:
+            if k < 3:
+                raise
+    history = store.read("ops_schema_drift")
+    part = lambda name: F.get_json_object("drift_json", f"$.{name}")
+    n = F.row_number().over(Window.partitionBy("table_name").orderBy("observed_at"))
+    return history.select("table_name", n.alias("n"), *[part(c).alias(c) for c in ("added", "removed", "type_changed")], "is_breaking")
+
+
 # --- entities, transactions and the graph -----------------------------------------------------------------------------
 
 
@@ -355,19 +413,12 @@ def match_levenshtein_blocked(spark, d):
     return matching.similar_names(names, names, 60.0, scorer=_levenshtein)
 
 
-@query(_LEV.format("SELECT a AS candidate_id, b AS entity_id, score AS match_score, CAST(k AS INTEGER) AS match_rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= 50) x WHERE k <= 5"))
-def match_top_n(spark, d):
-    names = _watchlist(spark, d).select(text.ascii_name(F.col("name")).alias("text"))
-    pairs = matching.similar_names(names, names, 50.0, scorer=_levenshtein)
-    return matching.top_matches(pairs.select(F.col("a").alias("candidate_id"), F.col("b").alias("entity_id"), F.col("score").alias("match_score")))
-
-
 _LEV_WHOLE = o.with_(_NAMES, "u AS (SELECT DISTINCT upper(name) AS x FROM n)", "s AS (SELECT a.x AS a, b.x AS b, round(100 - 100 * levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 4) AS score FROM u a CROSS JOIN u b)", select="{}")
 
 
 @query(_LEV_WHOLE.format("SELECT a AS candidate_id, b AS entity_id, score AS match_score, CAST(k AS INTEGER) AS match_rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= 50) x WHERE k <= 5"))
-def match_top_n_whole(spark, d):
-    """match_top_n without blocks: every name is ranked against the entire list."""
+def match_top_n(spark, d):
+    """Every name is ranked against the entire list, without blocks."""
     names = _watchlist(spark, d).select(text.ascii_name(F.col("name")).alias("text"))
     pairs = matching.similar_names(names, names, 50.0, salts=32, key=matching.whole_list, scorer=_levenshtein)
     return matching.top_matches(pairs.select(F.col("a").alias("candidate_id"), F.col("b").alias("entity_id"), F.col("score").alias("match_score")))
@@ -402,16 +453,8 @@ def identity_seed_rate(spark, d):
     return _people(spark, d)[0].groupBy("is_seeded_collision").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(upper(strip_accents(substr(text, 1, 60))), '[^A-Z0-9_]+', ' ', 'g')) AS name FROM documents WHERE regexp_matches(substr(text, 1, 60), '^[A-Za-zÀ-ÖØ-öø-ÿ .,\\n!|&$%*#-]*$') AND NOT regexp_matches(substr(text, 1, 60), '[ßÆØæøÐðÞþ]')")
+@query("SELECT doc_id, trim(regexp_replace(upper(strip_accents(replace(text, 'ß', 'ss'))), '[^A-Z0-9_]+', ' ', 'g')) AS name FROM documents")
 def text_normalize_name(spark, d):
-    docs = t.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("s"))
-    plain = docs.where(F.col("s").rlike(r"^[A-Za-zÀ-ÖØ-öø-ÿ .,\n!|&$%*#-]*$") & ~F.col("s").rlike("[ßÆØæøÐðÞþ]"))
-    return plain.select("doc_id", text.normalized_name(F.col("s")).alias("name"))
-
-
-@query()
-def text_normalize_name_whole(spark, d):
-    """text_normalize_name of every row's whole text; no SQL says Unicode's decomposition and word letters alike."""
     return t.table(spark, d, "documents").select("doc_id", text.normalized_name(F.col("text")).alias("name"))
 
 
@@ -438,7 +481,7 @@ def text_dob(spark, d):
 # --- streaming, in its final state ------------------------------------------------------------------------------------
 
 
-def _streamed(spark, d, twice: bool = False):
+def _streamed(spark, d, twice: bool = False, within: str | None = None):
     from vigil.sources.store import TableStore
     from vigil.streaming import ingest
 
@@ -448,7 +491,7 @@ def _streamed(spark, d, twice: bool = False):
     for k in range(2 if twice else 1):
         if k:
             ingest.feed(raw, f"{store.root}/in", 4000)
-        ingest.run(spark, f"{store.root}/in", store, f"{store.root}/checkpoint")
+        ingest.run(spark, f"{store.root}/in", store, f"{store.root}/checkpoint", within=within)
     return TableStore(spark, store.root)
 
 
@@ -466,9 +509,16 @@ def stream_restart(spark, d):
     return _streamed(spark, d, True).read("txn_events").select("sourceNodeId", "targetNodeId", "value", "time")
 
 
+@query(o.with_(o.RAW, o.VALID, select=_FINAL))
+def stream_watermark_dedup(spark, d):
+    """Repeats within the watermark are dropped by the stream's own state, before the sink sees them."""
+    return _streamed(spark, d, within="10 minutes").read("txn_events").select("sourceNodeId", "targetNodeId", "value", "time")
+
+
 @query(o.with_(o.RAW, o.VALID, select="SELECT DISTINCT src AS \"sourceNodeId\", dst AS \"targetNodeId\", value, step AS time FROM checked WHERE NOT good"))
 def stream_dead_letter(spark, d):
-    return _streamed(spark, d).read("txn_events_dead_letter").select("sourceNodeId", "targetNodeId", "value", "time").distinct()
+    """Dead letters are kept once, though all rows are delivered twice."""
+    return _streamed(spark, d, True).read("txn_events_dead_letter").select("sourceNodeId", "targetNodeId", "value", "time")
 
 
 @query(o.with_(o.RAW, o.VALID, select="SELECT COUNT(*) AS n FROM (" + _FINAL + ") x"))
@@ -635,8 +685,7 @@ def gov_alert_visibility(spark, d):
 
 @query(o.with_(*o.SCORED, select="SELECT (SELECT COUNT(*) FROM acc) AS accounts, (SELECT COUNT(*) FROM banded) AS profiles, (SELECT COUNT(*) FROM alerts) AS alerts"))
 def gate_reconcile(spark, d):
-    n = ops.reconcile(t.accounts(spark, d), t.profiles(spark, d), _alerts(spark, d))
-    return spark.createDataFrame([(n["accounts"], n["profiles"], n["alerts"])], "accounts long, profiles long, alerts long")
+    return ops.counts_to_reconcile(t.accounts(spark, d), t.profiles(spark, d), _alerts(spark, d))
 
 
 @query(o.with_(o.RAW, o.VALID, select="SELECT COUNT(CASE WHEN good THEN 1 END) AS valid, COUNT(CASE WHEN NOT good THEN 1 END) AS invalid, round(COUNT(CASE WHEN NOT good THEN 1 END) / CAST(COUNT(*) AS DOUBLE), 6) AS share FROM checked"))

@@ -12,7 +12,8 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class TableStore:
@@ -43,13 +44,29 @@ class TableStore:
     def _commit(self, table: str, version: int, folders: list[str], token: str | None) -> None:
         log = f"{self.root}/{table}/_log"
         part = self._path(f"{log}/.{uuid.uuid4().hex}")
+        done = self._entry(table, version - 1)["done"] if version > 1 and self._fs.exists(self._path(f"{log}/{version - 1}")) else {}
+        if token is not None:
+            writer, number = self._token(token)
+            done[writer] = max(number, done.get(writer, -1))
         out = self._fs.create(part)
-        out.write(json.dumps({"folders": folders, "at": time.time(), "token": token}).encode())
+        out.write(json.dumps({"folders": folders, "at": time.time(), "done": done}).encode())
         out.close()
         target = self._path(f"{log}/{version}")
         if self._fs.exists(target) or not self._fs.rename(part, target):
             raise RuntimeError(f"version {version} of {table} was written by another writer")
 
+    @staticmethod
+    def _token(token: str) -> tuple[str, int]:
+        """A writer and its batch's number, from writer-number; a writer's numbers rise."""
+        writer, _, number = token.rpartition("-")
+        return (writer, int(number)) if writer and number.isdigit() else (token, 0)
+
+    def _written(self, table: str, have: list[int], token: str | None) -> bool:
+        if token is None or not have:
+            return False
+        writer, number = self._token(token)
+        return self._entry(table, have[-1])["done"].get(writer, -1) >= number
+
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """The current version, or an earlier one; added columns are null in older files."""
         have = self.versions(table)
@@ -79,9 +96,9 @@ class TableStore:
         return version
 
     def append(self, df: DataFrame, table: str, token: str | None = None, partition_by: tuple[str, ...] = ()) -> int:
-        """The rows of df added; with a token that is already in the history, nothing."""
+        """The rows of df added; with a token that has been written, nothing. The last entry knows each writer's last number."""
         have = self.versions(table)
-        if token is not None and any(self._entry(table, v)["token"] == token for v in reversed(have)):
+        if self._written(table, have, token):
             return have[-1]
         old = self._entry(table, have[-1])["folders"] if have else []
         return self._next(table, [*old, self._write(df, table, partition_by, 5_000_000)], token)
@@ -89,18 +106,29 @@ class TableStore:
     def append_if_any(self, df: DataFrame, table: str) -> int | None:
         return None if df.isEmpty() else self.append(df, table)
 
-    def merge_new(self, df: DataFrame, table: str, keys: list[str], token: str | None = None) -> int:
-        """Rows whose keys aren't there yet (one of each key): feeding a batch twice changes nothing. Null keys are equal."""
+    def merge_new(self, df: DataFrame, table: str, keys: list[str], token: str | None = None, prune: str | None = None) -> int:
+        """Rows whose keys aren't there yet (one of each key) added, and how many: feeding a batch twice changes nothing.
+
+        Null keys are equal. prune: a key whose range in df limits what is read of the table (by the files' statistics).
+        """
+        have = self.versions(table)
+        if self._written(table, have, token):
+            return 0
         new = df.dropDuplicates(keys)
-        if self.exists(table):
-            there = self.read(table).select(*keys).distinct()
+        if have:
+            there = self.read(table).select(*keys)
+            if prune:
+                low, high = df.agg(F.min(prune), F.max(prune)).first()
+                there = there.where(F.lit(False) if low is None else F.col(prune).between(low, high))
             marked = there.select(*[there[k].alias(f"_{k}") for k in keys])
             cond = None
             for k in keys:
                 same = new[k].eqNullSafe(marked[f"_{k}"])
                 cond = same if cond is None else cond & same
             new = new.join(marked, cond, "left_anti")
-        return self.append(new, table, token)
+        seen = Observation()
+        self.append(new.observe(seen, F.count(F.lit(1)).alias("n")), table, token)
+        return seen.get["n"]
 
     def seed(self, df: DataFrame, table: str) -> bool:
         """df's rows if the table is missing or empty; history is never wiped."""
@@ -109,9 +137,11 @@ class TableStore:
         self.append(df, table)
         return True
 
-    def compact(self, table: str, files: int = 1, cluster_by: tuple[str, ...] = ()) -> int:
+    def compact(self, table: str, file_bytes: int = 128 << 20, cluster_by: tuple[str, ...] = ()) -> int:
+        """The same rows in files of about file_bytes."""
         rows = self.read(table)
-        return self.overwrite(rows if cluster_by else rows.coalesce(files), table, cluster_by)
+        size = sum(self._fs.getContentSummary(self._path(f)).getLength() for f in self._entry(table, self.versions(table)[-1])["folders"])
+        return self.overwrite(rows if cluster_by else rows.repartition(max(1, -(-size // file_bytes))), table, cluster_by)
 
     def vacuum(self, table: str, keep_hours: float = 168.0) -> int:
         """Drop versions older than keep_hours (never the current one) and folders that no kept version needs."""

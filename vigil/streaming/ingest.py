@@ -1,9 +1,9 @@
 """Streaming ingestion of transactions: validity before the watermark, bounded dedup, idempotent multi-sink batches.
 
-Invalid rows never touch the watermark (they have no event time that could move it). Valid rows are deduplicated within
-the watermark, so state is dropped as time passes, and rows that come later than the watermark are not lost: the sink
-merges by natural key, and rows older than what the target has seen go in and are counted as late. Dead letters and the
-control row are written before the breaker stops a batch, so a failing batch leaves a trace. Every write carries the
+Invalid rows never touch the watermark (they have no event time that could move it). The sink merges by natural key, so
+rows older than what the target has seen go in and are counted as late. On request, valid rows are deduplicated before
+that within a watermark, so that state is dropped as time passes. Dead letters (once each, however often they are
+delivered) and the control row are written before the breaker stops a batch, so a failing batch leaves a trace. Every write carries the
 batch's token, so a batch that runs again after a restart changes nothing.
 """
 
@@ -37,8 +37,10 @@ def typed(valid: DataFrame) -> DataFrame:
 
 
 def deduplicated(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """The stream's valid rows once each within the watermark."""
-    return with_validity(stream).where("_is_valid").withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(KEYS)
+    """The stream's valid rows once each within the watermark, and its invalid rows as they are (they have no event time)."""
+    checked = with_validity(stream)
+    valid = checked.where("_is_valid").withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(KEYS)
+    return valid.select(*KEYS).union(checked.where("NOT _is_valid").select(*KEYS))
 
 
 class BatchSink:
@@ -53,10 +55,12 @@ class BatchSink:
         rows = with_validity(batch).persist()
         try:
             n = rows.agg(F.count_if("_is_valid").alias("good"), F.count_if(~F.col("_is_valid")).alias("bad"), F.max(F.when(F.col("_is_valid"), F.col("event_time"))).alias("last")).first()
+            if not n.good + n.bad:
+                return  # a batch that only moves the watermark
             if n.bad:
-                dead = rows.where("NOT _is_valid").select(*KEYS, transaction_error().alias("_error_reason")).distinct()
-                self.store.append(stamp(dead, self.batch_id, self.started, self.source), "txn_events_dead_letter", token)
-            share = n.bad / (n.good + n.bad) if n.good + n.bad else 1.0
+                dead = rows.where("NOT _is_valid").select(*KEYS, transaction_error().alias("_error_reason"))
+                self.store.merge_new(stamp(dead, self.batch_id, self.started, self.source), "txn_events_dead_letter", [*KEYS, "_error_reason"], token)
+            share = n.bad / (n.good + n.bad)
             blocked = share > self.most_invalid
             late = 0
             if n.good and not blocked:
@@ -77,13 +81,18 @@ class BatchSink:
             seen = self.store.read("txn_events").agg(F.max("event_time")).first()[0]
             if seen is not None:
                 late = good.where(F.col("event_time") < F.lit(seen) - F.expr(f"INTERVAL {WATERMARK.upper()}")).count()
-        self.store.merge_new(stamp(good, self.batch_id, self.started, self.source), "txn_events", KEYS, token)
+        self.store.merge_new(stamp(good, self.batch_id, self.started, self.source), "txn_events", KEYS, token, prune="time")
         return late
 
 
-def run(spark: SparkSession, source_dir: str, store: TableStore, checkpoint: str, files_per_batch: int | None = None, most_invalid: float = MOST_INVALID, timeout: int | None = None):
-    """Take in everything that is there now, then stop; a second run goes on where the first one ended."""
-    query = transaction_stream(spark, source_dir, files_per_batch).writeStream.foreachBatch(BatchSink(store, "txn", most_invalid)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(spark: SparkSession, source_dir: str, store: TableStore, checkpoint: str, files_per_batch: int | None = None, most_invalid: float = MOST_INVALID, timeout: int | None = None, within: str | None = None):
+    """Take in everything that is there now, then stop; a second run goes on where the first one ended.
+
+    within: a watermark. With one, the stream itself keeps the keys of that long a time and drops repeats (and, as Spark
+    does, valid rows that come later than it); without, the sink's merge alone does, and late rows go in and are counted.
+    """
+    stream = transaction_stream(spark, source_dir, files_per_batch)
+    query = (deduplicated(stream, within) if within else stream).writeStream.foreachBatch(BatchSink(store, "txn", most_invalid)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if timeout is None:
         query.awaitTermination()
     elif not query.awaitTermination(timeout):
@@ -96,10 +105,8 @@ def replay(store: TableStore, limit: int | None = None) -> int:
     dead = store.read("txn_events_dead_letter").select(*KEYS)
     good = with_validity(dead).where("_is_valid")
     good = typed(good.orderBy(*KEYS).limit(limit) if limit else good)
-    before = store.read("txn_events").count() if store.exists("txn_events") else 0
     now = datetime.datetime.now(datetime.timezone.utc)
-    store.merge_new(stamp(good, new_batch_id(), now, "replay"), "txn_events", KEYS)
-    return store.read("txn_events").count() - before
+    return store.merge_new(stamp(good, new_batch_id(), now, "replay"), "txn_events", KEYS, prune="time")
 
 
 def inject_faults(rows: DataFrame, key: Column, per_mille: int = 10) -> DataFrame:
