@@ -49,9 +49,28 @@ def test_expected_counts_against_all_paths():
             moves[a, b] += p
         for k, o in zip(path, s, strict=True):
             emits[o, k] += p
-    got = m.expected(np.array(s))
-    for a, b in zip(got, (starts, moves, emits), strict=True):
+    alone = m.expected(np.array(s), np.array([0, 4]))
+    for a, b in zip(alone, (starts, moves, emits), strict=True):
         assert np.allclose(a, b / weights)
+    # documents are sequences of their own: the counts of several are the sum of each one's
+    other = m.expected(np.array([5, 1, 8]), np.array([0, 3]))
+    both = m.expected(np.array([5, 1, 8, *s, 8]), np.array([0, 3, 7, 8]))
+    last = m.expected(np.array([8]), np.array([0, 1]))
+    for a, b, c, d in zip(both, alone, other, last, strict=True):
+        assert np.allclose(a, b + c + d)
+
+
+def test_long_documents_in_segments(monkeypatch):
+    m, rng = small_model(), np.random.default_rng(4)
+    seq, at = rng.integers(0, 9, 700), np.array([0, 3, 500, 540, 700])
+    monkeypatch.setattr(hmm, "SEGMENT", 1000)
+    whole = m.expected(seq, at)
+    monkeypatch.setattr(hmm, "SEGMENT", 40)
+    monkeypatch.setattr(hmm, "AROUND", 60)
+    monkeypatch.setattr(hmm, "AT_ONCE", 3)
+    for a, b in zip(m.expected(seq, at), whole, strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-3)
+    assert whole[0].sum() == pytest.approx(4) and whole[1].sum() == pytest.approx(696) and whole[2].sum() == pytest.approx(700)
 
 
 def test_training_raises_the_likelihood():
@@ -63,7 +82,7 @@ def test_training_raises_the_likelihood():
         now = model.log10_likelihoods(seq, np.arange(0, len(seq) + 1, 64)).sum()
         assert now > last - 1e-9
         last = now
-        s, t, e = model.expected(seq)
+        s, t, e = model.expected(seq, np.arange(0, len(seq) + 1, 64))
         model = HMM(s / s.sum(), t / t.sum(axis=1, keepdims=True), (e + 1e-12) / (e + 1e-12).sum(axis=0))
 
 

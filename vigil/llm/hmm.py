@@ -5,9 +5,12 @@ Tokens are the words of the lower-cased text (A-Z only) and one end. A word's cl
   p(text) = p_HMM(classes of the text) * product of p(word | class),   p(word | class) = (c + 1) / (C + V + 1)
 with c the word's count in training texts, C the tokens and V the distinct words of its class, all of the training rows.
 
-Training. Each round, tasks run scaled forward and backward passes over their rows (in segments of SEGMENT tokens, many
-at once) and return expected counts of transitions and emissions; these are summed over all partitions and make the
-next model. Every one of the ROUNDS rounds looks at all training rows.
+Training. Each round, tasks run scaled forward and backward passes over their rows and return expected counts of starts,
+transitions and emissions; these are summed over all partitions and make the next model. Every one of the ROUNDS rounds
+looks at all training rows. A document is a sequence of its own. Documents of at most SEGMENT tokens are passed as a
+whole; longer ones in segments of so many tokens with AROUND more of the same document on either side, which carry the
+messages over the border (all that lies further away is taken for its long-run share). Every token and every transition
+is counted once, starts only where documents begin.
 
 Scoring. The scaled forward recursion runs over whole texts, so the class sequence's likelihood is exact. Word counts
 are exact as well: the most frequent words, at most FREQUENT, are broadcast, all others are joined by a shuffle.
@@ -32,7 +35,10 @@ from vigil.llm.common import Words, blocks, materialise, signed
 
 STATES = 6
 CLASSES = 8192
-SEGMENT = 64
+SEGMENT = 112
+AROUND = 16
+#: Segments that are looked at together.
+AT_ONCE = 4096
 FREQUENT = 1 << 17
 ROUNDS = 10
 END = np.uint64(0x0123456789ABCDEF)
@@ -107,32 +113,57 @@ class HMM:
         np.fill_diagonal(move, 0.9)
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
-    def expected(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions over segments of a class sequence."""
-        n = len(seq)
-        rows = -(-n // SEGMENT)
-        obs = np.full(rows * SEGMENT, CLASSES, np.int64)
-        obs[:n] = seq
-        obs = obs.reshape(rows, SEGMENT).T.copy()  # time, segment
-        real = (np.arange(rows * SEGMENT) < n).reshape(rows, SEGMENT).T
-        a = np.empty((SEGMENT, rows, STATES))
-        scale = np.empty((SEGMENT, rows))
-        for t in range(SEGMENT):
-            x = (self.start if t == 0 else a[t - 1] @ self.move) * self.emit[obs[t]]
-            scale[t] = x.sum(axis=1)
-            a[t] = x / scale[t][:, None]
-        moves = np.zeros((STATES, STATES))
-        b = np.ones((rows, STATES))
-        for t in reversed(range(SEGMENT)):
-            if t < SEGMENT - 1:
-                ahead = self.emit[obs[t + 1]] * b / scale[t + 1][:, None]
-                moves += (a[t].T @ (ahead * real[t + 1][:, None])) * self.move
-                b = ahead @ self.move.T
-            a[t] *= b
-        gamma = a / a.sum(axis=2, keepdims=True) * real[:, :, None]
-        flat, where = gamma.reshape(-1, STATES), obs.reshape(-1)
+    def stationary(self) -> np.ndarray:
+        """The distribution of states far from a text's start."""
+        p = self.start
+        for _ in range(200):
+            p = (p[:, None] * self.move).sum(axis=0)
+        return p
+
+    def expected(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts, moves and emissions over the documents seq[at[i] : at[i + 1]]."""
+        n = np.diff(at)
+        parts = -(-n // SEGMENT)
+        doc = np.repeat(np.arange(len(n)), parts)
+        first = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
+        low, end = np.maximum(first - AROUND, 0), np.minimum(first + SEGMENT, n[doc])
+        begin, length, lead, own = at[:-1][doc] + low, np.minimum(end + AROUND, n[doc]) - low, first - low, end - low
+        order = np.argsort(-length, kind="stable")
+        starts, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES + 1, STATES))
+        for i in range(0, len(order), AT_ONCE):
+            o = order[i : i + AT_ONCE]
+            for total, more in zip((starts, moves, emits), self._passes(seq, begin[o], length[o], lead[o], own[o]), strict=True):
+                total += more
+        return starts, moves, emits
+
+    def _passes(self, seq: np.ndarray, begin: np.ndarray, length: np.ndarray, lead: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward passes over segments, longest first; tokens lead to own of each are counted."""
+        steps = int(length[0])
+        active = np.searchsorted(-length, -np.arange(steps), side="left")  # segments with more tokens than that
+        move, emit = self.move.astype(np.float32), self.emit.astype(np.float32)  # counts need no more digits
+        prior = np.where((lead == 0)[:, None], self.start, self.stationary()).astype(np.float32)
+        a, scale, seen = [], [], []
+        for t, m in enumerate(active.tolist()):
+            e = seq[begin[:m] + t]
+            x = (prior if t == 0 else a[-1][:m] @ move) * emit[e]
+            s = x.sum(axis=1, keepdims=True)
+            a.append(x / s)
+            scale.append(s)
+            seen.append(e)
+        moves, b = np.zeros((STATES, STATES)), np.ones((int(active[-1]), STATES), np.float32)
+        for t in reversed(range(steps)):
+            if t < steps - 1:
+                m = int(active[t + 1])
+                ahead = emit[seen[t + 1]] * b / scale[t + 1]
+                mine = (lead[:m] <= t + 1) & (t + 1 < own[:m])
+                moves += (a[t][:m].T @ (ahead * mine[:, None])) * self.move
+                b = np.ones((int(active[t]), STATES), np.float32)
+                b[:m] = ahead @ move.T
+            m = int(active[t])
+            a[t] *= b * ((lead[:m] <= t) & (t < own[:m]))[:, None]
+        flat, where = np.concatenate(a), np.concatenate(seen)
         emits = np.column_stack([np.bincount(where, flat[:, k], CLASSES + 1) for k in range(STATES)])
-        return gamma[0].sum(axis=0), moves, emits
+        return a[0][lead == 0].sum(axis=0), moves, emits
 
     def log10_likelihoods(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Exact log10 likelihood of each whole sequence seq[at[i] : at[i + 1]], by the scaled forward recursion."""
@@ -162,10 +193,10 @@ def _round(sequences: DataFrame, model: HMM, frequency: np.ndarray) -> HMM:
         start, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES + 1, STATES))
         for b in batches:
             for i in range(0, b.num_rows, 300):
-                raw = b"".join(b.column(0).slice(i, 300).to_pylist())
-                for j in range(0, len(raw), 1 << 19):
-                    s, t, e = m.expected(np.frombuffer(raw[j : j + (1 << 19)], np.uint16))
-                    start, moves, emits = start + s, moves + t, emits + e
+                raw = b.column(0).slice(i, 300).to_pylist()
+                at = np.concatenate([[0], np.cumsum([len(r) // 2 for r in raw])])
+                s, t, e = m.expected(np.frombuffer(b"".join(raw), np.uint16), at)
+                start, moves, emits = start + s, moves + t, emits + e
         table = np.vstack([emits, start, moves])
         some = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, k]) for k in range(STATES))], ["row", *(f"s{k}" for k in range(STATES))])
