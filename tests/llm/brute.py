@@ -98,3 +98,23 @@ def base_rules(text):
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     covered = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
+
+
+def bad_line(line, phrases):
+    words, low = len(re.split(r"[\x20\x09-\x0D]+", line.strip(" "))), line.lower()
+    symbols = 12 * sum(c in "#*$%&|<>" for c in line) > len(line)
+    navigation = sum(c in "|»•·›" for c in line) >= 2 or len(re.findall(r" [>/] ", line)) >= 2
+    unended = words <= 3 and not re.search("[.!?…:;,。！？\"'”’»)\\]][\\x20\\x09-\\x0D]*$", line)
+    shouts = len(re.findall("!!", line))
+    capitals = words >= 5 and line.upper() == line and low != line
+    return symbols or navigation or unended or (shouts >= 2 and 3 * shouts >= words) or capitals or (words <= 30 and any(p in low for p in phrases))
+
+
+def cleaned(text, phrases):
+    """The text's lines that stand, or None for a rejected document."""
+    if base_rules(text)[5]:
+        return None
+    lines = list(dict.fromkeys(x for x in text.split("\n") if WORD.search(x)))
+    fine = [x for x in lines if not bad_line(x, phrases)]
+    chars = lambda s: len(re.sub(r"[\x20\x09-\x0D]", "", s))
+    return "\n".join(fine) if chars(text) - sum(map(chars, fine)) <= 0.5 * chars(text) else None

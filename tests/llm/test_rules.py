@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -7,13 +8,14 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.fixtures import awkward, empty, pairs, rows_of
 from vigil.llm.common import inverse
 from vigil.llm.packing import best_fit, cut, cutting_stock, pack_documents
-from vigil.llm.quality import quality_rules
-from vigil.llm.sharding import assign_shards
+from vigil.llm.quality import BOILERPLATE, clean_documents, quality_rules
+from vigil.llm.sharding import assign_shards, jump_hash
 
 DIGEST10 = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -25,6 +27,25 @@ def test_quality_base_against_brute_force(spark, unique):
     assert quality_rules(empty(spark)).count() == 0
 
 
+FURNITURE = ["Home | News | Sport", "Read more » here » now", "COPYRIGHT 2020 ALL OF US HERE", "buy now!! cheap!! wow", "a / b / c / d", "short", "Ends well.", "ok then:", "# $ % & | <", "Alle Rechte vorbehalten.", "Une ligne simple, sans plus.", "\tTabbed line of some words", "Was soll das hier, bitte?", "  "]
+
+
+@pytest.mark.parametrize("source", ["awkward", "lines"])
+def test_quality_verdict_and_cleaning_against_brute_force(spark, source):
+    if source == "awkward":
+        docs = awkward(spark, False)
+    else:
+        rng = random.Random(7)
+        texts = ["\n".join(rng.choice(FURNITURE) if rng.random() < p else f"Sentence {rng.randrange(40)} of this text says {rng.randrange(10**6)} things, and ends." for _ in range(rng.randint(1, 12))) for p in (0.1, 0.4, 0.7, 0.9) for _ in range(60)]
+        docs = spark.createDataFrame([(i, t, i, "r") for i, t in enumerate(texts)], "doc_id long, text string, clean int, row string")
+    want = [(d, brute.cleaned(t or "", BOILERPLATE)) for d, t in pairs(docs)]
+    assert rows_of(quality_rules(docs), "doc_id", "kept") == sorted([(d, c is not None) for d, c in want], key=repr)
+    got = clean_documents(docs)
+    assert got.columns == docs.columns and rows_of(got, "doc_id", "text") == sorted([(d, c) for d, c in want if c is not None], key=repr)
+    assert 0 < got.count() < docs.count()
+    assert clean_documents(docs.limit(0)).count() == 0
+
+
 def test_quality_of_the_table_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
@@ -62,6 +83,11 @@ def test_sharding(spark, unique):
     assert assign_shards(empty(spark), 8).count() == 0
 
 
+def test_sharding_into_many(spark):
+    got = {r.id: r.s for r in spark.range(3000).select("id", jump_hash(F.col("id"), 1000).alias("s")).collect()}
+    assert got == {i: jump(i, 1000) for i in range(3000)}
+
+
 def test_sharding_moves_about_a_ninth(spark):
     got = assign_shards(spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text"), 8)
     n = Counter((r.shard, r.grown_shard) for r in got.collect())
@@ -70,7 +96,7 @@ def test_sharding_moves_about_a_ninth(spark):
 
 
 def test_sharding_has_no_python(spark, sf):
-    for make in (assign_shards, quality_rules):
+    for make in (assign_shards, quality_rules, clean_documents):
         plan = make(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 

@@ -6,11 +6,11 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised routines look at together; a longer document is one block of its own.
@@ -45,6 +45,11 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with a name for value, which is then computed once a row although body uses it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def row_key() -> list:
     """Columns k1, k2 that tell rows apart by content; rows alike in id and text share them and get the same result."""
     return [

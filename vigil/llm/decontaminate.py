@@ -4,9 +4,10 @@ Words are runs of [0-9a-z] and of anything beyond ASCII, after A-Z is lower-case
 an item; an item with fewer words, but some, is one window by itself. Documents are hashed word by word and window by
 window with numpy; a window whose hash is in the set is a candidate, and counts only after its words are compared.
 
-The benchmark goes to the workers in blocks of at most BLOCK_WORDS words, each one broadcast; a benchmark beyond that
-takes one pass per block over the documents (a stated query set in blocks), and spans of all passes are merged, so the
-memory of a worker doesn't grow with the benchmark. Nothing is shuffled.
+The benchmark is read in blocks of at most BLOCK_WORDS words (and one item). A block becomes sorted arrays of hashes and
+places, once, and is broadcast; a benchmark beyond that takes one pass per block over the documents (a stated query set
+in blocks), each written before the next begins, and spans of all passes are merged, so neither the driver's memory nor
+a worker's grows with the benchmark. Nothing is shuffled.
 
 Null text has no words and no hits; an empty benchmark hits nothing. Items without text or words are skipped; an item
 with null id hits, but has no id to list. Items that repeat an id count once. Rows are independent, so repeated rows
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import Words, blocks, mix, utf8_parts
+from vigil.llm.common import Words, blocks, discard, materialise, mix, utf8_parts
 
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 SCHEMA = "doc_id long, text string, n_words long, spans array<int>, items array<string>"
 
 
@@ -41,40 +42,37 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class BenchmarkSet:
-    """Windows of some items by length: sorted hashes, and for each hash the (words, item) it may stand for."""
+    """Windows of some items by length: sorted hashes, and where in the items' words each begins. Built once a block, then broadcast."""
 
     def __init__(self, items: list[tuple[str | None, str]], n: int):
-        self.by_length: dict[int, tuple[np.ndarray, dict[int, list[tuple[bytes, set[str]]]]]] = {}
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        column = pa.array([t for _, t in items], pa.string())
-        buf, off = utf8_parts(column)
-        w = Words(buf, off, "alnum", True)
-        h = w.hashes()
-        for i, (item, _) in enumerate(items):
-            a, b = int(w.docs[i]), int(w.docs[i + 1])
-            k = min(n, b - a)
-            if not k:
-                continue
-            words = [w.text(j) for j in range(a, b)]
-            for p, x in enumerate(window_hashes(h[a:b], k)):
-                found.setdefault(k, {}).setdefault(int(x), {}).setdefault(b" ".join(words[p : p + k]), set()).update([] if item is None else [item])
-        for k, x in found.items():
-            self.by_length[k] = np.sort(np.fromiter(x, np.uint64, len(x))), {a: list(y.items()) for a, y in x.items()}
+        self.ids = [i for i, _ in items]
+        w = Words(*utf8_parts(pa.array([t for _, t in items], pa.string())), "alnum", True)
+        h, counts = w.hashes(), w.counts
+        self.words = w
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in np.unique(np.minimum(counts[counts > 0], n)).tolist():
+            x = window_hashes(h, k)
+            end = np.repeat(w.docs[1:], counts)
+            whole = np.repeat(np.minimum(counts, n) == k, counts)
+            at = np.flatnonzero(whole[: len(x)] & (np.arange(len(x)) + k <= end[: len(x)]))
+            at = at[np.argsort(x[at], kind="stable")]
+            self.by_length[k] = x[at], at
 
     def scan(self, w: Words, h: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, words, items) of every window in w that is a benchmark's; never across documents."""
         last = np.repeat(w.docs[1:], w.counts)  # for each word, where its document's words end
-        for k, (keys, what) in sorted(self.by_length.items()):
+        for k, (keys, places) in sorted(self.by_length.items()):
             x = window_hashes(h, k)
-            if not len(x):
+            if not len(x) or not len(keys):
                 continue
             at = np.searchsorted(keys, x)
             hit = np.flatnonzero((keys[np.minimum(at, len(keys) - 1)] == x) & (np.arange(len(x)) + k <= last[: len(x)]))
             for p in hit.tolist():
-                words = b" ".join(w.text(j) for j in range(p, p + k))
-                for expected, items in what[int(x[p])]:
-                    if expected == words:
-                        yield p, k, items
+                words = [w.text(j) for j in range(p, p + k)]
+                same = [q for q in places[at[p] : np.searchsorted(keys, x[p], side="right")].tolist() if words == [self.words.text(j) for j in range(q, q + k)]]
+                if same:
+                    owners = np.searchsorted(self.words.docs, same, side="right") - 1
+                    yield p, k, {self.ids[i] for i in owners.tolist() if self.ids[i] is not None}
 
 
 def merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -88,16 +86,16 @@ def merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, str]]]:
+def _item_blocks(benchmark: DataFrame, most: int, n: int) -> Iterator[BenchmarkSet]:
     block, size, some = [], 0, False
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").toLocalIterator():
         block.append((r.i, r.t))
         size += len(r.t) // 4 + 1
         if size > most:
-            yield block
+            yield BenchmarkSet(block, n)
             block, size, some = [], 0, True
     if block or not some:
-        yield block
+        yield BenchmarkSet(block, n)
 
 
 def _start(docs: DataFrame) -> list:
@@ -106,16 +104,21 @@ def _start(docs: DataFrame) -> list:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, spans (flat begin, end of hit words, merged) and items (sorted ids) of each document."""
-    out = docs.select(*_start(docs))
-    shared = [docs.sparkSession.sparkContext.broadcast(items) for items in _item_blocks(benchmark, block_words)]
-    for i, items in enumerate(shared, 1):
-        out = out.mapInArrow(_pass(items, n, keep_text=i < len(shared)), SCHEMA)
+    spark, out, last = docs.sparkSession, docs.select(*_start(docs)), None
+    for known in _item_blocks(benchmark, block_words, n):
+        if last is not None:  # one block at a time: the pass before is written first
+            new = materialise(out)
+            discard(last)
+            last = out = new
+        else:
+            last = out
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(known)), SCHEMA)
     return out.drop("text")
 
 
-def _pass(shared, n: int, keep_text: bool = True):
+def _pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = BenchmarkSet(shared.value, n)
+        known = shared.value
         for b in batches:
             spans, items, counts = b.column(3).to_pylist(), b.column(4).to_pylist(), np.zeros(b.num_rows, np.int64)
             for i, j, w in blocks(b.column(1), "alnum", True):
@@ -130,8 +133,7 @@ def _pass(shared, n: int, keep_text: bool = True):
                     old = spans[i + d]
                     spans[i + d] = merge(s + list(zip(old[::2], old[1::2], strict=True)))
                     items[i + d] = sorted(found.union(items[i + d]))
-            text = b.column(1) if keep_text else pa.nulls(b.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(counts), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
 
     return run
 
@@ -154,8 +156,11 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFram
     wide = docs.select(*_start(docs), F.struct(*[F.col(f"`{f.name}`") for f in whole]).alias("rest"))
     spark = docs.sparkSession
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in wide.schema])
-    for items in _item_blocks(benchmark, BLOCK_WORDS):
-        wide = wide.mapInArrow(_carry(_pass(spark.sparkContext.broadcast(items), n)), schema)
+    first = True
+    for known in _item_blocks(benchmark, BLOCK_WORDS, n):
+        wide = wide if first else materialise(wide)
+        first = False
+        wide = wide.mapInArrow(_carry(_pass(spark.sparkContext.broadcast(known))), schema)
     wide = wide.mapInArrow(_carry(_cut), schema).where("text is not null or n_words is not null")
     out = wide.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in names])
     if "n_chars" in names:

@@ -15,26 +15,24 @@ an empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases of page furniture, looked for in the lower-cased line.
+from vigil.llm.common import let
+
+#: Phrases of page furniture in English, German, French and Spanish, looked for in the lower-cased line.
 BOILERPLATE = (
     "all rights reserved", "click here", "cookie policy", "copyright", "enable javascript", "follow us", "log in", "lorem ipsum",
     "newsletter", "privacy policy", "read more", "share this", "sign in", "sign up", "skip to content", "subscribe", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "datenschutz", "hier klicken", "impressum", "nutzungsbedingungen",
+    "tous droits réservés", "mentions légales", "cliquez ici", "politique de confidentialité", "conditions d'utilisation",
+    "todos los derechos reservados", "aviso legal", "haga clic", "política de privacidad", "condiciones de uso",
 )
 SPACE = "\\x20\\x09-\\x0D"
 _SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with a name for value, which is then computed once a row although body uses it often."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
@@ -63,43 +61,61 @@ def repeated_words(words: Column, window: int = 5) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with a word is page furniture or noise by itself."""
-    n = F.length(line)
+    """Whether a line with a word is page furniture or noise by itself; the cheaper rules come first."""
+
+    def rules(of: Column) -> Column:
+        line, low, n, words = of["line"], of["low"], of["n"], of["words"]
+        symbols = (n - _without(line, SYMBOLS)) * 12 > n
+        navigation = (n - _without(line, "|»•·›") >= 2) | (F.contains(line, F.lit(" > ")) | F.contains(line, F.lit(" / "))) & (F.regexp_count(line, F.lit(" [>/] ")) >= 2)
+        unended = (words <= 3) & ~F.rlike(line, F.lit(f"[.!?…:;,。！？\"'”’»)\\]][{SPACE}]*$"))
+        shouts = F.regexp_count(line, F.lit("!!"))
+        shouted = F.contains(line, F.lit("!!")) & (shouts >= 2) & (shouts * 3 >= words)
+        capitals = (words >= 5) & (low != line) & (F.upper(line) == line)
+        phrase = F.lit(False)
+        for p in BOILERPLATE:
+            phrase = phrase | F.contains(low, F.lit(p))
+        return symbols | navigation | unended | shouted | capitals | (words <= 30) & phrase
+
     words = F.size(F.split(F.trim(line), f"[{SPACE}]+"))
-    navigation = (n - _without(line, "|»•·›") >= 2) | (F.regexp_count(line, F.lit(" [>/] ")) >= 2)
-    low = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-    boilerplate = boilerplate & (words <= 30)
-    unended = ~F.rlike(line, F.lit(f"[.!?…:;,。！？\"'”’»)\\]][{SPACE}]*$")) & (words <= 3)
-    shouted = (F.regexp_count(line, F.lit("!!")) >= 2) & (F.regexp_count(line, F.lit("!!")) * 3 >= words)
-    capitals = (words >= 5) & (F.upper(line) == line) & (low != line)
-    symbols = (n - _without(line, SYMBOLS)) * 12 > n
-    return navigation | boilerplate | unended | shouted | capitals | symbols
+    return let(F.struct(line.alias("line"), F.lower(line).alias("low"), F.length(line).alias("n"), words.alias("words")), rules)
+
+
+def _lines(text: Column) -> Column:
+    """The lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]")))
+
+
+def _fine(distinct: Column) -> Column:
+    return F.filter(distinct, lambda x: ~line_fails(x))
+
+
+def _characters(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0), lambda a, x: a + _without(x, _SPACES))
+
+
+def _base_failed(n: Column, repeated: Column) -> Column:
+    return (n < 10) | (100 * repeated > 20 * n)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
 def quality_rules(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept."""
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")
 
     def of_lines(lines: Column) -> Column:
-        distinct = F.array_distinct(lines)
-        fine = F.aggregate(F.filter(distinct, lambda x: ~line_fails(x)), F.lit(0), lambda a, x: a + _without(x, _SPACES))
-        return F.struct((F.size(lines) - F.size(distinct)).alias("repeats"), fine.alias("fine"))
+        return let(F.array_distinct(lines), lambda distinct: F.struct((F.size(lines) - F.size(distinct)).alias("repeats"), _characters(_fine(distinct)).alias("fine")))
 
-    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]")))
-    counts = let(words, lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("repeated")))
     out = text.select(
         "doc_id",
-        counts.alias("of_words"),
+        let(_words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("repeated"))).alias("of_words"),
         _without(F.col("text"), _SPACES).cast("long").alias("word_chars"),
         (F.length("text") - _without(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
-        let(lines, of_lines).alias("of_lines"),
+        let(_lines(F.col("text")), of_lines).alias("of_lines"),
     )
     n, repeated = F.col("of_words.n"), F.col("of_words.repeated")
-    failed = (n < 10) | (100 * repeated > 20 * n)
     lost = F.col("word_chars") - F.col("of_lines.fine")
     return out.select(
         "doc_id",
@@ -108,7 +124,21 @@ def quality_rules(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
         "n_symbols",
         F.col("of_lines.repeats").cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
-        failed.alias("base_failed"),
+        _base_failed(n, repeated).alias("base_failed"),
         lost.cast("long").alias("lost_chars"),
-        (~failed & (lost <= most_lost * F.col("word_chars"))).alias("kept"),
+        (~_base_failed(n, repeated) & (lost <= most_lost * F.col("word_chars"))).alias("kept"),
     )
+
+
+def clean_documents(docs: DataFrame, most_lost: float = 0.5) -> DataFrame:
+    """The documents that are kept, with all their columns; the text has only the lines that stand, in order, repeats left out."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+    def judged(cleaned: Column) -> Column:
+        chars = _without(text, _SPACES)
+        return F.when(chars - _characters(cleaned) <= most_lost * chars, F.array_join(cleaned, "\n"))
+
+    base = let(_words(text), lambda w: _base_failed(F.size(w), repeated_words(w)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, F.when(~base, let(_fine(F.array_distinct(_lines(text))), judged)).alias("clean")).where("clean IS NOT NULL")
+    return out.select(*[(F.col("clean") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -88,4 +88,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from vigil.llm.oracles import ORACLES
+
+    return dict(ORACLES)

@@ -3,7 +3,8 @@
 The law is `key`: doc_id and the shard count decide. Jump hashing walks a pseudo-random sequence of ever larger bucket
 numbers that depends on the key alone and takes the last one below the shard count, so one more shard takes only rows
 into itself, and no ring or table is stored. The sequence's draws are xxhash64(doc_id, step), as uniform numbers in
-(0, 1]; the next bucket after b is floor((b + 1) / draw). It rises with every step, so `shards` steps always suffice.
+(0, 1]; the next bucket after b is floor((b + 1) / draw). It rises with every step; about ln(shards) steps end the walk,
+some four times as many are taken by default, and the few rows that need more go on until they are there.
 
 A row's slot is its number within the shard, from 0 without gaps. Shards are large, so rows are numbered within hashed
 buckets of a shard, and bucket sizes are summed up; the row's place in the written table is part of the hash, so that a
@@ -15,10 +16,12 @@ each. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import materialise
+from vigil.llm.common import let, materialise
 
 #: Rows that a bucket of a shard should have at most.
 _BUCKET_ROWS = 50_000
@@ -32,8 +35,12 @@ def jump_hash(key: Column, shards: int) -> Column:
         after = F.struct(state["next"].alias("at"), F.floor((state["next"] + 1) / draw).cast("double").alias("next"))
         return F.when(state["next"] < shards, after).otherwise(state)
 
-    begin = F.struct(F.lit(-1.0).alias("at"), F.lit(0.0).alias("next"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(shards - 1)), begin, step, lambda s: s["at"].cast("int"))
+    walk = lambda state, first, end: F.aggregate(F.sequence(F.lit(first), F.lit(end - 1)), state, step)
+    few = min(shards, 16 + 4 * math.ceil(math.log(shards)))
+    near = walk(F.struct(F.lit(-1.0).alias("at"), F.lit(0.0).alias("next")), 0, few)
+    if few == shards:
+        return near["at"].cast("int")
+    return let(near, lambda s: F.when(s["next"] >= shards, s["at"]).otherwise(walk(s, few, shards)["at"])).cast("int")
 
 
 def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 #: Nodes of a worker's trie before it is begun anew; bounds its memory.
 TRIE_NODES = 600_000
-#: Longer pre-tokens are scored in a pass of their own and leave no nodes.
+#: Depth of the trie: the characters of a pre-token behind these are scored in continuation and leave no nodes.
 LONGEST_SHARED = 48
 MARK = "▁"
 WHITE = " \t\n\x0b\x0c\r"
@@ -83,9 +83,6 @@ class PrefixTrie:
             return known
         text = MARK + pretoken
         best, count = [0.0], [0]
-        if len(text) > LONGEST_SHARED:
-            self._extend(text, best, count)
-            return count[-1], best[-1]
         if len(self.best) > self.limit:
             self._begin()
         node, child = 0, self.child
@@ -98,12 +95,14 @@ class PrefixTrie:
             count.append(self.count[node])
         shared = len(best)
         self._extend(text, best, count)
-        for end in range(shared, len(best)):
+        for end in range(shared, min(len(best), LONGEST_SHARED + 1)):
             below = child[node, text[end - 1]] = len(self.best)
             self.best.append(best[end])
             self.count.append(count[end])
             node = below
-        self.terminal[pretoken] = out = (count[-1], best[-1])
+        out = count[-1], best[-1]
+        if len(text) <= LONGEST_SHARED:
+            self.terminal[pretoken] = out
         return out
 
 
