@@ -1,11 +1,16 @@
-"""A pipeline that makes packed training sequences of documents: STAGES in order, each on all its predecessor kept."""
+"""A pipeline that makes packed training sequences of documents: STAGES in order, each on all its predecessor kept.
+
+Rows with null or blank text aren't toxic, are nobody's copies and have nothing to cut, so they pass to the last stage,
+where each is packed as its end token. Null doc_ids are rows like others. Repeated rows with text are exact copies, of
+which one stays. All stages but the last keep every column, whatever its name; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm.common import materialise
+from vigil.llm.common import discard, materialise
 from vigil.llm.decontaminate import remove_leaks
 from vigil.llm.minhash import drop_near_duplicates
 from vigil.llm.packing import pack_documents
@@ -51,7 +56,9 @@ ORACLE_SQL = None  # tokenizers and trained models are beyond SQL
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialise(docs)
+            made = materialise(made)
+            discard(docs)
+        docs = made
     return docs
