@@ -2,7 +2,8 @@
 
 The wavelet tree is kept level by level (all nodes of a level side by side, zeros before ones), each level as packed
 bits with running counts, so ranks of many positions are looked up at once. Backward search extends many patterns by
-one symbol in each step. Only the tree and the counts of smaller symbols are kept; text and suffix array are dropped.
+one symbol in each step. Only the tree, the counts of smaller symbols and the sums of weights are kept; text and suffix
+array are dropped.
 """
 
 from __future__ import annotations
@@ -30,10 +31,15 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray, depth: int):
-        """text: symbols from 1 up; patterns of up to depth symbols can be searched for."""
+    def __init__(self, text: np.ndarray, depth: int, weight: np.ndarray | None = None):
+        """text: symbols from 1 up; patterns of up to depth symbols can be searched for.
+
+        weight: for each symbol, how many times the text that begins there stands in the collection (default: once).
+        """
         order = suffix_array(text, depth)
         n = len(text)
+        each = np.append(np.ones(n, np.int64) if weight is None else weight, 0)
+        self.times = np.concatenate([[0], np.cumsum(each[order])])  # of the suffixes before each place
         bwt = np.where(order > 0, np.append(text, 0)[order - 1], 0).astype(np.int64)
         sigma = int(text.max(initial=0)) + 1
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=sigma))]).astype(np.int64)
@@ -71,7 +77,7 @@ class FMIndex:
         return base + both[:n], base + both[n:]
 
     def reach(self, text: np.ndarray, end: np.ndarray, floor: np.ndarray, least: int = 2) -> np.ndarray:
-        """The least s >= floor for which text[s : end + 1] occurs `least` times or more; end + 1 if there is none.
+        """The least s >= floor for which text[s : end + 1] occurs `least` times or more (by weight); end + 1 if there is none.
 
         These are the matching statistics of the places `end`, by backward search.
         """
@@ -81,7 +87,7 @@ class FMIndex:
             inside = begin[alive] > floor[alive]
             alive, low, high = alive[inside], low[inside], high[inside]
             low, high = self.extend(text[begin[alive] - 1], low, high)
-            more = high - low >= least
+            more = self.times[high] - self.times[low] >= least
             alive, low, high = alive[more], low[more], high[more]
             begin[alive] -= 1
         return begin

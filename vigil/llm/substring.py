@@ -3,13 +3,16 @@
 1. Every window of `window` words has a minimiser: the least-hashed run of GRAM words in it (the leftmost such). Windows
    in a row with the same minimiser form a segment, so each window of a document is in exactly one segment, and equal
    windows, wherever they are, have equal minimisers at equal places. A minimiser that occurs once has nothing to find.
-2. Segments of the other minimisers are grouped by minimiser and content (pre-aggregated): equal segments repeat as a
-   whole. Only one of each kind goes on, and only where a minimiser has several kinds.
-3. Those segments are dealt by minimiser to shards. Each shard builds an FM-index (suffix array, Burrows-Wheeler
-   transform, wavelet tree) and streams through it the segments that aren't known to repeat as a whole: backward search
-   gives their matching statistics, and windows within a stretch that occurs twice are reported as a bit mask. A minimiser with a great many kinds of
-   segments is dealt window by window, by the window's own hash, so that no shard grows with one passage.
-4. Masks go back to all segments of their kind and, by document, to the texts; covered words are left out. Documents
+2. Segments of the other minimisers are grouped by minimiser and content (pre-aggregated), and each kind goes on once,
+   with its count. Kinds whose minimiser has no other kind are joined to runs with their neighbours in the document.
+3. Kinds are dealt by minimiser to shards. Each shard builds an FM-index (suffix array, Burrows-Wheeler transform,
+   wavelet tree, and sums of the counts in suffix order) and streams all its segments through it: backward search gives
+   their matching statistics, and windows within a stretch that stands twice or more in the collection are reported as a
+   bit mask. Nothing is removed that an index hasn't reported.
+4. A minimiser with a great many kinds (a passage that very many documents share begins or ends there) isn't dealt as a
+   whole, lest a shard grow with one passage: its windows are counted by their own hashes, and those that come up again
+   are dealt one by one, each as a segment with its count.
+5. Masks go back to all segments of their kind and, by document, to the texts; covered words are left out. Documents
    without any report don't take part in that shuffle (a fixed-size bitmap of keys keeps them out).
 
 Null text has no words; texts shorter than a window lose nothing. Rows that repeat an id or a text are occurrences like
@@ -18,7 +21,9 @@ others. An empty table gives no rows. Other columns are ignored. Words are told
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import KeyFilter, Words, blocks, materialise, mix, row_key, signed, trim
+from vigil.llm.common import KeyFilter, Words, blocks, discard, materialise, mix, row_key, signed, trim
 from vigil.llm.decontaminate import window_hashes
 from vigil.llm.fm_index import FMIndex
 
 GRAM = 10
 #: Words of text in a shard's index.
-SHARD_WORDS = 200_000
+SHARD_WORDS = 400_000
 #: Kinds of segments beyond which a minimiser's windows are dealt one by one.
 MANY_KINDS = 2_000
+#: Windows of a segment, or of a run of segments, that a bit mask has room for.
+MOST_WINDOWS = 60
+_PARTS = pa.list_(pa.struct([("minimiser", pa.int64()), ("content", pa.int64()), ("of", pa.int32()), ("n", pa.int32()), ("alone", pa.bool_())]))
 
 
 def _gram(window: int) -> int:
-    return max(1, min(GRAM, window // 2))
+    """Words of a minimiser; of long windows more, so that a segment never has more than MOST_WINDOWS."""
+    return max(1, min(GRAM, window // 2), window + 1 - MOST_WINDOWS)
 
 
 def segments_of(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -91,52 +100,90 @@ def _find_segments(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "k1 long, k2 long, at int, n short, minimiser long, content long")
 
 
+def _by_doc(kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """text, wanted: the texts that hold the kinds (k1, k2, at, ...), each with its kinds."""
+    by_doc = materialise(kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "minimiser", "content", "times", "whole", "alone")).alias("wanted")))
+    return KeyFilter(kinds).apply(docs).join(by_doc, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")).select("text", "wanted")
+
+
+def _runs(wanted: list[dict]) -> Iterator[list[dict]]:
+    """Segments of a document to be indexed together: those that occur only as a whole, one behind the other, in runs."""
+    run: list[dict] = []
+    for s in sorted(wanted, key=lambda s: (s["at"], s["n"], s["content"])):
+        last = run[-1] if run else None
+        if last and last["whole"] and s["whole"] and s["at"] == last["at"] + last["n"] and s["at"] + s["n"] - run[0]["at"] <= MOST_WINDOWS:
+            run.append(s)
+            continue
+        if run:
+            yield run
+        run = [s]
+    if run:
+        yield run
+
+
 def _extract(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
-    """Words (hashes) of one segment of each kind: minimiser, content, of (first window's place in the segment), words, spread."""
+    """One row for each segment (or run of segments) to be indexed: spread (what deals it to a shard), words (hashes), times, parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             wanted = b.column(1).to_pylist()
-            for i, _, w in blocks(b.column(0), "space", False):
+            for i, j, w in blocks(b.column(0), "space", False):
                 h = w.hashes()
-                out: list[tuple] = []
-                for d in range(len(w.counts)):
-                    for s in wanted[i + d]:
-                        a = int(w.docs[d]) + s["at"]
-                        if s["many"]:
-                            own = signed(window_hashes(h[a : a + s["n"] + window - 1], window))
-                            out += [(s["minimiser"], s["content"], k, int(own[k]), h[a + k : a + k + window].tobytes(), s["asked"]) for k in range(s["n"])]
-                        else:
-                            out.append((s["minimiser"], s["content"], 0, s["minimiser"], h[a : a + s["n"] + window - 1].tobytes(), s["asked"]))
-                for j in range(0, len(out), 20_000):
-                    c = list(zip(*out[j : j + 20_000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary()), pa.array(c[5])], ["minimiser", "content", "of", "spread", "words", "asked"])
+                spread, words, times, parts = [], [], [], []
+                for d in range(j - i):
+                    for r in _runs(wanted[i + d]):
+                        a, z = int(w.docs[d]) + r[0]["at"], int(w.docs[d]) + r[-1]["at"] + r[-1]["n"] + window - 1
+                        spread.append(r[0]["minimiser"])
+                        words.append(h[a:z].tobytes())
+                        times.append(min(s["times"] for s in r))
+                        parts.append([{"minimiser": s["minimiser"], "content": s["content"], "of": s["at"] - r[0]["at"], "n": s["n"], "alone": s["alone"]} for s in r])
+                for x in range(0, len(spread), 10_000):
+                    y = x + 10_000
+                    yield pa.RecordBatch.from_arrays([pa.array(spread[x:y], pa.int64()), pa.array(words[x:y], pa.binary()), pa.array(times[x:y], pa.int64()), pa.array(parts[x:y], _PARTS)], ["spread", "words", "times", "parts"])
+
+    return _by_doc(kinds, docs).mapInArrow(run, "spread long, words binary, times long, parts array<struct<minimiser: long, content: long, of: int, n: int, alone: boolean>>")
+
+
+def _windows(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
+    """Every window of the kinds: minimiser, content, of (place in the segment), own (hash), times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted = b.column(1).to_pylist()
+            for i, j, w in blocks(b.column(0), "space", False):
+                g = window_hashes(w.hashes(), window)
+                rows = [(s["minimiser"], s["content"], s["times"], int(w.docs[d]) + s["at"], s["n"]) for d in range(j - i) for s in wanted[i + d]]
+                if not rows:
+                    continue
+                minimiser, content, times, at, n = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+                row = np.repeat(np.arange(len(n)), n)
+                of = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(minimiser[row]), pa.array(content[row]), pa.array(of.astype(np.int32)), pa.array(signed(g[at[row] + of])), pa.array(times[row])], ["minimiser", "content", "of", "own", "times"])
         trim()
 
-    by_doc = kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "minimiser", "content", "many", "asked")).alias("wanted"))
-    texts = KeyFilter(kinds).apply(docs).dropDuplicates(["k1", "k2"]).join(by_doc, ["k1", "k2"]).select("text", "wanted")
-    return texts.mapInArrow(run, "minimiser long, content long, of int, spread long, words binary, asked boolean")
+    return _by_doc(kinds, docs).mapInArrow(run, "minimiser long, content long, of int, own long, times long")
 
 
 def index_shard(table: pa.Table, window: int) -> pa.Table:
-    """Bit masks of the windows, in each segment of a shard, that occur at least twice in the shard."""
+    """Bit masks of the windows, in each segment of a shard, that stand at least twice in the collection, by the shard's index."""
     raw = table.column("words").to_pylist()
     lengths = np.array([len(r) // 8 for r in raw])
     h = np.frombuffer(b"".join(raw), np.uint64)
     codes = np.unique(h, return_inverse=True)[1] + 2
-    ends = np.cumsum(lengths)
-    begins = ends - lengths
+    begins = np.cumsum(lengths + 1) - (lengths + 1)
     text = np.ones(len(h) + len(lengths), np.int64)  # symbol 1 parts the segments
-    shift = np.repeat(np.arange(len(lengths)), lengths)
-    text[np.arange(len(h)) + shift] = codes
-    begins = begins + np.arange(len(lengths))
-    asked = np.flatnonzero(np.asarray(table.column("asked")))
-    mask = np.zeros(len(lengths), np.int64)
-    mask[asked] = FMIndex(text, int(lengths.max(initial=1))).repeated_windows(text, begins[asked], lengths[asked], window) << np.asarray(table.column("of"))[asked]
+    text[np.arange(len(h)) + np.repeat(np.arange(len(lengths)), lengths)] = codes
+    times = np.minimum(np.asarray(table.column("times")), 2)
+    index = FMIndex(text, int(lengths.max(initial=1)), np.repeat(times, lengths + 1))
+    found = index.repeated_windows(text, begins, lengths, window)
+    parts = table.column("parts").combine_chunks()
+    row = np.repeat(np.arange(len(lengths)), np.diff(np.asarray(parts.offsets)))
+    minimiser, content, of, n, alone = (np.asarray(c) for c in parts.flatten().flatten())
+    mask = (found[row] >> of.astype(np.int64)) & ((np.int64(1) << n.astype(np.int64)) - 1)
     some = mask != 0
-    del text, codes, h, raw
+    del text, codes, h, raw, index
     trim()
-    return pa.table({"minimiser": table.column("minimiser").filter(pa.array(some)), "content": table.column("content").filter(pa.array(some)), "mask": pa.array(mask[some])})
+    return pa.table({"minimiser": pa.array(minimiser[some]), "content": pa.array(content[some]), "mask": pa.array(mask[some]), "alone": pa.array(alone[some])})
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -145,21 +192,35 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     docs has k1, k2, text.
     """
     found = materialise(_find_segments(docs, window))
-    shared = found.groupBy("minimiser").agg(F.count("*").alias("times")).where("times > 1").select("minimiser")
-    found = materialise(found.join(shared, "minimiser"))
-    kinds = found.groupBy("minimiser", "content", "n").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "at")).alias("where"))
+    shared = materialise(found.groupBy("minimiser").agg(F.count("*").alias("times")).where("times > 1").select("minimiser"))
+    some = materialise(found.join(shared, "minimiser", "left_semi"))
+    discard(found, shared)
+    kinds = some.groupBy("minimiser", "content", "n").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "at")).alias("where"))
     kinds = materialise(kinds.select("minimiser", "content", "n", "times", "where.*"))
-    several = kinds.groupBy("minimiser").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = materialise(kinds.join(several, "minimiser").withColumns({"many": F.col("kinds") > MANY_KINDS, "asked": F.col("times") == 1}))
-    words = several.agg(F.sum(F.when(F.col("many"), F.col("n") * window).otherwise(F.col("n") + window))).first()[0] or 0
-    shards = 1 + words // SHARD_WORDS
-    dealt = _extract(docs, several, window).withColumn("shard", F.pmod(F.xxhash64("spread"), F.lit(shards)))
-    partial = dealt.groupBy("shard").applyInArrow(lambda t: index_shard(t.drop_columns(["shard"]), window), "minimiser long, content long, mask long")
-    partial = partial.groupBy("minimiser", "content").agg(F.bit_or("mask").alias("mask"))
-    whole = F.when(F.col("times") > 1, F.expr("shiftleft(1L, n) - 1")).otherwise(F.lit(0))
-    masks = kinds.join(partial, ["minimiser", "content"], "left").select("minimiser", "content", "n", F.coalesce("mask", F.lit(0)).bitwiseOR(whole).alias("mask")).where("mask <> 0")
-    hits = found.join(masks, ["minimiser", "content", "n"])
-    return materialise(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("places")))
+    per = materialise(kinds.groupBy("minimiser").agg(F.count("*").alias("kinds")))
+    all_kinds = materialise(kinds.join(per, "minimiser").withColumn("whole", F.col("kinds") == 1))
+    discard(kinds, per)
+
+    few = all_kinds.where(F.col("kinds") <= MANY_KINDS)
+    many = materialise(_windows(docs, all_kinds.where(F.col("kinds") > MANY_KINDS).withColumn("alone", F.lit(False)), window))
+    place = all_kinds.select("minimiser", "content", "k1", "k2", "at")
+    again = many.groupBy("own").agg(F.sum("times").alias("times"), F.min(F.struct("minimiser", "content", "of")).alias("one")).where("times > 1")
+    again = materialise(again.select("own", "times", "one.*"))
+    again_at = again.join(place, ["minimiser", "content"]).select(F.col("own").alias("minimiser"), F.col("own").alias("content"), F.lit(1).cast("short").alias("n"), "times", "k1", "k2", (F.col("at") + F.col("of")).alias("at"), F.lit(False).alias("whole"))
+    asked = materialise(few.select(*again_at.columns, F.lit(False).alias("alone")).unionByName(again_at.withColumn("alone", F.lit(True))))
+
+    words = asked.agg(F.sum(F.when(F.col("whole"), 2 * F.col("n")).otherwise(F.col("n") + window))).first()[0] or 0
+    dealt = _extract(docs, asked, window).withColumn("shard", F.pmod(F.xxhash64("spread"), F.lit(1 + words // SHARD_WORDS)))
+    masks = materialise(dealt.groupBy("shard").applyInArrow(lambda t: index_shard(t, window), "minimiser long, content long, mask long, alone boolean"))
+    discard(asked)
+    of_many = many.join(materialise(masks.where("alone").select(F.col("content").alias("own"))), "own", "left_semi")
+    of_many = of_many.groupBy("minimiser", "content").agg(F.bit_or(F.expr("shiftleft(1L, of)")).alias("mask"))
+    all_masks = materialise(masks.where("NOT alone").select("minimiser", "content", "mask").unionByName(of_many))
+    discard(masks, many, again)
+    hits = some.join(all_masks, ["minimiser", "content"])
+    places = materialise(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("places")))
+    discard(some, all_masks, all_kinds)
+    return places
 
 
 def _covered(places: list[dict], n: int, window: int) -> np.ndarray:
@@ -174,68 +235,66 @@ def _covered(places: list[dict], n: int, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _strip(batches: Iterator[pa.RecordBatch], text: int, places: int | None, window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str | None]]]:
-    """Each batch with its rows' words, removed words, and the kept words joined by a space (null: nothing removed)."""
-    for b in batches:
-        n, gone = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-        kept: list[str | None] = [None] * b.num_rows
-        marks = b.column(places).to_pylist() if places is not None else [None] * b.num_rows
-        for i, j, w in blocks(b.column(text), "space", False):
-            n[i:j] = w.counts
-            for d in range(j - i):
-                if marks[i + d]:
-                    a, z = int(w.docs[d]), int(w.docs[d + 1])
-                    out = _covered(marks[i + d], z - a, window)
-                    gone[i + d] = int(out.sum())
-                    kept[i + d] = b" ".join(w.text(a + k) for k in np.flatnonzero(~out)).decode()
-        yield b, n, gone, kept
-
-
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """docs (any columns) with n_words, n_removed and kept_text; kept_text is null where nothing was removed."""
-    names = docs.columns
-    wide = docs.select(*row_key(), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{f}`") for f in names]).alias("row"))
+def _stripped(docs: DataFrame, window: int, out: dict[str, str], one: Callable[[bytes, list[bytes], list[bytes] | None], tuple]) -> DataFrame:
+    """docs' columns but the text, as a struct `row`, and the columns `out`, which `one` makes of a row's text, words and kept words (None: all)."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]
+    row = F.struct(*others).alias("row")
+    wide = docs.select(*row_key(), F.col("text").cast("string").alias("text"), row)
     places = repeated_windows(wide.select("k1", "k2", "text"), window)
-    extra = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    schema = T.StructType([T.StructField("row", wide.schema["row"].dataType), *extra])
-
+    schema = T.StructType([T.StructField("row", wide.schema["row"].dataType), *T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in out.items())).fields])
+    types = [pa.string() if t == "string" else pa.int64() for t in out.values()]
     known = KeyFilter(places)
     may_be_touched = known.test
 
-    def run(with_places: bool):
+    def run(touched: bool):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = batches if with_places else (b.filter(pc.invert(may_be_touched(b.column(2)))) for b in batches)
-            for b, n, gone, kept in _strip(rows, 0, 2 if with_places else None, window):
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n), pa.array(gone), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept_text"])
+            for b in batches:
+                if not touched:
+                    b = b.filter(pc.invert(may_be_touched(b.column(2))))
+                marks = b.column(2).to_pylist() if touched else [None] * b.num_rows
+                made = []
+                for text, mark in zip(b.column(0).cast(pa.binary()), marks, strict=True):
+                    raw = text.as_py()
+                    words, kept = (raw or b"").split(), None  # bytes are parted at ASCII white space alone
+                    if mark:
+                        kept = list(compress(words, (~_covered(mark, len(words), window)).tolist()))
+                    made.append(one(raw, words, kept))
+                cols = list(zip(*made, strict=True)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["row", *out])
             trim()
 
         return go
 
-    touched = known.apply(wide).join(places, ["k1", "k2"], "left").select("text", "row", "places").mapInArrow(run(True), schema)
-    untouched = wide.select("text", "row", "k2").mapInArrow(run(False), schema)
-    out = touched.unionByName(untouched)
-    return out.select("row", "n_words", "n_removed", "kept_text")
+    with_places = known.apply(wide).join(places, ["k1", "k2"], "left").select("text", "row", "places").mapInArrow(run(True), schema)
+    return with_places.unionByName(wide.select("text", "row", "k2").mapInArrow(run(False), schema))
 
 
 def digest(docs: DataFrame, window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each document."""
-    stripped = remove_repeats(docs.select("doc_id", "text"), window)
-    space = "[\\x20\\x09-\\x0D]+"
-    whole = F.regexp_replace(F.coalesce("row.text", F.lit("")), f"^{space}|{space}$", "")
-    text = F.coalesce("kept_text", F.regexp_replace(whole, space, " "))
-    return stripped.select("row.doc_id", "n_words", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
+
+    def one(raw: bytes | None, words: list[bytes], kept: list[bytes] | None) -> tuple:
+        left = words if kept is None else kept
+        return len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()
+
+    out = _stripped(docs.select("doc_id", "text"), window, {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}, one)
+    return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """docs with repeated passages taken out of the text (the words left are joined by a space); columns stay."""
-    out = remove_repeats(docs, window)
-    text = F.coalesce("kept_text", F.col("row.text"))
+    """docs with repeated passages taken out of the text (the words left are joined by a space); columns stay.
+
+    Texts that lose nothing stay as they are; n_chars, where it is a column, follows the text of the others.
+    """
+
+    def one(raw: bytes | None, words: list[bytes], kept: list[bytes] | None) -> tuple:
+        if kept is None or len(kept) == len(words):
+            return (None if raw is None else raw.decode()), None
+        text = b" ".join(kept).decode()
+        return text, len(text)
+
+    out = _stripped(docs, window, {"new_text": "string", "new_chars": "long"}, one)
     cols = []
     for f in docs.schema:
-        if f.name == "text":
-            cols.append(text.alias("text"))
-        elif f.name == "n_chars":
-            cols.append(F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.char_length(text)).cast(f.dataType).alias("n_chars"))
-        else:
-            cols.append(F.col(f"row.`{f.name}`").alias(f.name))
+        old = F.col(f"row.`{f.name}`")
+        cols.append(F.col("new_text").alias("text") if f.name == "text" else (F.coalesce(F.col("new_chars").cast(f.dataType), old) if f.name == "n_chars" else old).alias(f.name))
     return out.select(*cols)
