@@ -26,3 +26,22 @@ def test_awkward_rows_pass_all_stages(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count()
+
+
+def test_empty_table_passes_all_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0
+
+
+def test_clashing_names_and_null_rows(spark, sf):
+    """Columns named like those that the stages use, and rows of nothing but nulls, go through unharmed."""
+    names = ["task", "root", "row", "rest", "places", "set_key", "kept", "label", "features", "spans", "new_text", "shard"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, f"text number {i} " + " ".join(f"w{i}x{k}" for k in range(30)), *names) for i in range(8)] + [(None, None, *[None] * len(names))] * 2
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == ["doc_id", "text", *names]
+    assert sorted(map(tuple, docs.collect()), key=repr) == sorted(rows, key=repr)

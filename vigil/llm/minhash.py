@@ -6,13 +6,15 @@
    tail's point). So it agrees in one of the first K - T + 1 coordinates (the prefix), and only those are posted: a
    class under each of its prefix (coordinate, value) pairs. Lists of one member are skipped, and so are classes in
    fewer lists than a pair at the threshold would share but for the same odds.
-3. Every class is compared with one centre, the member that leads most of its lists. Exact similarity on the full sets
-   makes links; components of links merge classes, which settles most members of big groups.
-4. Only lists whose members are still of several components go on. They are merged in blocks of members (a list of any
-   size is split, and two blocks meet in one task): collisions of whole signatures are counted at once, pairs of one
-   component or whose first common prefix coordinate is another list's are skipped, and members that have a pair of at
-   least T collisions left are kept. Those members' sets are fetched, every such pair is compared exactly, and a task
-   returns only links that join components. No pairs are listed within a group, and no link is lost.
+3. Every class is paired with CENTRES centres, the members that lead most of its lists (each list has a leader in each of
+   so many random orders). Pairs of T collisions or more are compared by exact similarity on the full sets, which
+   makes links; components of links merge classes. This settles most members of big groups.
+4. Only lists whose members are still of several components go on. Those of many loose members (outside the largest
+   component) are refined: lists for further common coordinates take their place, which parts members that have just a
+   common line. Loose members then meet all members of a list in tasks of bounded size: collisions of whole signatures are
+   counted at once, pairs of one component or whose first common coordinates are another list's are skipped, and
+   members that have a pair of at least T collisions left are kept. Those members' sets are fetched, every such pair is
+   compared exactly, and a task returns only links that join components. No pairs are listed, and no link is lost.
 5. Components of all links give each class, and so each document, the least doc_id that can be reached.
 
 A text of fewer words than a shingle is one shingle; null and blank texts have an empty set and are linked with
@@ -27,15 +29,17 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import KeyFilter, blocks, materialise, mix, row_key, signed, trim
+from vigil.llm.common import KeyFilter, blocks, discard, materialise, mix, row_key, signed, trim
 from vigil.llm.graph import components
 
 K = 32
 #: Members of a block of a posting list.
 BLOCK = 512
+#: Centres that a class is compared with at first, and how often long lists are refined.
+CENTRES, REFINED = 2, 3
 _ODDS = np.random.default_rng(77).integers(1, 1 << 62, (K, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SET_SEEDS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 SIGNATURES = "k1 long, k2 long, n_shingles long, set_key binary, signature binary"
@@ -117,17 +121,47 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(*row_key(), F.col("text").cast("string")).mapInArrow(run, SIGNATURES)
 
 
-def _postings(classes: DataFrame, prefix: int) -> DataFrame:
+def _list_keys(lists: np.ndarray, coordinate: np.ndarray, values: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(lists + mix(values + (coordinate + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _unpack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, K)
+
+
+def _postings(members: DataFrame, prefix: int) -> DataFrame:
+    """set_key, list, coordinates, root, parent (the list they refine) of the lists that a member is posted under.
+
+    members has set_key, signature, root, and a list with the coordinates (bits) that it stands for. The new lists have one
+    coordinate more, behind all others: of those below prefix with none, below prefix + d with d of them already.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 4000):
                 part = b.slice(i, 4000)
-                m = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, K)[:, :prefix]
-                with np.errstate(over="ignore"):
-                    lists = mix(m + np.arange(1, prefix + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(np.repeat(np.arange(part.num_rows), prefix)), pa.array(signed(lists.reshape(-1)))], ["set_key", "list"])
+                bits = np.asarray(part.column(3))
+                last = np.array([int(x).bit_length() for x in bits.tolist()])
+                row, c = np.nonzero((np.arange(K) >= last[:, None]) & (np.arange(K) < prefix + np.bitwise_count(bits)[:, None]))
+                lists = _list_keys(np.asarray(part.column(2)).view(np.uint64)[row], c, _unpack(part.column(1))[row, c])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(signed(lists)), pa.array(bits[row] | (np.int64(1) << c)), part.column(4).take(pa.array(row)), part.column(2).take(pa.array(row))], ["set_key", "list", "coordinates", "root", "parent"])
+
+    return members.select("set_key", "signature", "list", "coordinates", "root").mapInArrow(run, "set_key binary, list long, coordinates long, root binary, parent long")
+
+
+def _collide(pairs: DataFrame, classes: DataFrame, need: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least so many coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 4000):
+                part = b.slice(i, 4000)
+                near = (_unpack(part.column(2)) == _unpack(part.column(3))).sum(axis=1) >= need
+                yield part.select([0, 1]).filter(pa.array(near))
 
-    return classes.select("set_key", "signature").mapInArrow(run, "set_key binary, list long")
+    of = lambda side: classes.select(F.col("set_key").alias(side), F.col("signature").alias(f"of_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -151,43 +185,54 @@ def _similar(a: str, b: str, percent: int):
     return (100 + percent) * inter >= percent * union
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a list in every pair of blocks that it belongs to: first, second block, and which it is in."""
-    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", own).select("*", other)
-    return rows.withColumn("pair", F.concat_ws(":", "list", F.least("own", "other"), F.greatest("own", "other"))).drop("other", "blocks", "n")
+def _blocks(members: DataFrame) -> DataFrame:
+    """members of lists (with n, loose of the list, and whether they are loose) as rows of tasks of bounded size.
 
+    A list of at most BLOCK members is one task. Of a longer one, every block of loose members meets every block of
+    members; as few are loose, or the list has been refined, that is about as many rows as the list has members.
+    """
+    own = lambda n: F.pmod(F.xxhash64("set_key"), n).cast("int")
+    rows = members.withColumns({"by": F.ceil(F.col("loose") / BLOCK).cast("int"), "of": F.ceil(F.col("n") / BLOCK).cast("int"), "small": F.col("n") <= BLOCK})
+    task = lambda by, of: F.concat_ws(":", "list", by, of).alias("task")
+    cols = ["list", "coordinates", "set_key", "root", "is_loose", "small"]
+    small = rows.where("small").select(task(F.lit(0), F.lit(0)), *cols, F.col("is_loose").alias("asks"))
+    others = rows.where("NOT small").select("*", F.explode(F.sequence(F.lit(0), F.col("by") - 1)).alias("k")).select(task(F.col("k"), own(F.col("of"))), *cols, F.lit(False).alias("asks"))
+    asking = rows.where("NOT small AND is_loose").select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("k")).select(task(own(F.col("by")), F.col("k")), *cols, F.lit(True).alias("asks"))
+    return small.union(others).union(asking)
 
-def _candidates(sig: np.ndarray, part: np.ndarray, own: np.ndarray, of: int, prefix: int, need: int) -> np.ndarray:
-    """Which pairs (i < j) of a block pair are compared in this list: a boolean matrix."""
-    n = len(sig)
-    hits, first = np.zeros((n, n), np.uint8), np.full((n, n), prefix, np.uint8)
-    for c in range(K):
-        same = sig[:, c][:, None] == sig[:, c][None, :]
-        hits += same
-        if c < prefix:
-            first[same & (first == prefix)] = c
-    two = own[:, None] != own[None, :]
-    met = two | (own.min() == own.max())  # pairs within one block are left to the task of that block alone
-    return np.triu((hits >= need) & (first == of) & (part[:, None] != part[None, :]) & met, 1)
 
+def _candidates(sig: np.ndarray, part: np.ndarray, loose: np.ndarray, asks: np.ndarray, small: bool, coordinates: int, need: int, order: np.ndarray) -> np.ndarray:
+    """Which pairs (an asking member, another) of a task are compared: a boolean matrix of asking by all members.
 
-def _coordinate(sig: np.ndarray, lists: int, prefix: int) -> int:
-    with np.errstate(over="ignore"):
-        v = mix(sig[0, :prefix] + np.arange(1, prefix + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return int(np.flatnonzero(v == np.uint64(lists & (1 << 64) - 1))[0])
+    Left out are pairs of one component, of too few collisions, whose first common coordinates are another list's, and
+    one of the two ways to look at a pair of loose members.
+    """
+    a = np.flatnonzero(asks)
+    hits, same = np.zeros((len(a), len(sig)), np.uint8), np.zeros((len(a), len(sig)), np.uint64)
+    last = int(coordinates).bit_length()
+    for c in range(K):
+        eq = sig[a, c][:, None] == sig[:, c][None, :]
+        hits += eq
+        if c < last:
+            same |= eq.astype(np.uint64) << np.uint64(c)
+    once = ~loose[None, :] | (order[a][:, None] < order[None, :])
+    other = np.ones(len(sig), bool) if small else ~asks
+    return (hits >= need) & (same == np.uint64(coordinates)) & (part[a][:, None] != part[None, :]) & once & other[None, :]
 
 
-def _matrix(table: pa.Table, prefix: int, need: int) -> tuple[np.ndarray, np.ndarray]:
-    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(-1, K)
+def _matrix(table: pa.Table, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs to be compared, the indices of the asking members, and numbers of all members' components."""
     roots = {r: i for i, r in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
     part = np.array([roots[r] for r in table.column("root").to_pylist()])
-    of = _coordinate(sig, table.column("list")[0].as_py(), prefix)
-    return _candidates(sig, part, np.asarray(table.column("own")), of, prefix, need), part
+    keys = table.column("set_key").to_pylist()
+    place = {k: i for i, k in enumerate(sorted(set(keys)))}
+    order = np.array([place[k] for k in keys])
+    asks = np.asarray(table.column("asks"))
+    pairs = _candidates(_unpack(table.column("signature")), part, np.asarray(table.column("is_loose")), asks, table.column("small")[0].as_py(), table.column("coordinates")[0].as_py(), need, order)
+    return pairs, np.flatnonzero(asks), part
 
 
-def _links(pairs: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _links(pairs: np.ndarray, asking: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links among the pairs that join components, compared exactly; one of a component pair is enough."""
     parent = list(range(int(part.max()) + 1))
 
@@ -199,8 +244,9 @@ def _links(pairs: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent:
 
     out = []
     sizes = np.array([len(s) for s in sets])
-    for i in np.flatnonzero(pairs.any(axis=1)):
-        others = np.array([j for j in np.flatnonzero(pairs[i]) if find(int(part[j])) != find(int(part[i]))], dtype=np.int64)
+    for row in np.flatnonzero(pairs.any(axis=1)):
+        i = int(asking[row])
+        others = np.array([j for j in np.flatnonzero(pairs[row]) if find(int(part[j])) != find(int(part[i]))], dtype=np.int64)
         if not len(others):
             continue
         small, big = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
@@ -220,63 +266,120 @@ def _links(pairs: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent:
     return out
 
 
+def _placed(posted: DataFrame) -> DataFrame:
+    """posted (with root) of the lists that hold several components: with n, loose (all but the largest component's), is_loose."""
+    sizes = posted.groupBy("list", "root").agg(F.count("*").alias("k"))
+    lists = sizes.groupBy("list").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most")).where("n > most.k")
+    lists = materialise(lists.select("list", "n", F.col("most.root").alias("bulk"), (F.col("n") - F.col("most.k")).alias("loose")))
+    out = materialise(posted.join(lists, "list").withColumn("is_loose", F.col("root") != F.col("bulk")).drop("bulk"))
+    discard(lists)
+    return out
+
+
+def _centred(members: DataFrame, classes: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
+    """Links between members and, CENTRES times, the centre that leads most of their lists in an order of its own."""
+    lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "set_key").alias("h"), "set_key"))["set_key"].alias(f"c{k}")
+    leads = materialise(members.groupBy("list").agg(*[lead(k) for k in range(CENTRES)]))
+    star = members.select("set_key", "list").join(leads, "list").select("set_key", F.posexplode(F.array(*[f"c{k}" for k in range(CENTRES)])).alias("k", "centre"))
+    votes = star.where("set_key <> centre").groupBy("set_key", "k", "centre").agg(F.count("*").alias("votes"))
+    best = votes.groupBy(F.col("set_key").alias("a"), "k").agg(F.max_by("centre", F.struct("votes", "centre")).alias("b")).select("a", "b").distinct()
+    near = _collide(best, classes, need)
+    of = lambda side: sets.select(F.col("set_key").alias(side), F.col("shingles").alias(f"of_{side}"))
+    out = materialise(near.join(of("b"), "b").join(of("a"), "a").where(_similar("of_a", "of_b", percent)).select("a", "b"))
+    discard(leads)
+    return out
+
+
+def _task_rows() -> Column:
+    """A member's share of the rows that _blocks makes of its list."""
+    return F.when(F.col("n") <= BLOCK, 1.0).otherwise(2 * F.col("loose") / BLOCK)
+
+
+def _refined(members: DataFrame, classes: DataFrame, prefix: int, need: int) -> DataFrame:
+    """members of the lists to be compared: long lists of many loose members are parted by further coordinates.
+
+    A pair that agrees in `need` coordinates agrees in d + 1 of the first prefix + d, so a list that stands for d of them can
+    be replaced by those that stand for d + 1. It is, if these make fewer rows (REFINED times at most); members that are
+    all alike, but not enough to be linked, stay in one list.
+    """
+    done = None
+    for _ in range(min(REFINED, need - 1)):
+        fine, long = members.where(F.col("loose") <= BLOCK), members.where(F.col("loose") > BLOCK)
+        done = fine if done is None else done.unionByName(fine)
+        if not long.limit(1).count():
+            return done
+        posted = materialise(_postings(long.join(classes.select("set_key", "signature"), "set_key"), prefix))
+        parts = _placed(posted)
+        now = long.groupBy("list").agg(F.sum(_task_rows()).alias("now"))
+        then = parts.groupBy(F.col("parent").alias("list")).agg(F.sum(_task_rows()).alias("then"))
+        worth = materialise(now.join(then, "list", "left").where("coalesce(then, 0) < now").select("list"))
+        discard(posted)
+        done = done.unionByName(long.join(worth, "list", "left_anti"))
+        members = parts.join(worth.select(F.col("list").alias("parent")), "parent", "left_semi").drop("parent")
+        if not worth.limit(1).count():
+            break
+    return done.unionByName(members)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """k1, k2, root (null without shingles), doc_id, n_shingles, component_id of each row; percent: the least similarity of linked sets."""
     need = collisions_needed(percent)
     prefix = K - need + 1
     rows = materialise(signatures(docs, words))
-    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("k1", "k2")).alias("of"), F.first("signature").alias("signature"))
-    classes = materialise(classes.select("set_key", "of.k1", "of.k2", "signature"))
-    posted = _postings(classes, prefix)
-    lists = materialise(posted.groupBy("list").agg(F.count("*").alias("n"), F.min("set_key").alias("centre")).where("n > 1"))
-    posted = materialise(posted.join(lists, "list"))
-    enough = posted.groupBy("set_key").agg(F.count("*").alias("shared")).where(F.col("shared") >= collisions_needed(percent, prefix)).select("set_key")
-    posted = materialise(posted.join(enough, "set_key", "left_semi"))
-
-    star = posted.where("set_key <> centre").groupBy("set_key", "centre").agg(F.count("*").alias("votes"))
-    star = star.groupBy("set_key").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre"))
-    star = materialise(star)
-    members = posted.select("set_key").distinct()
-    sets = _sets(docs, materialise(classes.join(members, "set_key").select("k1", "k2", "set_key")), words)
-    linked = (
-        star.join(sets.select(F.col("set_key").alias("centre"), F.col("shingles").alias("theirs")), "centre")
-        .join(sets, "set_key")
-        .where(_similar("shingles", "theirs", percent))
-        .select(F.col("set_key").alias("a"), F.col("centre").alias("b"))
-    )
-    linked = materialise(linked)
+    doc_id = F.when(F.col("k1") != -(1 << 62), F.col("k1"))
+    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("k1", "k2")).alias("of"), F.first("signature").alias("signature"), F.min(doc_id).alias("least"))
+    classes = materialise(classes.select("set_key", "of.k1", "of.k2", "signature", "least"))
+    slim = materialise(rows.drop("signature"))
+    discard(rows)
+    all_posted = _postings(classes.select("set_key", "signature", F.lit(0).cast("long").alias("list"), F.lit(0).cast("long").alias("coordinates"), F.lit(None).cast("binary").alias("root")), prefix).drop("root", "parent")
+    lists = materialise(all_posted.groupBy("list").agg(F.count("*").alias("k")).where("k > 1").select("list"))
+    posted = materialise(all_posted.join(lists, "list"))
+    enough = materialise(posted.groupBy("set_key").agg(F.count("*").alias("shared")).where(F.col("shared") >= collisions_needed(percent, prefix)).select("set_key"))
+    candidates = materialise(posted.join(enough, "set_key", "left_semi"))
+    discard(lists, posted)
+
+    signed_classes = materialise(classes.join(enough, "set_key").select("set_key", "k1", "k2", "signature"))
+    sets = _sets(docs, signed_classes.select("k1", "k2", "set_key"), words)
+    linked = _centred(candidates, signed_classes, sets, need, percent)
     roots = components(linked)
-
-    placed = posted.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "list", "n", F.coalesce("root", "set_key").alias("root"))
+    placed = candidates.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     placed = materialise(placed)
-    split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list")
-    open_members = materialise(_block_pairs(placed.join(split, "list")))
-    schema = "pair string, list long, own int, set_key binary, root binary, signature binary"
+    members = _placed(placed)
+    discard(candidates, placed)
+
+    tasks = materialise(_blocks(_refined(members, signed_classes, prefix, need)))
+    schema = "task string, list long, coordinates long, set_key binary, root binary, is_loose boolean, small boolean, asks boolean, signature binary"
 
     def flag(table: pa.Table) -> pa.Table:
-        pairs, _ = _matrix(table, prefix, need)
-        return table.filter(pa.array(pairs.any(axis=0) | pairs.any(axis=1)))
+        pairs, asking, _ = _matrix(table, need)
+        wanted = pairs.any(axis=0)
+        wanted[asking[pairs.any(axis=1)]] = True
+        return table.filter(pa.array(wanted))
 
-    with_signature = open_members.join(classes.select("set_key", "signature"), "set_key").select("pair", "list", "own", "set_key", "root", "signature")
-    flagged = materialise(with_signature.groupBy("pair").applyInArrow(flag, schema))
+    with_signature = tasks.join(signed_classes, "set_key").select(*[f.split()[0] for f in schema.split(", ")])
+    flagged = materialise(with_signature.groupBy("task").applyInArrow(flag, schema))
+    discard(tasks, members)
 
     def link(table: pa.Table) -> pa.Table:
-        pairs, part = _matrix(table, prefix, need)
-        sets = [np.asarray(s.values).view(np.uint64) for s in table.column("shingles")]
+        pairs, asking, part = _matrix(table, need)
+        sets = [np.sort(np.asarray(s.values).view(np.uint64)) for s in table.column("shingles")]
         keys = table.column("set_key").to_pylist()
-        got = _links(pairs, part, [np.sort(s) for s in sets], percent)
+        got = _links(pairs, asking, part, sets, percent)
         return pa.table({"a": pa.array([keys[i] for i, _ in got], pa.binary()), "b": pa.array([keys[j] for _, j in got], pa.binary())})
 
-    more = flagged.join(sets, "set_key").groupBy("pair").applyInArrow(link, "a binary, b binary")
-    roots = components(materialise(linked.unionByName(more)))
+    more = materialise(flagged.join(sets, "set_key").groupBy("task").applyInArrow(link, "a binary, b binary"))
+    discard(flagged, sets, signed_classes)
+    if more.limit(1).count():
+        discard(roots)
+        roots = components(materialise(linked.unionByName(more)))
 
-    named = rows.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("k1", "k2", "n_shingles", F.coalesce("root", "set_key").alias("root"))
-    doc_id = F.when(F.col("k1") != -(1 << 62), F.col("k1"))
-    least = named.where("n_shingles > 0").groupBy("root").agg(F.min(doc_id).alias("component_id"))
-    out = named.join(least, "root", "left")
-    own = F.when(F.col("n_shingles") == 0, doc_id).otherwise(F.col("component_id"))
-    root = F.when(F.col("n_shingles") > 0, F.col("root"))
-    return out.select("k1", "k2", root.alias("root"), doc_id.alias("doc_id"), "n_shingles", own.alias("component_id"))
+    of_class = materialise(classes.select("set_key", "least").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", F.coalesce("root", "set_key").alias("root")))
+    discard(classes, roots, linked, more)
+    least = materialise(of_class.groupBy("root").agg(F.min("least").alias("component_id")))
+    of_class = materialise(of_class.join(least, "root").select("set_key", "root", "component_id"))
+    out = slim.where("n_shingles > 0").join(of_class, "set_key").select("k1", "k2", "root", doc_id.alias("doc_id"), "n_shingles", "component_id")
+    alone = slim.where("n_shingles = 0").select("k1", "k2", F.lit(None).cast("binary").alias("root"), doc_id.alias("doc_id"), "n_shingles", doc_id.alias("component_id"))
+    return out.unionByName(alone)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -284,12 +387,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: that of the least doc_id (of rows that share it, the one of the least key)."""
+    """docs with one row of each group: that of the least doc_id (of rows that share it, the one of the least key).
+
+    Rows without a word all stay.
+    """
     found = near_duplicates(docs, words, percent)
-    alone = found.where("n_shingles = 0").select("k1", "k2")
-    group = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct((F.col("k1") == -(1 << 62)).alias("no_id"), "k1", "k2")).alias("of")).select("of.k1", "of.k2")
-    stay = group.union(alone).distinct().select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    group = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct((F.col("k1") == -(1 << 62)).alias("no_id"), "k1", "k2")).alias("of"))
     k1, k2 = row_key()
-    kept = docs.withColumns({"_k1": k1, "_k2": k2}).join(stay, ["_k1", "_k2"], "left_semi")
-    full = kept.where(F.trim(F.coalesce("text", F.lit(""))) != "").dropDuplicates(["_k1", "_k2"])
-    return full.unionByName(kept.where(F.trim(F.coalesce("text", F.lit(""))) == "")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(k1, k2, F.rlike(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")).alias("full"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    full = rows.where("full").join(materialise(group.select("of.k1", "of.k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    kept = full.select("row").unionByName(rows.where("NOT full").select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import materialise
+from vigil.llm.common import inverse, materialise
 
 FIT_ROWS = 12_000
 LEXICON = 2_000
@@ -180,7 +180,7 @@ def choose_terms(words: list[tuple[str, int, float]], starts: list[tuple[str, in
             kept[s] = w
     out = [(s, True, w) for s, w in kept.items()]
     out += [(t, False, w) for t, _, w in words if not any(t.startswith(s) for s in kept)]
-    return sorted(out)[:LEXICON]
+    return sorted(sorted(out, key=lambda x: (-x[2], x[0]))[:LEXICON])  # by weight, should there be more
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -192,8 +192,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     a = np.column_stack([x, np.ones(len(y))])
     w, penalty = np.zeros(a.shape[1]), np.array([ridge] * x.shape[1] + [ridge / 10]) * len(y) / 100
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), a.T @ (y - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip((a * w).sum(axis=1), -35, 35)))
+        slope = (a * (y - p)[:, None]).sum(axis=0) - penalty * w
+        curve = np.einsum("ni,nj->ij", a * (p * (1 - p))[:, None], a) + np.diag(penalty + 1e-9)
+        step = (inverse(curve) * slope).sum(axis=1)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -226,20 +228,18 @@ class ToxicityModel:
         return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
     def drop_toxic(self, docs: DataFrame) -> DataFrame:
-        """docs, all columns, without the rows that score 0.5 or more."""
+        """docs, all columns, without the rows that score 0.5 or more; only texts go to Python, and only scores come back."""
         shared = docs.sparkSession.sparkContext.broadcast((self.terms, self.weights))
-        names = [f"`{c}`" for c in docs.columns]
-        rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in names]).alias("row"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @F.arrow_udf("double")
+        def evidence(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             terms, w = shared.value
             m = Matcher(Lexicon(terms))
-            for b in batches:
-                x = np.array([m.features(t.as_py()) for t in b.column(0)]).reshape(-1, FEATURES)
-                yield b.filter(pa.array(x @ w[:-1] + w[-1] < 0))
+            for t in texts:
+                x = np.array([m.features(v.as_py()) for v in t]).reshape(-1, FEATURES)
+                yield pa.array((x * w[:-1]).sum(axis=1) + w[-1])
 
-        kept = rows.mapInArrow(run, rows.schema)
-        return kept.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])
+        return docs.where(evidence(F.col("text").cast("string")) < 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
