@@ -119,6 +119,54 @@ def test_tokens_and_pruned_merge(spark, tmp_path):
     assert store.append(rows((5, 5)), "t", "other-0") == 4 and store.read("t").count() == 5, "tokens outlive a compaction"
 
 
+def test_queue_of_the_whole_chain(spark, sf):
+    """Scores put together in Python from what screening, graph and features say."""
+    from vigil.plans import catalogue, jobs
+    from vigil.plans import tables as t
+
+    rank = {"exact": 3, "strong": 2, "weak": 1}
+    points = {0: 0, 1: 10, 2: 30, 3: 50}
+    accounts = t.accounts(spark, sf)
+    best, risky = Counter(), set()
+    for r in jobs.screened(accounts, catalogue._watchlist(spark, sf), 0.10).collect():
+        best[r.account_id] = max(best[r.account_id], rank[r.match_confidence_band])
+        if r.match_confidence_band != "weak":
+            risky.add(r.account_id)
+    network = {r.account_id: r.network_risk_exposure for r in graph.network_reference(accounts, graph.node_risk(t.classes(spark, sf), t.edges(spark, sf))).collect()}
+    met = set()
+    for r in t.transactions(spark, sf).select("source_account_id", "target_account_id").collect():
+        met |= {r[0]} if r[1] in risky else set()
+        met |= {r[1]} if r[0] in risky else set()
+    plain = {r.account_id: r for r in t.profiles(spark, sf).collect()}
+    want = {}
+    for a, r in plain.items():
+        behaviour = r.pts_velocity + r.pts_diversity + r.pts_round_dollar + r.pts_burst
+        total = min(100, points[best[a]] + behaviour + 20 * (a in met) + 15 * (network.get(a, 0) > t.STAND_IN_RULES["thr_network_risk"]))
+        if best[a] == 3 or total >= t.STAND_IN_RULES["alert_min_score"]:
+            want[a] = total
+    got = catalogue.QUERIES["alert_queue_screened"](spark, sf).collect()
+    assert {r.account_id: r.composite_risk_score for r in got} == want and risky and network
+    scores = sorted(want.values(), reverse=True)
+    assert all(r.priority_rank == scores.index(r.composite_risk_score) + 1 for r in got)
+
+
+def test_jobs_run(spark, sf, tmp_path):
+    from vigil.plans import jobs
+
+    store = TableStore(spark, f"file://{tmp_path}/s")
+    ended = jobs.run("month_end", spark, sf, store)
+    assert ended[-3:] == ["gold", "gate", "publish"] and set(ended) == set(runner.JOBS["month_end"])
+    assert store.read("profiles").count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert store.read("ops_control").first().pipeline_name == "gold_month_end_publish"
+    jobs.run("streaming", spark, sf, store)
+    assert store.read("txn_events").count() > 0
+    jobs.run("replay", spark, sf, store)
+    jobs.run("maintenance", spark, sf, store)
+    assert jobs.run("bronze", spark, sf, store) and store.read("edges").count() > 0
+    for name, graph_of in runner.JOBS.items():
+        assert set(graph_of) <= set(jobs.tasks(spark, sf, store, datetime.datetime(2026, 1, 1))), name
+
+
 def test_validity_and_contracts(spark):
     rows = [("1", "2", "3.5", "4"), ("99999999999", "2", "1", "1"), ("1", None, "1", "1"), ("1", "2", "x", "1"), ("1", "2", "NaN", "1"), ("1", "2", "1", "0"), ("1", "2", "1", "-1"), ("1.5", "2", "1", "1")]
     df = spark.createDataFrame(rows, schemas.TRANSACTIONS)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vigil.functions import text
 from vigil.functions.clock import step_to_time
 from vigil.operators import entities, features, governance, graph, identity, matching, ops, quality, scd2, scoring, serving
+from vigil.plans import jobs
 from vigil.plans import oracle as o
 from vigil.plans import tables as t
 from vigil.sources import readers
@@ -436,6 +437,19 @@ def match_wratio_blocked(spark, d):
     return matching.screen(people.select(F.col("account_id").alias("candidate_id"), F.col("synthetic_holder_name").alias("name"), F.col("synthetic_country").alias("country"), F.col("synthetic_dob").alias("dob")), w)
 
 
+def _screened_profiles(spark, d):
+    accounts = t.accounts(spark, d)
+    found = jobs.screened(accounts, _watchlist(spark, d), 0.10)
+    network = graph.network_reference(accounts, graph.node_risk(t.classes(spark, d), t.edges(spark, d)))
+    return scoring.profile(accounts, t.transactions(spark, d), found, network, t.STAND_IN_RULES)
+
+
+@query()
+def alert_queue_screened(spark, d):
+    """The whole chain: identities, screening, graph risk, features, scores, queue; nothing stands in for a step."""
+    return scoring.alert_queue(_screened_profiles(spark, d), t.STAND_IN_RULES["alert_min_score"])
+
+
 @query()
 def match_recall(spark, d):
     people, _ = _people(spark, d)
