@@ -167,6 +167,40 @@ def test_jobs_run(spark, sf, tmp_path):
         assert set(graph_of) <= set(jobs.tasks(spark, sf, store, datetime.datetime(2026, 1, 1))), name
 
 
+def test_staging(tmp_path):
+    import tarfile
+
+    from vigil.sources import stage
+
+    (tmp_path / "a.csv").write_text("x,y")
+    (tmp_path / "b.csv").write_text("1,2,3")
+    with tarfile.open(tmp_path / "all.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "b.csv", "deep/b.csv")
+    assert stage.fetch(f"file://{tmp_path}/a.csv", tmp_path / "to" / "a.csv") == 3
+    got = stage.stage({"one": (f"file://{tmp_path}/a.csv",), "two": (f"{tmp_path}/all.tar.gz",)}, tmp_path / "staged")
+    assert got == {"one": ["a.csv"], "two": ["b.csv"]} and (tmp_path / "staged/two/b.csv").read_text() == "1,2,3"
+    with pytest.raises(ValueError):
+        stage.stage({}, tmp_path, ("three",))
+    with pytest.raises(OSError):
+        stage.fetch(f"{tmp_path}/missing", tmp_path / "none")
+    assert not (tmp_path / "none").exists() and not list(tmp_path.glob(".*"))
+
+
+def test_static_scans(tmp_path):
+    from pathlib import Path
+
+    from vigil.plans import scans
+
+    bad = "try:\n    x()\nexcept Exception:\n    y = 1\ntry:\n    x()\nexcept ValueError:\n    pass\ntry:\n    x()\nexcept Exception:\n    raise\napi_key = 'k'\nname = 'n'\n"
+    assert scans.swallowed(bad) == [(3, "broad"), (7, "silent")] and scans.secrets(bad) == [(13, "api_key")]
+    assert scans.personal_fields(["id", "email", "birth_date"], frozenset({"email"})) == ["birth_date"]
+    for name in ("a.sql", "b.sql", "a.md"):
+        (tmp_path / name).write_text("")
+    assert scans.without_companion(tmp_path) == ["b.sql"]
+    found = scans.scan(Path(scans.__file__).parent.parent)
+    assert not found["secrets"] and not found["swallowed"]
+
+
 def test_validity_and_contracts(spark):
     rows = [("1", "2", "3.5", "4"), ("99999999999", "2", "1", "1"), ("1", None, "1", "1"), ("1", "2", "x", "1"), ("1", "2", "NaN", "1"), ("1", "2", "1", "0"), ("1", "2", "1", "-1"), ("1.5", "2", "1", "1")]
     df = spark.createDataFrame(rows, schemas.TRANSACTIONS)

@@ -94,6 +94,9 @@ def test_faults_and_feed(spark, tmp_path):
     assert 120 <= bad <= 280
     assert ingest.feed(many.limit(1200), f"file://{tmp_path}/feed", 500) == 1200
     assert len(list((tmp_path / "feed").glob("*.csv"))) == 3
+    assert ingest.feed(many.limit(1200), f"file://{tmp_path}/paced", 500, 0.01) == 1200
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/paced").count() == 1200
+    assert not list(tmp_path.glob("paced-*"))
 
 
 def test_windows_extension(spark, tmp_path):

@@ -702,6 +702,20 @@ def gate_reconcile(spark, d):
     return ops.counts_to_reconcile(t.accounts(spark, d), t.profiles(spark, d), _alerts(spark, d))
 
 
+@query(o.with_(o.RAW, select="SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT src, dst, value, step FROM raw WHERE src IS NOT NULL AND dst IS NOT NULL AND value IS NOT NULL AND step IS NOT NULL) x) AS whole_keys, (SELECT COUNT(*) FROM raw) AS n"))
+def agg_distinct_keys(spark, d):
+    """Distinct combinations of several columns; those with a null in any of them don't count."""
+    from vigil.streaming import ingest
+
+    return t.raw_rows(spark, d).agg(F.count_distinct(*ingest.KEYS).alias("whole_keys"), F.count("*").alias("n"))
+
+
+@query(o.with_(o.ACCOUNTS, select="SELECT account_id, '*** REDACTED ***' AS address_line, synthetic_country AS country FROM acc"))
+def gov_masked_addresses(spark, d):
+    a = t.accounts(spark, d).select("account_id", F.col("synthetic_holder_name").alias("address_line"), F.col("synthetic_country").alias("country"))
+    return governance.mask_addresses(a, "analyst")
+
+
 @query(o.with_(o.RAW, o.VALID, select="SELECT COUNT(CASE WHEN good THEN 1 END) AS valid, COUNT(CASE WHEN NOT good THEN 1 END) AS invalid, round(COUNT(CASE WHEN NOT good THEN 1 END) / CAST(COUNT(*) AS DOUBLE), 6) AS share FROM checked"))
 def quality_invalid_ratio(spark, d):
     v = t.raw_rows(spark, d).select(quality.valid_transaction().alias("v"))

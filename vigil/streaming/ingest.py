@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,12 +121,28 @@ def inject_faults(rows: DataFrame, key: Column, per_mille: int = 10) -> DataFram
     })
 
 
-def feed(rows: DataFrame, folder: str, rows_per_file: int = 500) -> int:
-    """Write raw transactions as CSV files in order of time (as a number), so that later files hold later rows."""
+def feed(rows: DataFrame, folder: str, rows_per_file: int = 500, delay: float = 0.0) -> int:
+    """Write raw transactions as CSV files in order of time (as a number), so that later files hold later rows.
+
+    With a delay, files are written aside and moved in one by one, so many seconds apart; a reader never sees half a file.
+    """
     n = rows.count()
     files = max(1, -(-n // rows_per_file))
     ordered = rows.repartitionByRange(files, F.expr("try_cast(time AS INT)").asc_nulls_first(), *KEYS[:2]).sortWithinPartitions(F.expr("try_cast(time AS INT)"))
-    ordered.write.mode("append").option("header", True).csv(folder)
+    if not delay:
+        ordered.write.mode("append").option("header", True).csv(folder)
+        return n
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    aside = f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
+    ordered.write.option("header", True).csv(aside)
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for name in sorted(s.getPath().getName() for s in fs.listStatus(path(aside))):
+        if name.startswith("part-"):
+            fs.rename(path(f"{aside}/{name}"), path(f"{folder.rstrip('/')}/{name}"))
+            time.sleep(delay)
+    fs.delete(path(aside), True)
     return n
 
 
