@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.fixtures import awkward, empty, pairs, rows_of
-from vigil.llm.common import inverse
+from vigil.llm.common import inverted
 from vigil.llm.packing import best_fit, cut, cutting_stock, pack_documents
 from vigil.llm.quality import BOILERPLATE, clean_documents, quality_rules
 from vigil.llm.sharding import assign_shards, jump_hash
@@ -149,7 +149,7 @@ def test_cutting_stock_of_all_classes_ends():
 def test_inverse():
     rng = np.random.default_rng(1)
     m = rng.integers(0, 3, (40, 40)).astype(float) + np.diag(rng.permutation(40)[::-1] + 1.0)[::-1]
-    assert np.allclose(inverse(m) @ m, np.eye(40))
+    assert np.allclose(inverted(m) @ m, np.eye(40))
 
 
 def test_cutting_stock_is_near_its_bound():

@@ -201,7 +201,7 @@ class KeyFilter:
         return rows.mapInArrow(run, rows.schema)
 
 
-def inverse(matrix: np.ndarray) -> np.ndarray:
+def inverted(matrix: np.ndarray) -> np.ndarray:
     """By elimination with pivots of the greatest size, elementwise: no threaded library runs in the driver."""
     n = len(matrix)
     both = np.concatenate([matrix, np.eye(n)], axis=1)

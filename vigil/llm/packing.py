@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.bpe import encoder
-from vigil.llm.common import inverse, materialise
+from vigil.llm.common import inverted, materialise
 
 UNITS = 256
 #: Pieces that a bucket of a class should have at most.
@@ -97,7 +97,7 @@ def cutting_stock(demand: dict[int, int], units: int = UNITS, most: int = 5000)
     bound, steady = 0.0, None
     for step in range(most):
         if step % 100 == 99:
-            inverse = inverse(basis)
+            inverse = inverted(basis)
         x = (inverse * need).sum(axis=1)
         duals = inverse.sum(axis=0)
         steady = duals if steady is None else _STEADY * steady + (1 - _STEADY) * duals
@@ -120,7 +120,7 @@ def cutting_stock(demand: dict[int, int], units: int = UNITS, most: int = 5000)
         row = inverse[out] / direction[out]
         inverse -= direction[:, None] * row
         inverse[out] = row
-    x = (inverse(basis) * need).sum(axis=1)
+    x = (inverted(basis) * need).sum(axis=1)
     return [({int(c): int(k) for c, k in zip(sizes, basis[:, j], strict=True) if k}, max(0.0, float(x[j]))) for j in range(len(sizes))]
 
 

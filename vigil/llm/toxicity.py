@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import inverse, materialise
+from vigil.llm.common import inverted, materialise
 
 FIT_ROWS = 12_000
 LEXICON = 2_000
@@ -195,7 +195,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
         p = 1 / (1 + np.exp(-np.clip((a * w).sum(axis=1), -35, 35)))
         slope = (a * (y - p)[:, None]).sum(axis=0) - penalty * w
         curve = np.einsum("ni,nj->ij", a * (p * (1 - p))[:, None], a) + np.diag(penalty + 1e-9)
-        step = (inverse(curve) * slope).sum(axis=1)
+        step = (inverted(curve) * slope).sum(axis=1)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
