@@ -146,6 +146,7 @@ def _postings(members: DataFrame, prefix: int) -> DataFrame:
                 row, c = np.nonzero((np.arange(K) >= last[:, None]) & (np.arange(K) < prefix + np.bitwise_count(bits)[:, None]))
                 lists = _list_keys(np.asarray(part.column(2)).view(np.uint64)[row], c, _unpack(part.column(1))[row, c])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(signed(lists)), pa.array(bits[row] | (np.int64(1) << c)), part.column(4).take(pa.array(row)), part.column(2).take(pa.array(row))], ["set_key", "list", "coordinates", "root", "parent"])
+        trim()
 
     return members.select("set_key", "signature", "list", "coordinates", "root").mapInArrow(run, "set_key binary, list long, coordinates long, root binary, parent long")
 
@@ -159,6 +160,7 @@ def _collide(pairs: DataFrame, classes: DataFrame, need: int) -> DataFrame:
                 part = b.slice(i, 4000)
                 near = (_unpack(part.column(2)) == _unpack(part.column(3))).sum(axis=1) >= need
                 yield part.select([0, 1]).filter(pa.array(near))
+        trim()
 
     of = lambda side: classes.select(F.col("set_key").alias(side), F.col("signature").alias(f"of_{side}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import inverted, materialise
+from vigil.llm.common import inverted, materialise, trim
 
 FIT_ROWS = 12_000
 LEXICON = 2_000
@@ -210,6 +210,8 @@ def _with_features(docs: DataFrame, terms: list[tuple[str, bool, float]]) -> Dat
         for b in batches:
             f = pa.array([m.features(t.as_py()) for t in b.column(3)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], f], ["doc_id", "held_out", "label", "features"])
+        del m
+        trim()
 
     return docs.select("doc_id", "held_out", "label", "text").mapInArrow(run, SCHEMA)
 
@@ -238,6 +240,8 @@ class ToxicityModel:
             for t in texts:
                 x = np.array([m.features(v.as_py()) for v in t]).reshape(-1, FEATURES)
                 yield pa.array((x * w[:-1]).sum(axis=1) + w[-1])
+            del m
+            trim()
 
         return docs.where(evidence(F.col("text").cast("string")) < 0)
 
