@@ -134,3 +134,17 @@ def test_remove_leaks(spark):
     assert out.schema["n_chars"].dataType.simpleString() == "int" and out.columns == docs.columns
     got = {r.doc_id: r.text for r in out.collect()}
     assert got == {1: f"{filler}, {filler}", 3: filler, 4: None}
+
+
+@pytest.mark.parametrize("block_words", [4_000_000, 5])
+def test_remove_leaks_in_one_worker_a_task(spark, monkeypatch, block_words):
+    """A task's last pass and its cut are one call of Python, a few rows at a time; blocks of items before it change nothing."""
+    monkeypatch.setattr("vigil.llm.decontaminate.ROWS", 3)
+    filler = [f"f{i}" for i in range(400)]
+    items = [(k, " ".join(f"p{k}x{i}" for i in range(15))) for k in range(3)]
+    rows = [(i, " ".join([*filler, *([items[i % 4][1]] if i % 4 < 3 else []), f"end{i}"]), f"s{i}") for i in range(20)] + [(20, items[0][1], "s20"), (21, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    out = remove_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = [(i, " ".join([*filler, f"end{i}"]), f"s{i}") for i in range(20)] + [(21, None, None)]
+    assert sorted(map(tuple, out.collect())) == want
