@@ -46,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4,096 tokens."""
     ship(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2, lean=True)  # the executors have grown in the stages before
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -133,6 +134,52 @@ def test_packing_ids_are_the_texts(spark, sf):
     assert {d: zlib.crc32(b"".join(x for _, x in sorted(p))) for d, p in ids.items()} == want
 
 
+def test_lean_packing_cuts_alike(spark):
+    docs, path = awkward(spark, False), P.path("word_bpe_49k.json")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert rows_of(cut(docs, path, 2, 64, lean=True), *columns) == rows_of(cut(docs, path, 2, 64), *columns)
+
+
+def test_lean_packing_keeps_no_tokenizer(spark, monkeypatch):
+    """The task's function is run here, as a worker would."""
+    from pyspark import TaskContext
+
+    from vigil.llm import bpe
+
+    class Docs:
+        def __getattr__(self, _):
+            return lambda *x: setattr(self, "run", x[0]) or self
+
+    monkeypatch.setattr(TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(bpe, "_ENCODERS", {})
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one text", None])], ["doc_id", "text"])
+    for lean in (True, False):
+        cut(docs := Docs(), P.path("word_bpe_49k.json"), 2, 64, True, lean)
+        assert sum(b.num_rows for b in docs.run(iter([batch, batch]))) == 4
+        assert bool(bpe._ENCODERS) is not lean
+        assert not list(docs.run(iter([])))
+
+
+def test_encoder_gives_the_tokenizer_few_pieces_at_once():
+    from vigil.llm.bpe import Encoder
+
+    enc, calls = Encoder(P.path("word_bpe_49k.json")), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, pieces, **how):
+            calls.append(len(pieces))
+            return tok.encode_batch_fast(pieces, **how)
+
+    tok, enc.tok = enc.tok, Counted()
+    texts = [" ".join(f"a{i}-{k}" for k in range(100)) for i in range(90)]
+    ((_, _, ids, at),) = enc.blocks(pa.array(texts))
+    assert sum(calls) == 9000 and max(calls) <= 2000
+    assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_cutting_stock_of_all_classes_ends():
     demand = {c: (c * 7919) % 97 + 3 * (257 - c) for c in range(1, 257)}
     plan = cutting_stock(demand)

@@ -27,6 +27,8 @@ from vigil.llm.common import utf8_parts
 CACHE_PIECES = 200_000
 #: Bytes of text that are encoded together.
 BLOCK_BYTES = 4 << 20
+#: Pieces that the whole tokenizer gets in one call; it returns far more than their ids.
+_TOGETHER = 2_000
 _BARE = "\x01"  # put before pieces that no space precedes: the first of a text or line
 _PUNCTUATION = ".,;:!?"
 
@@ -98,8 +100,10 @@ class Encoder:
             else:
                 cache[p] = ids
         lead = " " if self.leading_space else ""
-        for p, e in zip(odd, self.tok.encode_batch_fast([p[1:] if p[0] == _BARE else lead + p for p in odd], add_special_tokens=False), strict=True):
-            cache[p] = array(self.code, e.ids).tobytes()
+        for k in range(0, len(odd), _TOGETHER):
+            some = odd[k : k + _TOGETHER]
+            for p, e in zip(some, self.tok.encode_batch_fast([p[1:] if p[0] == _BARE else lead + p for p in some], add_special_tokens=False), strict=True):
+                cache[p] = array(self.code, e.ids).tobytes()
 
     def _ids_of(self, pieces: list[str]) -> list[bytes | None]:
         if len(self.cache) > CACHE_PIECES:
@@ -137,7 +141,12 @@ class Encoder:
         if whole.any():
             n[np.repeat(whole, np.diff(rows))] = 0
         ends = np.cumsum(n)
-        ids = flat[np.arange(int(ends[-1])) + np.repeat(begins - (ends - n), n)]
+        begins -= ends - n
+        total = int(ends[-1])
+        index = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        at = np.repeat(begins.astype(index), n)
+        at += np.arange(total, dtype=index)
+        ids = flat[at]
         offsets = np.concatenate([[0], ends])[rows]
         if not whole.any():
             return ids, offsets
@@ -156,9 +165,9 @@ class Encoder:
             yield i, j, *self._block(column.slice(i, j - i))
             i = j
 
-    def ended(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def ended(self, column: pa.Array, end_id: int, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """blocks() with end_id behind the ids of each row."""
-        for i, j, ids, offsets in self.blocks(column):
+        for i, j, ids, offsets in self.blocks(column, size):
             at = offsets + np.arange(j - i + 1)
             out = np.full(len(ids) + j - i, end_id, self.dtype)
             own = np.ones(len(out), bool)
@@ -175,3 +184,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Drop this worker's encoders and the pieces that they remember."""
+    _ENCODERS.clear()

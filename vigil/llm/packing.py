@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.bpe import encoder
-from vigil.llm.common import inverted, materialise
+from vigil.llm.bpe import BLOCK_BYTES, encoder, forget
+from vigil.llm.common import inverted, materialise, trim
 
 UNITS = 256
+#: Bytes of text that a worker encodes together where memory is short.
+_LEAN_BYTES = 1 << 20
 #: Pieces that a bucket of a class should have at most.
 _BUCKET_ROWS = 50_000
 _TOLERANCE = 1e-9
@@ -36,15 +38,18 @@ _GAP = 5e-4
 _STEADY = 0.9
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, place (a number of its own), and with keep_ids their ids (binary)."""
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False, lean: bool = False) -> DataFrame:
+    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, place (a number of its own), and with keep_ids their ids (binary).
+
+    lean: workers take smaller blocks and keep no tokenizer between tasks, at the cost of time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, place = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for b in batches:
-            for i, j, ids, at in enc.ended(b.column(1), end_id):
+            for i, j, ids, at in enc.ended(b.column(1), end_id, _LEAN_BYTES if lean else BLOCK_BYTES):
                 raw = memoryview(ids.astype("<u4").tobytes())
                 n = np.diff(at)
                 parts = -(-n // capacity)
@@ -57,6 +62,13 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: b
                 kept = pa.array([bytes(raw[x:y]) for x, y in spans] if keep_ids else [None] * len(spans), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + row)), pa.array(start), pa.array(length), crc, pa.array(n[row]), pa.array(place + np.arange(len(row))), kept], [f.split()[0] for f in schema.split(", ")])
                 place += len(row)
+            if lean:
+                b = ids = raw = None
+                trim()
+        if lean:
+            enc = None
+            forget()
+            trim()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, ids binary"
     pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -204,6 +216,6 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return placed.withColumn("offset", F.sum("length").over(order) - F.col("length")).drop("_class", "_rank", "_slot")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, keep_ids: bool = False, lean: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids), sequence_id, offset of each piece of all documents."""
-    return pack(materialise(cut(docs, tokenizer, end_id, capacity, keep_ids)), capacity).drop("place")
+    return pack(materialise(cut(docs, tokenizer, end_id, capacity, keep_ids, lean)), capacity).drop("place")
