@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.fixtures import awkward
 
@@ -45,3 +48,27 @@ def test_clashing_names_and_null_rows(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", *names]
     assert sorted(map(tuple, docs.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_batches_are_bounded_by_bytes(spark, sf):
+    """Also for what runs after a stage returned."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(1), sf)
+        assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= corpus_pipeline.BATCH_BYTES + 100_000
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_small_batches_change_nothing(spark, monkeypatch):
+    sf, got = "/root/testdata/sf0.001", []
+    for size in (64 << 20, 3000):
+        monkeypatch.setattr(corpus_pipeline, "BATCH_BYTES", size)
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialise(stage(spark, docs, sf))
+        pieces = corpus_pipeline.packing(spark, docs, sf).select("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+        got.append((sorted(map(tuple, docs.collect()), key=repr), sorted(map(tuple, pieces.collect()))))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert got[0] == got[1] and got[0][0]
