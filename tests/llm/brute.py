@@ -118,3 +118,71 @@ def cleaned(text, phrases):
     fine = [x for x in lines if not bad_line(x, phrases)]
     chars = lambda s: len(re.sub(r"[\x20\x09-\x0D]", "", s))
     return "\n".join(fine) if chars(text) - sum(map(chars, fine)) <= 0.5 * chars(text) else None
+
+
+def paragraphs(text, run=12):
+    return {p.rstrip(" ") for p in re.findall(r"(?:[^\n ]+ *){1,%d}" % run, text)}
+
+
+def fingerprints(rows):
+    """doc_id, n_chars, edited_sha256, near_edited, near_next; rows: (doc_id, text, the hash that orders one doc_id's rows)."""
+    docs = sorted(((d is None, -(d or 0), h, t or "", d) for d, t, h in rows), key=lambda r: r[:3])
+    out = []
+    for i, (_, _, _, text, doc) in enumerate(docs):
+        after, n = docs[(i + 1) % len(docs)][3], len(text)
+        edited = text[: n - n // 2] + after[: n // 2]
+        own = paragraphs(text)
+        near = [1.0 if not own | x else len(own & x) / len(own | x) for x in (paragraphs(edited), paragraphs(after))]
+        out.append((doc, n, hashlib.sha256(edited.encode()).hexdigest(), *near))
+    return out
+
+
+def prefix_trie(rows, block=5, most=9):
+    convs = {}
+    for c, t, role, text in rows:
+        if c is not None:
+            r, x = role or "", text or ""
+            digest = hashlib.sha256(f"{len(r.encode())}:{r}{x}".encode()).hexdigest()[:32]
+            convs.setdefault(c, []).append(((t is not None, t or 0, digest), (r, x)))
+    convs = {c: [y for _, y in sorted(v, key=lambda k: k[0])] for c, v in convs.items()}
+    nodes, ends = {}, {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % most
+        b = convs.get(c - (abs(c) % block) * (1 if c >= 0 else -1), [])[:h] + own[h:]
+        for k in range(len(b) + 1):
+            nodes.setdefault(tuple(b[:k]), []).append(c)
+        ends.setdefault(tuple(b), []).append(c)
+    kids, leaves, saved = Counter(p[:-1] for p in nodes if p), Counter(), Counter()
+    for p, m in nodes.items():
+        for k in range(len(p) + 1):
+            saved[p[:k]] += (len(m) - 1) * (len(p[-1][1].encode()) if p else 0)
+            leaves[p[:k]] += not kids[p]
+    sha = lambda p: hashlib.sha256(",".join(map(str, sorted(ends.get(p, [])))).encode()).hexdigest()
+    return [(min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], sha(p)) for p, m in nodes.items()]
+
+
+def one_edit(a, b):
+    a, b = sorted((a, b), key=len)
+    if a == b or len(b) - len(a) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+
+
+def spelling(rows, shortest=5, least=3):
+    seen = Counter()
+    for doc, text in rows:
+        for w in re.findall("[a-zÀ-ÿ]+", (text or "").translate(LOWER)):
+            h = zlib.crc32(f"{'' if doc is None else doc}:{w}".encode())
+            seen[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
+    words = {w: n for w, n in seen.items() if len(w) >= shortest and n >= least}
+    near = {w: [x for x in words if one_edit(w, x)] for w in words}
+    form = {w: min(x, key=lambda y: (-words[y], y)) for w, x in near.items() if x}
+    form = {w: f for w, f in form.items() if words[f] >= 2 * words[w]}
+    out = []
+    for w, n in words.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), words[form[w]] if w in form else None))
+    return out

@@ -9,7 +9,7 @@ from vigil.llm.queries import oracle_sql, queries
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_against_sql(spark, sf, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = db.sql(oracle_sql()[name])
     got = queries()[name](spark, sf)
