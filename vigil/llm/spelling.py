@@ -56,25 +56,23 @@ def rarest_bigrams(words: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= PREFIX).select("word", "n", "gram", "place")
 
 
-def _posted(rare: DataFrame, longer: int) -> DataFrame:
-    """rare under the keys of words of its own length, or as the longer word (longer: 1) under those of words one shorter.
+def _posted(rare: DataFrame, name: str, longer: int = 0, shifts: tuple[int, ...] = (0,)) -> DataFrame:
+    """key, name, name_n: rare under the keys of words of its own length, or as the longer word (longer: 1) of words one shorter.
 
-    key: the shorter word's length, a bigram, and the first or the second half.
+    key: the shorter word's length, a bigram, its place (and those beside it in shifts), and the first or the second half.
     """
     length = F.length("word") - longer
     half = F.floor(length / 2).cast("int")
-    first, second = F.substring(F.col("word"), F.lit(1), half), F.substring(F.col("word"), half + 1 + longer, F.length("word"))
-    key = lambda side, part: F.xxhash64(length, F.col("gram"), F.lit(side), part)
-    return rare.select("word", "n", "place", F.explode(F.array(key(0, first), key(1, second))).alias("key"))
+    parts = (F.substring(F.col("word"), F.lit(1), half), F.substring(F.col("word"), half + 1 + longer, F.length("word")))
+    keys = [F.xxhash64(length, F.col("gram"), F.col("place") + by, F.lit(side), part) for by in shifts for side, part in enumerate(parts)]
+    return rare.select(F.col("word").alias(name), F.col("n").alias(f"{name}_n"), F.explode(F.array(*keys)).alias("key"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """a, b, a_n, b_n: each pair of words (word, n) that differ by one inserted, deleted or replaced code point, once."""
     rare = rarest_bigrams(words)
-    named = lambda df, x: df.select("key", F.col("word").alias(x), F.col("n").alias(f"{x}_n"), F.col("place").alias(f"{x}_place"))
-    one, same, longer = (named(_posted(rare, k), x) for k, x in ((0, "a"), (0, "b"), (1, "b")))
-    alike = one.join(same, "key").where((F.col("a") < F.col("b")) & (F.col("a_place") == F.col("b_place")))
-    grown = one.join(longer, "key").where((F.col("b_place") - F.col("a_place")).isin(0, 1))
+    alike = _posted(rare, "a").join(_posted(rare, "b"), "key").where(F.col("a") < F.col("b"))
+    grown = _posted(rare, "a", shifts=(0, 1)).join(_posted(rare, "b", longer=1), "key")
     columns = ["a", "b", "a_n", "b_n"]
     met = alike.select(columns).union(grown.select(columns))
     return met.where(F.levenshtein("a", "b", 1) == 1).distinct()
