@@ -70,12 +70,12 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     return cells.select("row", "side", F.concat(total.cast("string"), F.lit("|"), text).alias("print"))
 
 
-def _turn(cells: DataFrame, table: int, width: int) -> DataFrame:
-    """Peel one table's pure cells. A digest that has been found is a row of cell -1, with the digest as its mark."""
+def _turn(cells: DataFrame, table: int, width: int, digests: bool) -> DataFrame:
+    """Peel one table's pure cells. A digest that has been found is a row of cell -1, with the digest as its mark, or one more in the count of a single such row."""
     row = lambda cell, n, x, c, mark=None: F.struct(cell.cast("int").alias("cell"), n.alias("n"), x.alias("x"), c.alias("c"), (F.lit(0).cast("long") if mark is None else mark).alias("mark"))
-    n, x, c = F.col("n"), F.col("x"), F.col("c")
+    n, x, c, zero = F.col("n"), F.col("x"), F.col("c"), F.lit(0).cast("long")
     pure = F.col("cell").between(table * width, table * width + width - 1) & (F.abs("n") == 1) & (F.when(F.abs("n") == 1, check_of(x)) == c)
-    out = F.when(pure, F.array(row(F.lit(-1), n, x, c, x), *[row(_cell(x, t, width), -n, x, c) for t in range(3) if t != table]))
+    out = F.when(pure, F.array(row(F.lit(-1), n, x, c, x) if digests else row(F.lit(-1), F.lit(1).cast("long"), zero, zero), *[row(_cell(x, t, width), -n, x, c) for t in range(3) if t != table]))
     dealt = cells.select("row", "cmp", F.inline(F.coalesce(out, F.array(row(F.col("cell"), n, x, c, F.col("mark"))))))
     left = dealt.groupBy("row", "cmp", "cell", "mark").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
     return left.where((F.col("n") != 0) | (F.col("x") != 0))
@@ -87,17 +87,18 @@ def subtract(pairs: DataFrame, width: int, digests: bool = False) -> DataFrame:
     left: cells that could not be peeled (0: all is found); n: digests found; gone, come: those of one version only.
     """
     one = lambda name, sign: F.transform(name, lambda x: F.struct(x.alias("x"), F.lit(sign).cast("long").alias("sign")))
-    entries = pairs.repartition("row").select("row", "cmp", F.inline(F.concat(one("old", 1), one("new", -1)))).withColumn("c", check_of(F.col("x")))
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count of its own isn't coalesced: rows become many
+    entries = pairs.repartition(tasks, "row").select("row", "cmp", F.inline(F.concat(one("old", 1), one("new", -1)))).withColumn("c", check_of(F.col("x")))
     placed = entries.select("row", "cmp", "x", "c", "sign", F.explode(_cells(F.col("x"), width)).alias("cell"))
     side = lambda sign, value: F.bit_xor(F.when(F.col("sign") == sign, F.col(value)).otherwise(0))
     both = placed.groupBy("row", "cmp", "cell").agg(*[f.alias(f"{k}{'_new' if s < 0 else ''}") for s in (1, -1) for k, f in (("n", F.count_if(F.col("sign") == s)), ("x", side(s, "x")), ("c", side(s, "c")))])
     cells = both.select("row", "cmp", "cell", (F.col("n") - F.col("n_new")).alias("n"), F.col("x").bitwiseXOR(F.col("x_new")).alias("x"), F.col("c").bitwiseXOR(F.col("c_new")).alias("c"), F.lit(0).cast("long").alias("mark"))
     cells = cells.where((F.col("n") != 0) | (F.col("x") != 0))
     for turn in range(TURNS):
-        cells = _turn(cells, turn % 3, width)
+        cells = _turn(cells, turn % 3, width, digests)
     found = lambda n: F.collect_list(F.when((F.col("cell") < 0) & (F.col("n") == n), F.col("x")))
     more = [F.sort_array(found(1)).alias("gone"), F.sort_array(found(-1)).alias("come")] if digests else []
-    return cells.groupBy("row", "cmp").agg(F.count_if(F.col("cell") >= 0).alias("left"), F.count_if(F.col("cell") < 0).alias("n"), *more)
+    return cells.groupBy("row", "cmp").agg(F.count_if(F.col("cell") >= 0).alias("left"), F.coalesce(F.sum(F.when(F.col("cell") < 0, F.abs("n"))), F.lit(0)).alias("n"), *more)
 
 
 def differences(pairs: DataFrame, digests: bool = False) -> DataFrame:
