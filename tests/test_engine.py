@@ -47,7 +47,7 @@ def test_bands_and_bonuses(spark):
 def test_blocked_screen_equals_single_comparisons(spark):
     names = ["JOHN SMITH", "JON SMITH", "JOHN A SMITH", "SMITH JOHN", "JANE SMYTHE", "JOHNSON SMITHERS", "BANK OF JOHN"]
     watch = [(f"e{i}", n, None, None, None) for i, n in enumerate(names)]
-    got = screen(spark, [(f"c{i}", n.title(), None, None) for i, n in enumerate(names)], watch, salts=3)
+    got = screen(spark, [(f"c{i}", n.title(), None, None) for i, n in enumerate(names)], watch, pairs=9)
     from vigil.functions.similarity import score
 
     want = {}

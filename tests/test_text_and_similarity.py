@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import unicodedata
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from vigil.functions import similarity as sim
 from vigil.functions import text
 from vigil.functions.clock import ANCHOR_EPOCH, step_to_datetime, step_to_time
+from vigil.operators import matching
 from vigil.plans.catalogue import QUERIES
 
 
@@ -80,16 +82,57 @@ def plain_levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
-def test_top_matches_of_the_whole_list(spark):
-    sf = "/root/testdata/sf0.01"
-    names = sorted({r.p_name.upper() for r in spark.read.parquet(f"{sf}/part.parquet").select("p_name").distinct().collect()})
+@pytest.mark.parametrize("n", [1, 5])
+def test_top_matches_against_all_pairs(spark, n):
+    rng = random.Random(n)
+    left = ["".join(rng.choices("AB C", k=rng.randint(1, 9))).strip() for _ in range(60)] + ["CUSTOMER 000000%03d" % k for k in range(80)] + ["", "QQQQQQQQQQQQ"]
+    right = left[20:110] + ["AXB", "CUSTOMER", "ABABABABABABAB"]
     want = []
-    for a in names:
-        scores = sorted((-round(100 - 100 * plain_levenshtein(a, b) / max(len(a), len(b)), 4), b) for b in names)
-        want += [(a, b, -s, k) for k, (s, b) in enumerate(scores[:5], 1) if -s >= 50]
-    got = sorted(tuple(r) for r in QUERIES["match_top_n"](spark, sf).select("candidate_id", "entity_id", "match_score", "match_rank").collect())
-    assert got == sorted(want)
-    assert sum(a[0] != b[0] for a, b, _, _ in got) > 0
+    for a in {x for x in left if x}:
+        scores = sorted((-round(100 - 100 * plain_levenshtein(a, b) / max(len(a), len(b)), 4), b) for b in {x for x in right if x})
+        want += [(a, b, -s, k) for k, (s, b) in enumerate(scores[:n], 1) if -s >= 50]
+    one, two = (spark.createDataFrame([(x,) for x in side] + [(None,)], "text string") for side in (left, right))
+    got, compared = matching.top_similar(one, two, n, 50.0)
+    assert sorted(tuple(r) for r in got.select("a", "b", "score", "match_rank").collect()) == sorted(want)
+    assert 0 < compared
+    assert matching.top_similar(one.limit(0), two)[0].count() == 0
+
+
+def test_the_index_compares_few_pairs(spark):
+    row = QUERIES["match_top_n_cost"](spark, "/root/testdata/sf0.01").first()
+    assert row.names == 1664 and row.pairs == row.names**2 and row.scored < 0.1 * row.pairs
+
+
+def random_pairs(n: int):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("ABCDEFGHIJKLMNO", k=rng.randint(1, 9))) for _ in range(300)] + ["É日", "x" * 70]
+    names = [" ".join(rng.choices(vocab, k=rng.choice([1, 2, 2, 3, 3, 4, 4, 5, 12, 25]))) for _ in range(600)] + ["", "X", "A A A", "A A"]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(n)]
+    return [(a, b if k % 5 else a.replace("A", "Z", 1)) for k, (a, b) in enumerate(pairs)]
+
+
+@pytest.mark.parametrize("floor", [0.0, 78.0])
+def test_scores_of_many_pairs_at_once(floor):
+    pairs = random_pairs(20_000)
+    got = sim.scores([a for a, _ in pairs], [b for _, b in pairs], floor)
+    assert got == pytest.approx([sim.score(a, b, floor) for a, b in pairs], abs=1e-9)
+    assert len(sim.scores([], [], floor)) == 0
+
+
+def test_cells_share_out_a_block_that_holds_half_of_all_names(spark):
+    names = [f"A{k}" for k in range(3000)] + [f"{chr(66 + k % 20)}{k}" for k in range(3000)]
+    table = spark.createDataFrame([(x,) for x in names], "text string")
+    one, two = matching.dealt(table, table, pairs=1 << 14)
+    a, b = (Counter(r.cell for r in x.collect()) for x in (one, two))
+    tasks = Counter()
+    for cell in a.keys() | b.keys():
+        tasks[cell % 16] += a[cell] * b[cell]
+    assert sum(tasks.values()) == 3000**2 + 20 * 150**2
+    assert max(tasks.values()) <= 2 * sorted(tasks.values())[8]
+    small = spark.createDataFrame([(x,) for x in ["ANNA LEE", "ANNA LEA", "ANNE LEE", "BOB", "ROBERT"]], "text string")
+    for pairs in (1, 9, 1 << 18):
+        got = {(r.a, r.b): round(r.score, 6) for r in matching.similar_names(small, small, 78.0, pairs).collect()}
+        assert got == {(x.text, y.text): round(sim.score(x.text, y.text), 6) for x in small.collect() for y in small.collect() if x.text[0] == y.text[0] and sim.score(x.text, y.text) >= 78}
 
 
 def plain_lcs(a: str, b: str) -> int:

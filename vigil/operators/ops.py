@@ -74,6 +74,19 @@ def serving_view(profiles: DataFrame, control: DataFrame, pipeline: str, now: Co
     return out.withColumns({"is_stale": F.coalesce(freshness(age) != "fresh", F.lit(True)), "last_good_batch_age_minutes": age / 60.0})
 
 
+def publish_serving_view(profiles: DataFrame, control: DataFrame, pipeline: str, name: str = "month_end_serving") -> None:
+    """The same as a view over the two relations: it finds the latest publish and its age whenever it is read."""
+    spark = profiles.sparkSession
+    profiles.createOrReplaceTempView(f"{name}_profiles")
+    control.createOrReplaceTempView(f"{name}_control")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY VIEW {name} AS
+        WITH last AS (SELECT batch_id, recorded_at FROM {name}_control WHERE pipeline_name = '{pipeline}' ORDER BY recorded_at DESC, batch_id LIMIT 1)
+        SELECT p.*, last.batch_id AS as_of_batch_id, last.recorded_at AS serving_metadata_recorded_at,
+          coalesce(unix_timestamp(current_timestamp()) - unix_timestamp(last.recorded_at) > {FRESH_SECONDS}, true) AS is_stale,
+          (unix_timestamp(current_timestamp()) - unix_timestamp(last.recorded_at)) / 60.0D AS last_good_batch_age_minutes
+        FROM {name}_profiles p LEFT JOIN last ON true""")
+
+
 def latest_breaking_drift(history: DataFrame) -> DataFrame:
     """Tables whose latest observation is a breaking change."""
     order = Window.partitionBy("table_name").orderBy(F.desc("observed_at"), F.desc("schema_hash"))

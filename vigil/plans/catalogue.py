@@ -95,6 +95,24 @@ def snk_snapshot_version_read(spark, d):
     return store.read("orders", 1)
 
 
+@query()
+def snk_clustered_layout(spark, d):
+    """Files that a range filter on either of two columns touches, of a table sorted by one and one clustered by both."""
+    rows = t.table(spark, d, "lineitem").select("l_partkey", F.unix_date(F.to_date("l_shipdate")).alias("l_shipday"), "l_quantity")
+    ends = rows.agg(*[f(c).alias(f"{n}_{c}") for c in ("l_partkey", "l_shipday") for n, f in (("low", F.min), ("high", F.max))]).first()
+    out = None
+    for layout, together in (("sorted", False), ("clustered", True)):
+        store = _store(spark)
+        store.overwrite(rows, "lines", cluster_by=("l_partkey", "l_shipday"), together=together, files=64)
+        files = store.read("lines").groupBy(F.col("_metadata.file_path").alias("file")).agg(*[f(c).alias(f"{n}_{c}") for c in ("l_partkey", "l_shipday") for n, f in (("low", F.min), ("high", F.max))])
+        for c in ("l_partkey", "l_shipday"):
+            low, high = ends[f"low_{c}"], ends[f"high_{c}"]
+            a, b = low + (high - low) * 0.45, low + (high - low) * 0.5
+            one = files.agg(F.count_if((F.col(f"low_{c}") <= b) & (F.col(f"high_{c}") >= a)).alias("touched"), F.count("*").alias("files")).select(F.lit(layout).alias("layout"), F.lit(c).alias("filtered"), "touched", "files")
+            out = one if out is None else out.union(one)
+    return out
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def snk_seed_when_empty(spark, d):
     store, rows = _store(spark), t.table(spark, d, "nation").select("n_nationkey", "n_name")
@@ -105,17 +123,10 @@ def snk_seed_when_empty(spark, d):
 
 
 def _store(spark):
-    import tempfile
-    import uuid
-
+    from vigil.session import shared_folder
     from vigil.sources.store import TableStore
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/vigil-tables"
-    return TableStore(spark, f"{root.rstrip('/')}/{uuid.uuid4().hex}")
+    return TableStore(spark, shared_folder(spark))
 
 
 def _csv(spark, rows: DataFrame, header: bool, **options) -> str:
@@ -133,11 +144,27 @@ def src_csv_headered(spark, d):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
 def src_csv_multiline_headerless(spark, d):
-    """Whole texts, with their line breaks and quotes, through a file without a header."""
+    """Whole texts, with their line breaks and quotes, through files without a header, which are read in byte ranges."""
     rows = t.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
     return readers.headerless_list(spark, _csv(spark, rows, False), "doc_id STRING, text STRING, lang STRING")
 
 
+_HOT = "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END"
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, {_HOT} AS k, CAST(o_orderdate AS DATE) AS d, o_orderpriority, o_orderstatus FROM orders),
+v AS (SELECT k, d + 1 AS since, arg_max(o_orderpriority, o_orderkey) AS rule FROM f WHERE o_orderstatus = 'F' GROUP BY k, d)
+SELECT o_orderkey, f.k AS customer, rule, since AS valid_from FROM f ASOF LEFT JOIN v ON f.k = v.k AND f.d >= v.since""")
+def scd2_as_of_join(spark, d):
+    """Each order with the version of its customer's rule that is valid on its day; one customer has a third of all orders.
+
+    A finished order sets its customer's rule (its priority) from the next day on.
+    """
+    rows = t.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey")).alias("customer"), F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_orderstatus")
+    rules = rows.where("o_orderstatus = 'F'").groupBy("customer", F.date_add("day", 1).alias("valid_from")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("rule"))
+    return scd2.as_of_join(rows.select("o_orderkey", "customer", "day"), rules, ["customer"], "day").drop("day")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
 def src_csv_strings(spark, d):
     """Nothing is inferred: every column is read as a string."""
@@ -242,6 +269,34 @@ def feat_velocity(spark, d):
     return features.activity(x, features.as_of_date(x)).select("account_id", "velocity_1d", "velocity_7d", "velocity_30d")
 
 
+_DAYS = """p AS (SELECT source_account_id AS a, event_date AS d FROM txn UNION ALL SELECT target_account_id, event_date FROM txn),
+n AS (SELECT a, d, COUNT(*) AS n FROM p WHERE a IS NOT NULL GROUP BY 1, 2), s AS (SELECT DISTINCT a, d + CAST(i AS INTEGER) AS day FROM n, unnest(range(31)) u(i) WHERE d + CAST(i AS INTEGER) <= (SELECT max(event_date) FROM txn))"""
+_BACK = ", ".join(f"CAST(SUM(CASE WHEN n.d >= s.day - {k} THEN n ELSE 0 END) AS BIGINT) AS velocity_{k}d" for k in (1, 7, 30))
+
+
+@query(o.with_(o.TXN, _DAYS, select=f"SELECT s.a AS account_id, s.day AS as_of_date, {_BACK} FROM s JOIN n ON n.a = s.a AND n.d BETWEEN s.day - 30 AND s.day GROUP BY 1, 2"))
+def feat_velocity_all_days(spark, d):
+    """Velocity as it was on every day, in one pass."""
+    return features.velocity_by_day(t.transactions(spark, d))
+
+
+@query(o.with_(*o.BEHAVIOUR, select="SELECT account_id, velocity_1d, velocity_7d, velocity_30d FROM act WHERE velocity_30d > 0"))
+def feat_velocity_as_of(spark, d):
+    """The as-of day's velocity as a filter of all days'."""
+    x = t.transactions(spark, d)
+    return features.velocity_by_day(x).where(F.col("as_of_date") == F.lit(features.as_of_date(x))).drop("as_of_date")
+
+
+@query()
+def feat_diversity_sketched(spark, d):
+    """Distinct counterparties of 30 days from sketches kept by day, beside the exact count and the relative error."""
+    x = t.transactions(spark, d)
+    day = features.as_of_date(x)
+    both = features.diversity_of(features.diversity_sketches(x), day).join(features.diversity(x, day), "account_id")
+    exact = F.col("counterparty_diversity_30d")
+    return both.withColumn("error", F.round(F.abs(F.col("counterparty_estimate_30d") - exact) / exact, 6))
+
+
 @query(o.with_(*o.BEHAVIOUR, select="SELECT account_id, counterparty_diversity_30d FROM act WHERE counterparty_diversity_30d > 0"))
 def feat_diversity(spark, d):
     x = t.transactions(spark, d)
@@ -414,15 +469,32 @@ def match_levenshtein_blocked(spark, d):
     return matching.similar_names(names, names, 60.0, scorer=_levenshtein)
 
 
-_LEV_WHOLE = o.with_(_NAMES, "u AS (SELECT DISTINCT upper(name) AS x FROM n)", "s AS (SELECT a.x AS a, b.x AS b, round(100 - 100 * levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 4) AS score FROM u a CROSS JOIN u b)", select="{}")
+_LEV_WHOLE = o.with_("n AS (SELECT p_name AS name FROM part UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer)", "u AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(upper(name), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS x FROM n)", "s AS (SELECT a.x AS a, b.x AS b, round(100 - 100 * levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)), 4) AS score FROM u a CROSS JOIN u b)", select="{}")
 
 
 @query(_LEV_WHOLE.format("SELECT a AS candidate_id, b AS entity_id, score AS match_score, CAST(k AS INTEGER) AS match_rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= 50) x WHERE k <= 5"))
 def match_top_n(spark, d):
-    """Every name is ranked against the entire list, without blocks."""
-    names = _watchlist(spark, d).select(text.ascii_name(F.col("name")).alias("text"))
-    pairs = matching.similar_names(names, names, 50.0, salts=32, key=matching.whole_list, scorer=_levenshtein)
-    return matching.top_matches(pairs.select(F.col("a").alias("candidate_id"), F.col("b").alias("entity_id"), F.col("score").alias("match_score")))
+    """Every name of parts, suppliers and customers is ranked against the entire list, without blocks."""
+    return _top_names(spark, d)[0]
+
+
+def _top_names(spark, d):
+    names = _all_names(spark, d)
+    best, scored = matching.top_similar(names, names, 5, 50.0)
+    return best.select(F.col("a").alias("candidate_id"), F.col("b").alias("entity_id"), F.col("score").alias("match_score"), "match_rank"), scored
+
+
+def _all_names(spark, d):
+    columns = (("part", "p_name"), ("supplier", "s_name"), ("customer", "c_name"))
+    one, two, three = (t.table(spark, d, name).select(text.ascii_name(F.col(c)).alias("text")) for name, c in columns)
+    return one.union(two).union(three).distinct()
+
+
+@query()
+def match_top_n_cost(spark, d):
+    """How many pairs were compared for the five best of each name, of how many."""
+    best, scored = _top_names(spark, d)
+    return best.agg(F.count_distinct("candidate_id").alias("names")).crossJoin(_all_names(spark, d).agg((F.count("*") * F.count("*")).alias("pairs"))).withColumn("scored", F.lit(scored))
 
 
 def _people(spark, d):
@@ -682,19 +754,21 @@ def bi_ops_measures(spark, d):
 @query(o.with_(*o.SCORED, o.CONTROL, select="SELECT account_id, (SELECT batch_id FROM control WHERE pipeline_name = 'gold_month_end_publish' ORDER BY recorded_at DESC LIMIT 1) AS as_of_batch_id, true AS is_stale FROM banded"))
 def serving_month_end(spark, d):
     c = t.control(spark, d).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
-    now = F.lit(datetime.datetime(2024, 3, 1)).cast("timestamp_ntz").cast("timestamp")
-    return ops.serving_view(t.profiles(spark, d), c, "gold_month_end_publish", now).select("account_id", "as_of_batch_id", "is_stale")
+    ops.publish_serving_view(t.profiles(spark, d), c, "gold_month_end_publish")
+    return spark.table("month_end_serving").select("account_id", "as_of_batch_id", "is_stale")
 
 
 @query(o.with_(o.ACCOUNTS, select="SELECT account_id, 'MASKED#' || substr(sha256(synthetic_holder_name), 1, 8) AS synthetic_holder_name, synthetic_country, CAST(NULL AS VARCHAR) AS synthetic_dob, init_balance FROM acc"))
 def gov_masked_accounts(spark, d):
-    return governance.mask_accounts(t.accounts(spark, d), "analyst")
+    governance.publish(spark, "analyst", accounts=t.accounts(spark, d))
+    return spark.table("account_view")
 
 
 @query(o.with_(*o.SCORED, select="SELECT account_id, composite_risk_score FROM alerts WHERE composite_risk_score % 20 <> 0"))
 def gov_alert_visibility(spark, d):
     a = _alerts(spark, d).withColumn("status", F.when(F.col("composite_risk_score") % 20 == 0, "suppressed").otherwise(F.col("status")))
-    return governance.visible_alerts(a, "analyst").select("account_id", "composite_risk_score")
+    governance.publish(spark, "analyst", alerts=a)
+    return spark.table("alert_view").select("account_id", "composite_risk_score")
 
 
 @query(o.with_(*o.SCORED, select="SELECT (SELECT COUNT(*) FROM acc) AS accounts, (SELECT COUNT(*) FROM banded) AS profiles, (SELECT COUNT(*) FROM alerts) AS alerts"))
@@ -713,7 +787,8 @@ def agg_distinct_keys(spark, d):
 @query(o.with_(o.ACCOUNTS, select="SELECT account_id, '*** REDACTED ***' AS address_line, synthetic_country AS country FROM acc"))
 def gov_masked_addresses(spark, d):
     a = t.accounts(spark, d).select("account_id", F.col("synthetic_holder_name").alias("address_line"), F.col("synthetic_country").alias("country"))
-    return governance.mask_addresses(a, "analyst")
+    governance.publish(spark, "analyst", addresses=a)
+    return spark.table("address_view")
 
 
 @query(o.with_(o.RAW, o.VALID, select="SELECT COUNT(CASE WHEN good THEN 1 END) AS valid, COUNT(CASE WHEN NOT good THEN 1 END) AS invalid, round(COUNT(CASE WHEN NOT good THEN 1 END) / CAST(COUNT(*) AS DOUBLE), 6) AS share FROM checked"))
