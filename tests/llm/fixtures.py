@@ -17,6 +17,7 @@ def awkward_rows(ids_unique: bool = True) -> list[tuple]:
     texts = [None, "", " ", "\n\t ", "one", "two words", base, base, base.upper(), " ".join(near), " ".join(near[:-2]), passage, words(40) + " " + passage, passage + "\n" + words(50), "same " * 80, words(3000), "<|endoftext|> a  b", "x" * 5000, words(34), words(35), "a\x00b \x85c d　e", "line one\nline one\nline two here\n\n", "été " * 9]
     texts += [words(rng.randint(1, 90)) for _ in range(30)]
     rows = [(i * 3, t, None if i % 4 == 0 else "en", "src0" if i % 3 == 0 else None, len(t or ""), "k", i, None, "z", "q") for i, t in enumerate(texts)]
+    rows.append((-(1 << 62), base, "en", None, 1, None, None, None, None, None))
     rng.shuffle(rows)
     if not ids_unique:
         rows += [rows[0], rows[3], (None, base, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]

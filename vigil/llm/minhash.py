@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import KeyFilter, blocks, discard, mix, row_key, settle, signed, trim
+from vigil.llm.common import KeyFilter, blocks, discard, mix, row_key, settle, signed, trim, without_id
 from vigil.llm.graph import components
 
 K = 32
@@ -370,7 +370,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     need = collisions_needed(percent)
     prefix = K - need + 1
     rows = settle(signatures(docs, words))
-    doc_id = F.when(F.col("k1") != -(1 << 62), F.col("k1"))
+    doc_id = F.when(~without_id(F.col("k2")), F.col("k1"))
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("k1", "k2")).alias("of"), F.first("signature").alias("signature"), F.min(doc_id).alias("least"))
     classes = settle(classes.select("set_key", "of.k1", "of.k2", "signature", "least"))
     slim = settle(rows.drop("signature"))
@@ -430,14 +430,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: that of the least doc_id (of rows that share it, the one of the least key).
+    """docs with one row of each group: that of the least doc_id (of rows that share it, the one of the least key, and of rows
+    alike in doc_id and text, the one of the least hash of all columns).
 
     Rows without a word all stay.
     """
     found = near_duplicates(docs, words, percent)
-    group = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct((F.col("k1") == -(1 << 62)).alias("no_id"), "k1", "k2")).alias("of"))
+    group = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(without_id(F.col("k2")).alias("no_id"), "k1", "k2")).alias("of"))
     k1, k2 = row_key()
     rows = docs.select(k1, k2, F.rlike(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")).alias("full"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    full = rows.where("full").join(settle(group.select("of.k1", "of.k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    full = rows.where("full").join(settle(group.select("of.k1", "of.k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     kept = full.select("row").unionByName(rows.where("NOT full").select("row"))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
