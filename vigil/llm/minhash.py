@@ -391,15 +391,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     discard(placed)
 
     tasks = settle(_blocks(_refined(members, sets, percent)))
-    schema = "task string, list long, coordinates long, earlier binary, set_key binary, root binary, is_loose boolean, small boolean, asks boolean, signature binary"
+    schema = "task string, list long, coordinates long, earlier binary, set_key binary, root binary, is_loose boolean, small boolean, asks boolean"
 
     def flag(table: pa.Table) -> pa.Table:
         pairs, asking, _ = _matrix(table, need)
         wanted = pairs.any(axis=0)
         wanted[asking[pairs.any(axis=1)]] = True
-        return table.filter(pa.array(wanted))
+        return table.filter(pa.array(wanted)).drop_columns(["signature"])  # the sets' table has it, once a set
 
-    with_signature = tasks.join(signed_classes.select("set_key", "signature"), "set_key").select(*[f.split()[0] for f in schema.split(", ")])
+    with_signature = tasks.join(signed_classes.select("set_key", "signature"), "set_key").select(*[f.split()[0] for f in schema.split(", ")], "signature")
     flagged = settle(with_signature.groupBy("task").applyInArrow(flag, schema))
     discard(tasks, members, signed_classes)
 
@@ -410,7 +410,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         got = _links(pairs, asking, part, sets, percent)
         return pa.table({"a": pa.array([keys[i] for i, _ in got], pa.binary()), "b": pa.array([keys[j] for _, j in got], pa.binary())})
 
-    more = settle(flagged.join(sets.drop("signature"), "set_key").groupBy("task").applyInArrow(link, "a binary, b binary"))
+    more = settle(flagged.join(sets, "set_key").groupBy("task").applyInArrow(link, "a binary, b binary"))
     discard(flagged, sets)
     if not more.isEmpty():
         discard(roots)
