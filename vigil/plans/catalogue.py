@@ -567,7 +567,7 @@ def text_dob(spark, d):
 # --- streaming, in its final state ------------------------------------------------------------------------------------
 
 
-def _streamed(spark, d, twice: bool = False, within: str | None = None):
+def _streamed(spark, d, twice: bool = False, within: str | None = None, keep_late: bool = True):
     from vigil.sources.store import TableStore
     from vigil.streaming import ingest
 
@@ -577,7 +577,7 @@ def _streamed(spark, d, twice: bool = False, within: str | None = None):
     for k in range(2 if twice else 1):
         if k:
             ingest.feed(raw, f"{store.root}/in", 4000)
-        ingest.run(spark, f"{store.root}/in", store, f"{store.root}/checkpoint", within=within)
+        ingest.run(spark, f"{store.root}/in", store, f"{store.root}/checkpoint", within=within, keep_late=keep_late)
     return TableStore(spark, store.root)
 
 
@@ -598,7 +598,7 @@ def stream_restart(spark, d):
 @query(o.with_(o.RAW, o.VALID, select=_FINAL))
 def stream_watermark_dedup(spark, d):
     """Repeats within the watermark are dropped by the stream's own state, before the sink sees them."""
-    return _streamed(spark, d, within="10 minutes").read("txn_events").select("sourceNodeId", "targetNodeId", "value", "time")
+    return _streamed(spark, d, within="10 minutes", keep_late=False).read("txn_events").select("sourceNodeId", "targetNodeId", "value", "time")
 
 
 @query(o.with_(o.RAW, o.VALID, select="SELECT DISTINCT src AS \"sourceNodeId\", dst AS \"targetNodeId\", value, step AS time FROM checked WHERE NOT good"))
@@ -618,6 +618,41 @@ def stream_replay(spark, d):
     return store.read("txn_events").agg(F.count("*").alias("n"))
 
 
+def _outcomes(spark, d):
+    """All rows but the tenth that is held back, and then all rows once more; the watermark is ten days."""
+    from vigil.sources.store import TableStore
+    from vigil.streaming import ingest
+
+    store, raw = _store(spark), t.raw_rows(spark, d)
+    for rows in (raw.where("event_id % 10 <> 0"), raw):
+        ingest.feed(rows.select(*ingest.KEYS), f"{store.root}/in", 4000)
+        ingest.run(spark, f"{store.root}/in", store, f"{store.root}/checkpoint", within="10 days")
+    return TableStore(spark, store.root)
+
+
+_DELIVERED = "delivered AS (SELECT checked.*, good AND step_n < (SELECT max(CASE WHEN good THEN CAST(step AS INTEGER) END) FROM checked WHERE event_id % 10 <> 0) - 240 AS late FROM (SELECT *, CASE WHEN good THEN CAST(step AS INTEGER) END AS step_n FROM checked) checked)"
+
+
+@query(o.with_(o.RAW, o.VALID, _DELIVERED, select="SELECT CAST(src AS INTEGER) AS \"sourceNodeId\", CAST(dst AS INTEGER) AS \"targetNodeId\", CAST(value AS DOUBLE) AS value, CAST(step AS INTEGER) AS time, COUNT(*) AS n FROM delivered WHERE late GROUP BY 1, 2, 3, 4"))
+def stream_late_rows(spark, d):
+    """The rows that came later than the watermark, each with how often it came; none of them is lost."""
+    return _outcomes(spark, d).read("txn_events_late").groupBy("sourceNodeId", "targetNodeId", "value", "time").agg(F.count("*").alias("n"))
+
+
+_KEPT = """SELECT (SELECT COUNT(*) FROM checked) + (SELECT COUNT(*) FROM checked WHERE event_id % 10 <> 0) AS delivered,
+  (SELECT COUNT(*) FROM (SELECT DISTINCT src, dst, CAST(value AS DOUBLE) AS value, step FROM delivered WHERE good AND (NOT late OR event_id % 10 <> 0)) x) AS in_target,
+  (SELECT COUNT(*) FROM delivered WHERE late) AS late, (SELECT COUNT(*) FROM checked WHERE NOT good) + (SELECT COUNT(*) FROM checked WHERE NOT good AND event_id % 10 <> 0) AS invalid, CAST(0 AS BIGINT) AS unaccounted"""
+
+
+@query(o.with_(o.RAW, o.VALID, _DELIVERED, select=_KEPT))
+def stream_row_outcomes(spark, d):
+    """What became of all rows delivered: those of no outcome (first, repeated, late or invalid) would be unaccounted for."""
+    store = _outcomes(spark, d)
+    parts = store.read("ops_control").agg(*[F.sum(c).cast("long").alias(n) for c, n in (("expected_row_count", "delivered"), ("processed_row_count", "first"), ("repeated_rows", "repeated"), ("late_rows", "late"), ("dead_letter_count", "invalid"))])
+    target = store.read("txn_events").agg(F.count("*").alias("in_target"))
+    return parts.crossJoin(target).select("delivered", "in_target", "late", "invalid", F.expr("delivered - first - repeated - late - invalid").alias("unaccounted"))
+
+
 # --- operations -------------------------------------------------------------------------------------------------------
 
 _CTL = "pipeline_name business_process impacted_table freshness_status last_good_batch_age_minutes upstream_owner batch_id recorded_at".split()

@@ -1,7 +1,7 @@
 """A table store on Parquet folders: snapshots with a pointer, history, idempotent appends, compaction and vacuum.
 
 Layout: <root>/<table>/v=<n>/ are snapshots (sets of files that never change once written) and <root>/<table>/_log/<n>
-names the folders that make up version n. A version exists once its log entry does, and the entry is made by one atomic
+names the folders that make up version n, with the rows' schema and notes by the writers. A version exists once its log entry does, and the entry is made by one atomic
 rename, so readers see the old version or the new one. All file work goes through Spark's file system of the root path.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def interleaved(df: DataFrame, columns: tuple[str, ...]) -> Column:
@@ -55,20 +56,42 @@ class TableStore:
         finally:
             stream.close()
 
-    def _commit(self, table: str, version: int, folders: list[str], token: str | None) -> None:
+    def _commit(self, table: str, version: int, folders: list[str], token: str | None, schema: T.StructType, notes: dict) -> None:
         log = f"{self.root}/{table}/_log"
         part = self._path(f"{log}/.{uuid.uuid4().hex}")
-        done = self._entry(table, version - 1)["done"] if version > 1 and self._fs.exists(self._path(f"{log}/{version - 1}")) else {}
+        done = self._last(table)["done"]
         if token is not None:
             writer, number = self._token(token)
             done[writer] = max(number, done.get(writer, -1))
         out = self._fs.create(part)
-        out.write(json.dumps({"folders": folders, "at": time.time(), "done": done}).encode())
+        out.write(json.dumps({"folders": folders, "at": time.time(), "done": done, "schema": schema.jsonValue(), "notes": notes}).encode())
         out.close()
         target = self._path(f"{log}/{version}")
         if self._fs.exists(target) or not self._fs.rename(part, target):
             raise RuntimeError(f"version {version} of {table} was written by another writer")
 
+    def _last(self, table: str) -> dict:
+        have = self.versions(table)
+        return self._entry(table, have[-1]) if have else {"folders": [], "done": {}}
+
+    def note(self, table: str, name: str):
+        """What a writer last noted under a name, which costs no scan; None if nobody did."""
+        return self._last(table).get("notes", {}).get(name)
+
+    def _schema(self, entry: dict) -> T.StructType | None:
+        """The schema of an entry's rows; where it names none (an older entry), the files' own are merged."""
+        if "schema" in entry:
+            return T.StructType.fromJson(entry["schema"])
+        return self.spark.read.option("mergeSchema", True).parquet(*entry["folders"]).schema if entry["folders"] else None
+
+    @staticmethod
+    def _with_new_columns(old: T.StructType | None, new: T.StructType) -> T.StructType:
+        known = {f.name: f.dataType.simpleString() for f in old or []}
+        changed = [f.name for f in new if known.get(f.name, f.dataType.simpleString()) != f.dataType.simpleString()]
+        if changed:
+            raise ValueError(f"columns of another type than before: {', '.join(changed)}")
+        return T.StructType([*(old or []), *[f for f in new if f.name not in known]])
+
     @staticmethod
     def _token(token: str) -> tuple[str, int]:
         """A writer and its batch's number, from writer-number; a writer's numbers rise."""
@@ -87,7 +110,8 @@ class TableStore:
         v = have[-1] if version is None else version
         if v not in have:
             raise ValueError(f"{table} has no version {v}")
-        return self.spark.read.option("mergeSchema", True).parquet(*self._entry(table, v)["folders"])
+        entry = self._entry(table, v)
+        return self.spark.read.schema(self._schema(entry)).parquet(*entry["folders"])
 
     def _write(self, df: DataFrame, table: str, partition_by: tuple[str, ...], rows_per_file: int) -> str:
         folder = f"{self.root}/{table}/v={uuid.uuid4().hex}"
@@ -95,7 +119,7 @@ class TableStore:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
         return folder
 
-    def overwrite(self, df: DataFrame, table: str, cluster_by: tuple[str, ...] = (), partition_by: tuple[str, ...] = (), check: Callable[[DataFrame], None] | None = None, token: str | None = None, rows_per_file: int = 5_000_000, together: bool = False, files: int | None = None) -> int:
+    def overwrite(self, df: DataFrame, table: str, cluster_by: tuple[str, ...] = (), partition_by: tuple[str, ...] = (), check: Callable[[DataFrame], None] | None = None, token: str | None = None, rows_per_file: int = 5_000_000, together: bool = False, files: int | None = None, notes: dict | None = None) -> int:
         """A new version with df's rows alone; `check` sees the written rows before anyone else, and may raise.
 
         cluster_by: columns to sort by, the first before the second, or, together, numbers that count alike: then a file
@@ -109,25 +133,29 @@ class TableStore:
         folder = self._write(df, table, partition_by, rows_per_file)
         if check:
             check(self.spark.read.parquet(folder))
-        return self._next(table, [folder], token)
+        return self._next(table, [folder], token, df.schema, notes or {})
 
-    def _next(self, table: str, folders: list[str], token: str | None) -> int:
+    def _next(self, table: str, folders: list[str], token: str | None, schema: T.StructType, notes: dict) -> int:
         version = (self.versions(table) or [0])[-1] + 1
-        self._commit(table, version, folders, token)
+        self._commit(table, version, folders, token, schema, notes)
         return version
 
-    def append(self, df: DataFrame, table: str, token: str | None = None, partition_by: tuple[str, ...] = ()) -> int:
-        """The rows of df added; with a token that has been written, nothing. The last entry knows each writer's last number."""
+    def append(self, df: DataFrame, table: str, token: str | None = None, partition_by: tuple[str, ...] = (), notes: dict | None = None) -> int:
+        """The rows of df added; with a token that has been written, nothing. The last entry knows each writer's last number.
+
+        Columns may be added, but a column's type can't change. notes: small facts for `note`, added to the earlier ones.
+        """
         have = self.versions(table)
         if self._written(table, have, token):
             return have[-1]
-        old = self._entry(table, have[-1])["folders"] if have else []
-        return self._next(table, [*old, self._write(df, table, partition_by, 5_000_000)], token)
+        last = self._last(table)
+        schema = self._with_new_columns(self._schema(last), df.schema)
+        return self._next(table, [*last["folders"], self._write(df, table, partition_by, 5_000_000)], token, schema, last.get("notes", {}) | (notes or {}))
 
     def append_if_any(self, df: DataFrame, table: str) -> int | None:
         return None if df.isEmpty() else self.append(df, table)
 
-    def merge_new(self, df: DataFrame, table: str, keys: list[str], token: str | None = None, prune: str | None = None) -> int:
+    def merge_new(self, df: DataFrame, table: str, keys: list[str], token: str | None = None, prune: str | None = None, notes: dict | None = None) -> int:
         """Rows whose keys aren't there yet (one of each key) added, and how many: feeding a batch twice changes nothing.
 
         Null keys are equal. prune: a key whose range in df limits what is read of the table (by the files' statistics).
@@ -148,7 +176,7 @@ class TableStore:
                 cond = same if cond is None else cond & same
             new = new.join(marked, cond, "left_anti")
         seen = Observation()
-        self.append(new.observe(seen, F.count(F.lit(1)).alias("n")), table, token)
+        self.append(new.observe(seen, F.count(F.lit(1)).alias("n")), table, token, notes=notes)
         return seen.get["n"]
 
     def seed(self, df: DataFrame, table: str) -> bool:
@@ -161,8 +189,9 @@ class TableStore:
     def compact(self, table: str, file_bytes: int = 128 << 20, cluster_by: tuple[str, ...] = ()) -> int:
         """The same rows in files of about file_bytes."""
         rows = self.read(table)
-        size = sum(self._fs.getContentSummary(self._path(f)).getLength() for f in self._entry(table, self.versions(table)[-1])["folders"])
-        return self.overwrite(rows if cluster_by else rows.repartition(max(1, -(-size // file_bytes))), table, cluster_by)
+        last = self._last(table)
+        size = sum(self._fs.getContentSummary(self._path(f)).getLength() for f in last["folders"])
+        return self.overwrite(rows if cluster_by else rows.repartition(max(1, -(-size // file_bytes))), table, cluster_by, notes=last.get("notes"))
 
     def vacuum(self, table: str, keep_hours: float = 168.0) -> int:
         """Drop versions older than keep_hours (never the current one) and folders that no kept version needs."""
