@@ -333,3 +333,29 @@ def test_runner(tmp_path):
     assert all(done.index(x) < done.index(k) for k, needs in runner.JOBS["month_end"].items() for x in needs)
     assert runner.upstream(str(tmp_path / "none.json"), "p")["owner"] == "unassigned"
     assert '"event": "e"' in runner.log_event("e", n=1)
+
+
+def test_fields_of_a_schema():
+    from vigil.operators.drift import fields_of
+
+    text = "OBJECT<a: VARIANT, b: OBJECT<c: DECIMAL(21,1), `d e`: ARRAY<ARRAY<BIGINT>>>, e: OBJECT<>, f: ARRAY<OBJECT<g: TIMESTAMP_NTZ, h: BOOLEAN>>, `z<,``k`: VOID>"
+    assert fields_of(text) == [("a", "VARIANT"), ("b.c", "DECIMAL"), ("b.d e[][]", "BIGINT"), ("e", "OBJECT"), ("f[].g", "TIMESTAMP_NTZ"), ("f[].h", "BOOLEAN"), ("z<,`k", "VOID")]
+    assert fields_of("ARRAY<BIGINT>") == [("[]", "BIGINT")] and fields_of("STRING") == [("$", "STRING")] and fields_of("OBJECT<OBJECT: OBJECT<x: INT>>") == [("OBJECT.x", "INT")]
+
+
+def test_drift_inside_values(spark):
+    from pyspark.sql import functions as F
+    from vigil.operators import drift
+
+    days = [
+        ("x", 1, '{"a": 1, "b": {"c": "t"}, "n": null}'), ("x", 1, None), ("x", 2, '{"a": 2.5, "b": {"c": 3}, "n": 4}'), ("x", 2, '{"a": "t", "b": {"c": "t"}}'),
+        ("x", 5, "{"), ("x", 5, '{"a": "t", "new": []}'), ("x", 6, '{"a": "t", "new": [1]}'), ("y", 1, '{"q": 1}'), ("y", 2, '{"q": 7}'), ("z", 1, "{"), ("z", 2, "[1]"), ("z", None, None),
+    ]
+    df = spark.createDataFrame(days, "source string, day int, body string")
+    got = {tuple(r) for r in drift.drift_within(df, "body", F.col("day"), ("source",)).collect()}
+    assert got == {
+        ("x", 2, "a", "type_changed", "BIGINT", "VARIANT", True), ("x", 2, "b.c", "type_changed", "STRING", "VARIANT", True), ("x", 5, "b.c", "removed", "VARIANT", None, True),
+        ("x", 5, "a", "type_changed", "VARIANT", "STRING", True), ("x", 5, "n", "removed", "BIGINT", None, True), ("x", 5, "new[]", "added", None, "VOID", False), ("x", 5, "$", "added", None, "MALFORMED", True),
+        ("x", 6, "$", "removed", "MALFORMED", None, False), ("z", 2, "$", "removed", "MALFORMED", None, False), ("z", 2, "[]", "added", None, "BIGINT", False),
+    }
+    assert drift.drift_within(df.where("false"), "body", F.col("day")).count() == 0

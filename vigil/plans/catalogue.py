@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import text
 from vigil.functions.clock import step_to_time
-from vigil.operators import entities, features, governance, graph, identity, matching, ops, quality, scd2, scoring, serving
+from vigil.operators import drift, entities, features, governance, graph, identity, matching, ops, quality, scd2, scoring, serving
 from vigil.plans import jobs
 from vigil.plans import oracle as o
 from vigil.plans import tables as t
@@ -806,6 +806,36 @@ def gov_alert_visibility(spark, d):
     return spark.table("alert_view").select("account_id", "composite_risk_score")
 
 
+_DRIFT = """WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, CAST(month(o_orderdate) AS INTEGER) AS n, CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus AS s, o_totalprice IS NULL AS none FROM orders),
+f AS (SELECT m, 'id' AS path, 'BIGINT' AS type FROM r UNION SELECT m, 'ship.urgency', 'STRING' FROM r
+  UNION SELECT m, 'price', CASE WHEN count(DISTINCT CASE WHEN n % 4 = 0 AND s = 'P' OR n % 6 = 5 THEN 1 ELSE 0 END) > 1 THEN 'VARIANT' WHEN bool_or(n % 6 = 5) OR bool_and(n % 4 = 0 AND s = 'P') THEN 'STRING' ELSE 'DECIMAL' END FROM r WHERE NOT none GROUP BY m
+  UNION SELECT m, 'ship.paid', 'BOOLEAN' FROM r WHERE s = 'F' AND n % 3 = 1
+  UNION SELECT m, 'tags[]', CASE WHEN y % 2 = 0 THEN 'BIGINT' ELSE 'STRING' END FROM r WHERE s = 'P'
+  UNION SELECT m, '$', 'MALFORMED' FROM r WHERE s = 'O' AND n = 7),
+ms AS (SELECT m, lag(m) OVER (ORDER BY m) AS p FROM (SELECT DISTINCT m FROM f) x),
+old AS (SELECT ms.m, path, type FROM f JOIN ms ON ms.p = f.m), new AS (SELECT f.* FROM f JOIN ms USING (m) WHERE p IS NOT NULL)
+SELECT period, path, change, old_type, new_type, CASE WHEN path = '$' THEN change = 'added' ELSE change <> 'added' END AS is_breaking FROM (
+  SELECT COALESCE(new.m, old.m) AS period, COALESCE(new.path, old.path) AS path, old.type AS old_type, new.type AS new_type,
+    CASE WHEN old.type IS NULL THEN 'added' WHEN new.type IS NULL THEN 'removed' WHEN old.type <> new.type THEN 'type_changed' END AS change
+  FROM new FULL OUTER JOIN old ON new.m = old.m AND new.path = old.path) y WHERE change IS NOT NULL"""
+
+
+@query(_DRIFT)
+def ops_drift_in_json(spark, d):
+    """Fields that come, go and change by month in orders turned to JSON, whose fields depend on status and date."""
+    orders = t.table(spark, d, "orders").withColumns({"n": F.month("o_orderdate"), "s": F.col("o_orderstatus")})
+    n, s, price = F.col("n"), F.col("s"), F.col("o_totalprice").cast("decimal(18, 2)")
+    as_text = ((n % 4 == 0) & (s == "P")) | (n % 6 == 5)
+    ship = F.struct(F.col("o_orderpriority").alias("urgency"), F.when((s == "F") & (n % 3 == 1), F.lit(True)).alias("paid"))
+    numbers, words = F.array(F.lit(1), F.lit(2)), F.array(F.lit("a"))
+    even = F.year("o_orderdate") % 2 == 0
+    made = F.to_json(F.struct(F.col("o_orderkey").alias("id"), ship.alias("ship"), F.lit("@").alias("price"), F.when((s == "P") & even, numbers).alias("tags"), F.when((s == "P") & ~even, words).alias("tags_")))
+    shown = F.when(as_text, F.concat(F.lit('"'), price.cast("string"), F.lit('"'))).otherwise(price.cast("string"))
+    made = F.regexp_replace(F.replace(made, F.lit('"tags_"'), F.lit('"tags"')), '"@"', F.coalesce(shown, F.lit("null")))
+    broken = F.when((s == "O") & (n == 7), F.substring(made, 1, 9)).otherwise(made)
+    return drift.drift_within(orders.select("o_orderdate", broken.alias("body")), "body", F.date_format("o_orderdate", "yyyy-MM"))
+
+
 @query(o.with_(*o.SCORED, select="SELECT (SELECT COUNT(*) FROM acc) AS accounts, (SELECT COUNT(*) FROM banded) AS profiles, (SELECT COUNT(*) FROM alerts) AS alerts"))
 def gate_reconcile(spark, d):
     return ops.counts_to_reconcile(t.accounts(spark, d), t.profiles(spark, d), _alerts(spark, d))
