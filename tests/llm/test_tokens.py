@@ -53,6 +53,22 @@ def test_token_files_of_one_hot_id(spark, tmp_path):
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
 
 
+def test_shard_bounds_over_several_ranges(spark, monkeypatch):
+    """Ranges end shards too; no shard has more than its worth and a row, whether ids are many or one has half of the rows."""
+    from vigil.llm import token_files as module
+
+    rows = [(i if i % 2 else 5, "word " * (i % 17)) for i in range(3000)] + [(-3, None), (5, "long " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for most in (10**9, 400):
+        monkeypatch.setattr(module, "_TASK_ROWS", most)
+        upper, ties = shard_bounds(docs, 1500)
+        place = module._shard_of(np.array([d for d, _ in rows]), np.zeros(len(rows), np.int64), np.array(upper), np.array(ties))
+        assert list(zip(upper, ties, strict=True)) == sorted(set(zip(upper, ties, strict=True))) and upper.count(5) > 5
+        sizes = np.bincount([p for p, (d, _) in zip(place, rows, strict=True) if d != 5], [len((t or "").encode()) + 1 for d, t in rows if d != 5], len(upper) + 1)
+        worth = sum(len((t or "").encode()) + 1 for _, t in rows) / max(spark.sparkContext.defaultParallelism, -(-2 * sum(len((t or "").encode()) + 1 for _, t in rows) // 4500))
+        assert sizes.max() <= 2 * worth
+
+
 def test_encoder_on_awkward_texts():
     """Columns of texts against the library, text by text."""
     rng = random.Random(3)

@@ -7,8 +7,8 @@ Layout of a folder, one set of files for each shard (shards and the documents in
 The manifest (a small table) has each shard's documents and ids; exclusive prefix sums of them are the shards' bases.
 
 Shards are ranges of doc_id of about equal bytes, chosen before anything is encoded, so that encoded documents are
-shuffled once, each shard to a task of its own, and never kept elsewhere. A doc_id with more rows than a shard should
-have is parted by a hash of the text and the row's place.
+shuffled once, each shard to a task of its own, and never kept elsewhere. Rows of one doc_id may lie in several shards;
+they are parted by a hash of the text and the row's place.
 
 Every document ends with end_id. Null text counts as empty. Null doc_ids come first; rows with equal doc_id are
 ordered by a hash of their texts, so results don't depend on the order of the input. Other columns are ignored. A retried task
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -33,11 +32,11 @@ from vigil.llm.common import shared_dir
 
 #: Bytes of ids that a shard should have.
 SHARD_BYTES = 64 << 20
-_NULL, _LAST = -(1 << 63), (1 << 63) - 1
+_NULL = -(1 << 63)
 
 
-#: Ranges of doc_id, for each shard, whose bytes are added up before they are made into shards.
-_FINE = 8
+#: What a task may take when bounds are found: shards' worth of rows, and rows.
+_TASK_SHARDS, _TASK_ROWS = 8, 2_000_000
 
 
 def _tie():
@@ -48,55 +47,44 @@ def _tie():
 def shard_bounds(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[list[int], list[int]]:
     """Upper (doc_id, tie) of all shards but the last; a shard has about shard_bytes of ids, at two bytes for three of text.
 
-    Fine ranges of doc_id come from approximate quantiles; their bytes are added up, and whole ranges make up a shard.
-    A doc_id that fills several ranges is parted by quantiles of the tie.
+    Only doc_ids, ties and sizes are sorted, in ranges of (doc_id, tie), so that a doc_id with very many rows spreads over
+    tasks like any other rows; sizes are added up along each range, and a shard ends wherever another shard's worth is
+    full, and where a range ends. What is collected is one row a shard.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.octet_length("text").alias("size"), _tie().alias("tie"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), _tie().alias("tie"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
     n, size = rows.agg(F.count("*"), F.sum("size")).first()
     shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-2 * (size or 0) // (3 * shard_bytes)))
     if not n or shards < 2:
         return [], []
-    fine = _FINE * shards
-    cuts = rows.agg(F.percentile_approx("doc", [i / fine for i in range(1, fine)], 20 * fine)).first()[0]
-    times = Counter(cuts)
-    upper = sorted(times)
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(upper))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value) + 1)
+    most = size / shards
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, full, last, open_ = 0, 0, None, False
         for b in batches:
-            total += np.bincount(np.searchsorted(shared.value, np.asarray(b.column(0))), np.asarray(b.column(1).fill_null(0)) + 1.0, len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["at", "bytes"])
-
-    sums = rows.select("doc", "size").mapInArrow(place, "at long, bytes long").groupBy("at").agg(F.sum("bytes").alias("bytes"))
-    sizes = {r.at: r.bytes for r in sums.collect()}
-    most = sum(sizes.values()) / shards
-    hot = {d: max(2, round(sizes.get(i, 0) / most)) for i, d in enumerate(upper) if times[d] > 1 and sizes.get(i, 0) > 1.5 * most}
-    ties: dict[int, list[int]] = {}
-    for d, m in hot.items():
-        ties[d] = sorted(set(rows.where(F.col("doc") == d).agg(F.percentile_approx("tie", [k / m for k in range(1, m)], 100 * m)).first()[0]))
-    out: list[tuple[int, int]] = []
-    filled = 0
-    for i, d in enumerate(upper):
-        if d in ties:
-            if filled and i:
-                out.append((upper[i - 1], _LAST))
-            out += [(d, t) for t in ties[d]] + [(d, _LAST)]
-            filled = 0
-            continue
-        filled += sizes.get(i, 0)
-        if filled >= most * 0.9:
-            out.append((d, _LAST))
-            filled = 0
+            doc, tie, sizes = (np.asarray(b.column(i)) for i in range(3))
+            if not len(doc):
+                continue
+            worth = ((filled + np.cumsum(sizes)) // most).astype(np.int64)
+            at = np.flatnonzero(np.diff(worth, prepend=full))
+            filled, full, last = filled + int(sizes.sum()), int(worth[-1]), (doc[-1], tie[-1])
+            open_ = not len(at) or at[-1] != len(doc) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tie[at])], ["doc", "tie"])
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["doc", "tie"])
+
+    ranges = max(1, shards // _TASK_SHARDS, n // _TASK_ROWS)
+    ordered = rows.repartitionByRange(ranges, "doc", "tie").sortWithinPartitions("doc", "tie")
+    out = sorted({(r.doc, r.tie) for r in ordered.mapInArrow(ends, "doc long, tie long").collect()})[:-1]  # the last row of all ends no shard
     return [d for d, _ in out], [t for _, t in out]
 
 
 def _shard_of(doc: np.ndarray, tie: np.ndarray, upper: np.ndarray, ties: np.ndarray) -> np.ndarray:
     at = np.searchsorted(upper, doc)
-    for d in upper[np.flatnonzero(np.diff(upper) == 0)]:
-        mine = np.flatnonzero(doc == d)
-        first, end = np.searchsorted(upper, [d, d + 1])
+    there = np.flatnonzero(at < len(upper))
+    there = there[upper[at[there]] == doc[there]]  # rows whose doc_id is that of a bound: the tie decides
+    for d in np.unique(doc[there]):
+        mine = there[doc[there] == d]
+        first, end = np.searchsorted(upper, d), np.searchsorted(upper, d, "right")
         at[mine] = first + np.searchsorted(ties[first:end], tie[mine])
     return at.astype(np.int32)
 
