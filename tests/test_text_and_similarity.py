@@ -98,6 +98,23 @@ def test_top_matches_against_all_pairs(spark, n):
     assert matching.top_similar(one.limit(0), two)[0].count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_top_matches_with_and_without_the_index(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW", few)
+    test_top_matches_against_all_pairs(spark, 5)
+
+
+def test_comparisons_grow_as_the_list_does(spark):
+    """Four times the names have some more neighbours each (one more digit counts), not four times as many."""
+    compared = []
+    for k in (2_000, 8_000):
+        names = spark.range(k).select(F.concat(F.lit("CUSTOMER "), F.lpad(F.col("id").cast("string"), 9, "0")).alias("text"))
+        best, n = matching.top_similar(names, names, 5, 50.0)
+        assert best.count() == 5 * k
+        compared.append(n)
+    assert compared[1] < 6 * compared[0]
+
+
 def test_the_index_compares_few_pairs(spark):
     row = QUERIES["match_top_n_cost"](spark, "/root/testdata/sf0.01").first()
     assert row.names == 1664 and row.pairs == row.names**2 and row.scored < 0.1 * row.pairs

@@ -6,9 +6,11 @@ grid of cells of about `PAIRS` pairs, and a name goes to the cells of its row or
 pairs would take. Cells are numbered in order and dealt to tasks in turn, so tasks get equal numbers of pairs although
 one block may hold half of all names. A task prepares each name of a cell once and compares all its pairs in arrays.
 
-The n best of a whole list (`top_similar`) come from an inverted index of positional bigrams, for one, two, then three
-edits: two names within k edits share one of their 2k + 1 rarest bigrams, at most k places apart, and all but 2k in all. A name is done as soon
-as its n-th best beats what any pair with more edits could reach; the few that aren't are compared with the whole list.
+The n best of a whole list (`top_similar`) are sought among names one edit away first, which become equal when either
+loses a letter or none, so that the work follows the number of such pairs and not the square of the list. A name is done as soon
+as its n-th best beats what any pair with more edits could reach. Of the others, if they are many, those of two, then
+three edits come from an inverted index of positional bigrams: two names within k edits share one of their 2k + 1 rarest
+bigrams, at most k places apart, and all but 2k in all. The few that are left are compared with the whole list.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from vigil.session import written
 FLOOR, COUNTRY_BONUS, DOB_BONUS, STRONG = 78.0, 3.0, 5.0, 90.0
 #: Pairs in a cell, and edits up to which the index of bigrams is asked.
 PAIRS, EDITS = 1 << 18, 3
+#: Names that are compared with the whole list at once, which costs less than an index of it.
+FEW = 1_000
 
 
 def names_of(watchlist: DataFrame) -> DataFrame:
@@ -153,27 +157,64 @@ def _within(ranked: DataFrame, asking: DataFrame, edits: int) -> DataFrame:
     return met.withColumn("edits", F.levenshtein("a", "b", edits))
 
 
+def _shortened(text: Column) -> Column:
+    """Hashes of the text and of all that are left when it loses one letter."""
+    n = F.length(text)
+    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, n))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(text)), less))
+
+
+def _one_edit(texts: DataFrame, n: int, floor: float) -> tuple[DataFrame, int]:
+    """(a, b, score, match_rank of the n best at most one edit apart, how many comparisons that took).
+
+    Two texts one edit apart are equal once either has lost one letter at most; a text that meets many is one of those
+    with many neighbours, so its candidates are as many as its letters and the alphabet allow.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the texts are few bytes for the work they make
+    short = texts.repartition(parts, "text").select("text", "is_a", "is_b", F.explode(_shortened(F.col("text"))).alias("short"))
+    one, two = short.where("is_a").select("short", F.col("text").alias("a")), short.where("is_b").select("short", F.col("text").alias("b"))
+    seen = Observation()
+    met = one.join(two.hint("merge"), "short").where("a <> b").observe(seen, F.count("*").alias("compared"))
+    apart = met.select("a", "b", F.levenshtein("a", "b", 1).alias("edits")).where("edits >= 0")
+    same = texts.where("is_a AND is_b").select(F.col("text").alias("a"), F.col("text").alias("b"), F.lit(0).alias("edits"))
+    found = apart.union(same).select("a", "b", _edit_score(F.col("a"), F.col("b"), F.col("edits")).alias("score")).where(F.col("score") >= floor)
+    sets = found.groupBy("a").agg(F.collect_set(F.struct((-F.col("score")).alias("less"), "b")).alias("near"))  # a pair may have met twice
+    best = sets.select("a", F.posexplode(F.slice(F.array_sort("near"), 1, n)).alias("at", "x"))
+    out = written(best.select("a", "x.b", (-F.col("x.less")).alias("score"), (F.col("at") + 1).alias("match_rank")))
+    return out, 0 if texts.where("is_a").isEmpty() or texts.where("is_b").isEmpty() else seen.get["compared"]  # Spark drops what it sees to be empty
+
+
 def top_similar(left: DataFrame, right: DataFrame, n: int = 5, floor: float = 50.0) -> tuple[DataFrame, int]:
-    """(a, b, score, match_rank of the n best texts of right for each of left, how many pairs were compared).
+    """(a, b, score, match_rank of the n best texts of right for each of left, how many comparisons were made).
 
     The score is 100 - 100 * edits / the longer length, rounded to 4 digits; at least floor, which is above 0; ties by b.
     Null and empty texts match nothing.
     """
     marked = left.select("text", F.lit(True).alias("is_a"), F.lit(False).alias("is_b")).union(right.select("text", F.lit(False), F.lit(True)))
     texts = written(marked.where("text <> ''").groupBy("text").agg(F.bool_or("is_a").alias("is_a"), F.bool_or("is_b").alias("is_b")))
-    ranked = written(_ranked(texts.withColumn("grams", _bigrams(F.col("text")))))
-    open_, done, compared = texts.where("is_a").select("text"), [], 0
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    for edits in range(1, EDITS + 1):
+
+    def settled(asking: DataFrame, best: DataFrame, edits: int) -> DataFrame:
+        """The texts of asking whose n best can't be beaten by texts of more edits than so many."""
+        length = F.length("text")
+        reach = F.round(100 * length / (length + edits + 1), 4)  # of any text with more edits
+        last = best.where(F.col("match_rank") == n).select(F.col("a").alias("text"), F.col("score").alias("last"))
+        return asking.join(last, "text", "left").where((F.coalesce("last", F.lit(-1.0)) > reach) | (reach < floor)).select("text")
+
+    asking = texts.where("is_a").select("text")
+    best, compared = _one_edit(texts, n, floor)
+    over = settled(asking, best, 1)
+    done = [best.join(over.withColumnRenamed("text", "a"), "a", "left_semi")]
+    open_ = written(asking.join(over, "text", "left_anti"))
+    many = open_.count() > FEW
+    ranked = written(_ranked(texts.withColumn("grams", _bigrams(F.col("text"))))) if many else None
+    for edits in range(2, EDITS + 1) if many else ():
         asking = written(open_.where(F.length("text") >= 3 * edits))  # then texts within reach have 2 * edits + 1 bigrams at least
         met = written(_within(ranked, asking, edits))
         compared += met.count()
         found = met.where("edits >= 0").select("a", "b", _edit_score(F.col("a"), F.col("b"), F.col("edits")).alias("score")).where(F.col("score") >= floor)
         best = written(found.withColumn("match_rank", F.row_number().over(order)).where(F.col("match_rank") <= n))
-        length = F.length("text")
-        reach = F.round(100 * length / (length + edits + 1), 4)  # of any text with more edits
-        last = best.where(F.col("match_rank") == n).select(F.col("a").alias("text"), F.col("score").alias("last"))
-        over = asking.join(last, "text", "left").where((F.coalesce("last", F.lit(-1.0)) > reach) | (reach < floor)).select("text")
+        over = settled(asking, best, edits)
         done.append(best.join(over.withColumnRenamed("text", "a"), "a", "left_semi"))
         open_ = written(open_.join(over, "text", "left_anti"))
     one, two = dealt(open_, texts.where("is_b").select("text"), whole_list)
