@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import features, governance, ops, scd2
+from vigil.plans import tables
 from vigil.plans.catalogue import QUERIES
 from vigil.session import shared_folder
 from vigil.sources import readers
@@ -111,3 +112,18 @@ def test_serving_view_finds_the_latest_publish(spark):
     assert (row.account_id, row.as_of_batch_id, row.is_stale) == ("a", "b2", True)
     ops.publish_serving_view(profiles, control.limit(0), "p", "serving_test")
     assert spark.table("serving_test").first().is_stale is True
+
+
+def test_tasks_of_a_join_are_as_many_as_the_rows_need(spark):
+    rows, few = spark.range(10_000).select((F.col("id") % 700).alias("k")), spark.range(50).withColumnRenamed("id", "k")
+    one, two = tables.spread(rows, few, "k", each=500)
+    sizes = one.groupBy(F.spark_partition_id()).count().collect()
+    assert one.rdd.getNumPartitions() == two.rdd.getNumPartitions() == 20 and max(r["count"] for r in sizes) < 1_500 and one.count() == 10_000
+    assert tables.spread(rows, few, "k", each=5_000) == (rows, few) and tables.spread(rows.limit(0), few, "k")[0].count() == 0
+
+
+def test_edges_deal_lines_by_their_number(spark, monkeypatch):
+    real, plain = tables.spread, sorted(tables.edges(spark, SF).collect())
+    monkeypatch.setattr(tables, "spread", lambda *args: real(*args, each=7_000))
+    got = tables.edges(spark, SF)
+    assert sorted(got.collect()) == plain and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()

@@ -9,14 +9,16 @@ NOTE = "synthetic linkage: ratio drawn from the empirical distribution of the re
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """node, out_degree, in_degree; parallel edges count. One shuffle: both directions are summed together."""
-    both = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    """node, out_degree, in_degree; parallel edges count. One pass over the edges and one shuffle: both directions are summed together."""
+    end = lambda node, o, i: F.struct(F.col(node).alias("node"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    both = edges.select(F.inline(F.array(end("src", 1, 0), end("dst", 0, 1))))
     return both.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
 def neighbour_counts(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """node, illicit and known neighbours, either direction, parallel edges counted. Edges are summed up before the join."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).groupBy("node", "other").agg(F.count("*").alias("k"))
+    way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("other"))
+    both = edges.select(F.inline(F.array(way("src", "dst"), way("dst", "src")))).groupBy("node", "other").agg(F.count("*").alias("k"))
     known = both.join(classes.select(F.col("node").alias("other"), "class"), "other")
     return known.groupBy("node").agg(F.sum(F.when(F.col("class") == "1", F.col("k")).otherwise(0)).alias("illicit"), F.sum(F.when(F.col("class").isin("1", "2"), F.col("k")).otherwise(0)).alias("known"))
 

@@ -64,9 +64,21 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame, other: DataFrame, key: str, each: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """Both tables dealt by key to tasks of about `each` of rows, where the session's number of partitions would give them more.
+
+    What a task of their join sorts then has a bound, however large the tables are. rows should be a table, as they are counted.
+    """
+    parts = -(-rows.count() // each)
+    if parts <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows, other
+    return rows.repartition(parts, key), other.repartition(parts, key)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey")
+    lines, o = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), o, "l_orderkey")
+    lines = lines.join(o, "l_orderkey")
     return lines.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
 
 
