@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 
 from vigil.sources import schemas
 from vigil.sources.store import TableStore
 from vigil.streaming import ingest, outcomes
+from vigil.streaming.outcomes import FIRST, REPEATED, Outcomes
 
 
 def rows(spark, values):
@@ -165,3 +169,16 @@ def test_store_keeps_the_schema(spark, place):
     with pytest.raises(ValueError, match="id"):
         store.append(spark.range(3).selectExpr("CAST(id AS STRING) AS id"), "x")
     assert store.read("x").count() == 6
+
+
+def test_state_takes_an_element_a_batch_and_not_a_key():
+    kept, timers = [], []
+    state = SimpleNamespace(get=lambda: iter(kept), appendList=kept.extend)
+    cell = Outcomes(["key"])
+    cell.init(SimpleNamespace(getListState=lambda *_: state, registerTimer=timers.append))
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    part = lambda keys: pd.DataFrame({"key": [f'["{k}"]' for k in keys], "at": 1})
+    told = lambda *parts: [x for p in cell.handleInputRows((0, 9), iter(parts), clock) for x in p["outcome"]]
+    assert told(part(range(1000)), part([999, 1000, 1000])) == [FIRST] * 1000 + [REPEATED, FIRST, REPEATED]
+    assert told(part([0, 500, 1000, 1001])) == [REPEATED] * 3 + [FIRST]
+    assert len(kept) == 3 and timers == [9]

@@ -1,8 +1,8 @@
 """What becomes of each row of a stream: taken in (first), seen before (repeated) or later than the watermark (late).
 
 The state is kept in cells: a cell holds the keys, of one bucket by hash, whose event times lie in one span of time. A
-cell is one list in the state store, read and extended in Arrow batches, so a batch costs a few calls a cell and none a
-row, and one event-time timer drops a cell whole, once the watermark has passed its end: from then on all its rows are
+cell is one list in the state store, whose elements are the new keys of a batch in one string (JSON has no line breaks, so
+these part them); a batch costs a few calls and elements a cell and none a row, and one event-time timer drops a cell whole, once the watermark has passed its end: from then on all its rows are
 late, and nothing need be remembered of them. Equal keys must have equal event times, as they do where the event time is
 one of the key's fields.
 """
@@ -36,7 +36,7 @@ class Outcomes(StatefulProcessor):
         for part in rows:
             late = part["at"] < mark
             if known is None and not late.all():
-                known = {k for (k,) in self.seen.get()}
+                known = {k for (keys,) in self.seen.get() for k in keys.split("\n")}
                 if not known:
                     self.handle.registerTimer(end)
             on_time = part.loc[~late, "key"]
@@ -45,7 +45,7 @@ class Outcomes(StatefulProcessor):
             outcome[on_time.index] = new.map({True: FIRST, False: REPEATED})
             fresh = on_time[new].tolist()
             if fresh:
-                self.seen.appendList([(k,) for k in fresh])
+                self.seen.appendList([("\n".join(fresh),)])
                 known.update(fresh)
             yield part[self.columns].assign(outcome=outcome)
 
