@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -73,6 +74,29 @@ def test_long_documents_in_segments(monkeypatch):
     assert whole[0].sum() == pytest.approx(4) and whole[1].sum() == pytest.approx(696) and whole[2].sum() == pytest.approx(700)
 
 
+def test_segments_are_passed_together(monkeypatch):
+    """Short documents share a pass as far as AT_ONCE allows, however many they are; long ones don't exceed it by more than one."""
+    column = pa.array([np.array([3, 8, CLASSES], np.uint16).tobytes()] * 2000 + [b""] + [np.full(900, 5, np.uint16).tobytes()] * 3)
+    m, passes, real = small_model(), [], HMM._passes
+    monkeypatch.setattr(HMM, "_passes", lambda self, seq, begin, *rest: passes.append(len(begin)) or real(self, seq, begin, *rest))
+    got = [m.expected(seq, at) for seq, at in hmm.together(column)]
+    assert passes == [2000 + 3 * -(-900 // hmm.SEGMENT)]
+    monkeypatch.setattr(hmm, "AT_ONCE", 4)
+    parts = [np.diff(at).tolist() for _, at in hmm.together(column)]
+    assert sum(parts, []) == [3] * 2000 + [0] + [900] * 3 and all(sum(x) <= 4 * hmm.SEGMENT or len(x) == 1 for x in parts)
+    few = [m.expected(seq, at) for seq, at in hmm.together(column)]
+    for a, b in zip(zip(*got, strict=True), zip(*few, strict=True), strict=True):
+        assert np.allclose(sum(a), sum(b), rtol=1e-5)
+
+
+def test_likelihood_of_rare_classes_stays_in_range():
+    """Emissions as small as a corpus of 1e15 tokens makes them, over many steps between scalings, and texts that end at each of them."""
+    m = HMM(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 1 / STATES), np.full((CLASSES + 1, STATES), 1e-28))
+    n = np.arange(1, 40)
+    got = m.log10_likelihoods(np.zeros(n.sum(), np.int64), np.concatenate([[0], np.cumsum(n)]))
+    assert np.allclose(got, -28.0 * n, rtol=1e-12)
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(0)
     seq = np.concatenate([rng.integers(0, 20, 64) + 20 * (i % 2) for i in range(40)])

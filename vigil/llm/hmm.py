@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ SEGMENT = 112
 AROUND = 16
 #: Segments that are looked at together.
 AT_ONCE = 4096
+#: Steps of the forward recursion from one scaling to the next: no product of so many emissions leaves a double's range.
+UNSCALED = 8
 FREQUENT = 1 << 17
 ROUNDS = 10
 END = np.uint64(0x0123456789ABCDEF)
@@ -140,30 +143,40 @@ class HMM:
         """Forward and backward passes over segments, longest first; tokens lead to own of each are counted."""
         steps = int(length[0])
         active = np.searchsorted(-length, -np.arange(steps), side="left")  # segments with more tokens than that
-        move, emit = self.move.astype(np.float32), self.emit.astype(np.float32)  # counts need no more digits
-        prior = np.where((lead == 0)[:, None], self.start, self.stationary()).astype(np.float32)
-        a, scale, seen = [], [], []
+        move, emit = self.move.astype(np.float32), np.ascontiguousarray(self.emit.T, np.float32)  # counts need no more digits
+        back = np.ascontiguousarray(move.T)
+        prior = np.where(lead == 0, self.start[:, None], self.stationary()[:, None]).astype(np.float32)
+        a, given, seen = [], [], []  # a row for each state, so that arrays run along the segments
         for t, m in enumerate(active.tolist()):
             e = seq[begin[:m] + t]
-            x = (prior if t == 0 else a[-1][:m] @ move) * emit[e]
-            s = x.sum(axis=1, keepdims=True)
-            a.append(x / s)
-            scale.append(s)
+            g = emit.take(e, axis=1)
+            x = (prior if t == 0 else back @ a[-1][:, :m]) * g
+            s = 1 / x.sum(axis=0)
+            x *= s
+            g *= s
+            a.append(x)
+            given.append(g)
             seen.append(e)
-        moves, b = np.zeros((STATES, STATES)), np.ones((int(active[-1]), STATES), np.float32)
+        moves, b = np.zeros((STATES, STATES)), np.ones((STATES, int(active[-1])), np.float32)
         for t in reversed(range(steps)):
             if t < steps - 1:
                 m = int(active[t + 1])
-                ahead = emit[seen[t + 1]] * b / scale[t + 1]
+                ahead = given.pop()
+                ahead *= b
+                b = np.ones((STATES, int(active[t])), np.float32)
+                np.matmul(move, ahead, out=b[:, :m])
                 mine = (lead[:m] <= t + 1) & (t + 1 < own[:m])
-                moves += (a[t][:m].T @ (ahead * mine[:, None])) * self.move
-                b = np.ones((int(active[t]), STATES), np.float32)
-                b[:m] = ahead @ move.T
+                if not mine.all():
+                    ahead *= mine
+                moves += (a[t][:, :m] @ ahead.T) * self.move
             m = int(active[t])
-            a[t] *= b * ((lead[:m] <= t) & (t < own[:m]))[:, None]
-        flat, where = np.concatenate(a), np.concatenate(seen)
-        emits = np.column_stack([np.bincount(where, flat[:, k], CLASSES + 1) for k in range(STATES)])
-        return a[0][lead == 0].sum(axis=0), moves, emits
+            a[t] *= b
+            mine = (lead[:m] <= t) & (t < own[:m])
+            if not mine.all():
+                a[t] *= mine
+        flat, where = np.concatenate(a, axis=1), np.concatenate(seen).astype(np.intp)
+        emits = np.column_stack([np.bincount(where, x, CLASSES + 1) for x in flat])
+        return a[0][:, lead == 0].sum(axis=1, dtype=np.float64), moves, emits
 
     def log10_likelihoods(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Exact log10 likelihood of each whole sequence seq[at[i] : at[i + 1]], by the scaled forward recursion."""
@@ -171,20 +184,36 @@ class HMM:
         order = np.argsort(-n, kind="stable")
         n, begin = n[order], at[:-1][order]
         total, active = np.zeros(len(n)), len(n)
-        state = np.broadcast_to(self.start, (active, STATES))
+        move, emit = np.ascontiguousarray(self.move.T), np.ascontiguousarray(self.emit.T)
+        state = np.broadcast_to(self.start[:, None], (STATES, active))
         for t in range(int(n[0]) if len(n) else 0):
-            while active and n[active - 1] <= t:
-                active -= 1
-            state = state[:active]
-            x = (state if t == 0 else state @ self.move) * self.emit[seq[begin[:active] + t]]
-            s = x.sum(axis=1)
-            total[:active] += np.log10(s)
-            state = x / s[:, None]
+            x = (state if t == 0 else move @ state) * emit.take(seq[begin[:active] + t], axis=1)
+            left = active
+            while left and n[left - 1] <= t + 1:
+                left -= 1
+            if left < active:
+                total[left:active] += np.log10(x[:, left:].sum(axis=0))
+                x, active = x[:, :left], left
+            if t % UNSCALED == UNSCALED - 1:
+                s = x.sum(axis=0)
+                total[:active] += np.log10(s)
+                x = x / s
+            state = x
         out = np.empty(len(n))
         out[order] = total
         return out
 
 
+def together(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes of some documents of a column, and where each one's begin (and the end of all): about as many tokens as are passed at once."""
+    end = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(column), np.int64) // 2)])
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(end, end[i] + AT_ONCE * SEGMENT, side="right")) - 1)
+        yield np.frombuffer(b"".join(column.slice(i, j - i).to_pylist()), np.uint16), end[i : j + 1] - end[i]
+        i = j
+
+
 def _round(sequences: DataFrame, model: HMM, frequency: np.ndarray) -> HMM:
     shared = sequences.sparkSession.sparkContext.broadcast(model)
 
@@ -192,10 +221,8 @@ def _round(sequences: DataFrame, model: HMM, frequency: np.ndarray) -> HMM:
         m = shared.value
         start, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES + 1, STATES))
         for b in batches:
-            for i in range(0, b.num_rows, 300):
-                raw = b.column(0).slice(i, 300).to_pylist()
-                at = np.concatenate([[0], np.cumsum([len(r) // 2 for r in raw])])
-                s, t, e = m.expected(np.frombuffer(b"".join(raw), np.uint16), at)
+            for seq, at in together(b.column(0)):
+                s, t, e = m.expected(seq, at)
                 start, moves, emits = start + s, moves + t, emits + e
         table = np.vstack([emits, start, moves])
         some = np.flatnonzero(table.any(axis=1))
