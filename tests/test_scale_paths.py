@@ -127,3 +127,24 @@ def test_edges_deal_lines_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(tables, "spread", lambda *args: real(*args, each=7_000))
     got = tables.edges(spark, SF)
     assert sorted(got.collect()) == plain and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_chain_does_each_step_once(spark, sf, monkeypatch):
+    """alert_queue_screened: events are read once for both parties, edges meet classes before any summing, and people are made in as many tasks as shuffles have."""
+    from vigil.operators import features, graph, identity, matching
+    from vigil.plans import catalogue
+    from vigil.plans import tables as t
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(features.account_txns(t.transactions(spark, sf))).count("FileScan parquet") == 1
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string")
+    classes = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "unknown")], "node string, class string")
+    counts = graph.neighbour_counts(edges, classes)
+    assert plan(counts).count("HashAggregate") == 2
+    assert {tuple(r) for r in counts.collect()} == {("a", 0, 2), ("b", 2, 2), ("c", 0, 1)}
+    people = identity.assign(t.accounts(spark, sf), catalogue._watchlist(spark, sf), 0.10)
+    assert "REPARTITION_BY_NUM" in plan(people)
+    kept, real = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df: kept.append(df.columns) or real(df))
+    catalogue.QUERIES["match_wratio_blocked"](spark, sf)
+    assert kept == [["candidate_id", "c_country", "c_dob", "a"], ["cell", "side", "text"]]

@@ -20,10 +20,9 @@ def as_of_date(txns: DataFrame) -> datetime.date | None:
 
 
 def account_txns(txns: DataFrame) -> DataFrame:
-    """A row for each party of a transaction: account_id, counterparty_id, amount, event_date."""
-    one = txns.select(F.col("source_account_id").alias("account_id"), F.col("target_account_id").alias("counterparty_id"), "amount", "event_date")
-    two = txns.select(F.col("target_account_id").alias("account_id"), F.col("source_account_id").alias("counterparty_id"), "amount", "event_date")
-    return one.unionByName(two)
+    """A row for each party of a transaction: account_id, counterparty_id, amount, event_date; transactions are read once."""
+    party = lambda a, b: F.struct(F.col(a).alias("account_id"), F.col(b).alias("counterparty_id"), "amount", "event_date")
+    return txns.select(F.inline(F.array(party("source_account_id", "target_account_id"), party("target_account_id", "source_account_id"))))
 
 
 def recent(txns: DataFrame, day: datetime.date, days: int = DAYS) -> DataFrame:

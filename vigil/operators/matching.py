@@ -106,7 +106,7 @@ def similar_names(left: DataFrame, right: DataFrame, floor: float = FLOOR, pairs
     if scorer:
         met = one.join(two, "cell").where(may_reach(F.col("a"), F.col("b"), floor))
         return met.withColumn("score", scorer(F.col("a"), F.col("b"))).where(F.col("score") >= floor).select("a", "b", "score")
-    both = one.select("cell", F.lit(0).alias("side"), F.col("a").alias("text")).union(two.select("cell", F.lit(1), "b"))
+    both = written(one.select("cell", F.lit(0).alias("side"), F.col("a").alias("text")).union(two.select("cell", F.lit(1), "b")))
     cells = both.agg(F.max("cell")).first()[0]
     tasks = _tasks(left.sparkSession, 0 if cells is None else cells + 1)
 
@@ -234,7 +234,8 @@ def screen(candidates: DataFrame, watchlist: DataFrame, floor: float = FLOOR, pa
 
     watchlist: entity_id, name, aliases, country, dob. The best name of an entity counts; of equals, the earliest.
     """
-    people = candidates.select("candidate_id", F.col("country").alias("c_country"), F.col("dob").alias("c_dob"), normalized_name(F.col("name")).alias("a")).where("a <> ''")
+    people = candidates.select("candidate_id", F.col("country").alias("c_country"), F.col("dob").alias("c_dob"), normalized_name(F.col("name")).alias("a"))
+    people = written(people.where("a <> ''"))  # names are made and normalized once
     names = names_of(watchlist)
     scored = similar_names(people.withColumnRenamed("a", "text"), names, floor, pairs, key, scorer)
     hits = people.join(scored, "a").join(names.select("entity_id", "ordinal", "field", "raw", F.col("text").alias("b")), "b")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import features
 from vigil.operators.quality import DataContractError
+from vigil.session import written
 
 # The default rules, valid from 2026-01-01.
 DEFAULT_RULES = {
@@ -109,6 +110,7 @@ def profile(accounts: DataFrame, txns: DataFrame, matches: DataFrame, network: D
 def alert_queue(profiles: DataFrame, least: float) -> DataFrame:
     """Exact matches and scores of at least `least`, ranked. Ranks come from the few distinct scores, not a global sort."""
     due = profiles.where((F.col("best_band_rank") == 3) | (F.col("composite_risk_score") >= least))
+    due = written(due.select("entity_id", "account_id", "as_of_date", "composite_risk_score", "best_band_rank"))  # ranks and rows both take it
     from pyspark.sql import Window
 
     per_score = due.groupBy("composite_risk_score").agg(F.count("*").alias("_n"))

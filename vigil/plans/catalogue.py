@@ -14,6 +14,7 @@ from vigil.operators import drift, entities, features, governance, graph, identi
 from vigil.plans import jobs
 from vigil.plans import oracle as o
 from vigil.plans import tables as t
+from vigil.session import written
 from vigil.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -511,7 +512,7 @@ def match_wratio_blocked(spark, d):
 
 def _screened_profiles(spark, d):
     accounts = t.accounts(spark, d)
-    found = jobs.screened(accounts, _watchlist(spark, d), 0.10)
+    found = written(jobs.screened(accounts, _watchlist(spark, d), 0.10))  # scores and exposure both take it
     network = graph.network_reference(accounts, graph.node_risk(t.classes(spark, d), t.edges(spark, d)))
     return scoring.profile(accounts, t.transactions(spark, d), found, network, t.STAND_IN_RULES)
 
