@@ -39,7 +39,7 @@ CLASSES = 8192
 SEGMENT = 112
 AROUND = 16
 #: Segments that are looked at together.
-AT_ONCE = 4096
+AT_ONCE = 2048
 #: Steps of the forward recursion from one scaling to the next: no product of so many emissions leaves a double's range.
 UNSCALED = 8
 FREQUENT = 1 << 17
