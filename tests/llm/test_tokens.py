@@ -119,6 +119,39 @@ def test_token_counts(spark, unique):
     assert token_counts(empty(spark), P.path("piece_bpe_32k.model")).count() == 0
 
 
+@pytest.mark.parametrize("few", [1, 100, 10**9])
+def test_many_pretokens_at_once(monkeypatch, few):
+    """A block's trie, level by level, gives what single pre-tokens get, wherever its levels end."""
+    from vigil.llm import token_counts as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    rng, trie = random.Random(4), PrefixTrie(load_ranks(P.path("piece_bpe_32k.model")))
+    pieces = sorted({p for p in trie.ends})
+    words = ["", "the", "then", "the", "internationalisation" * 40, "internationalisation" * 40 + "s", "日本" * 70, "x" * 90, "😀", "a\x85b"]
+    words += ["".join(rng.choices("abcdeéßñ日😀▁,.&#", k=rng.randrange(25))) for _ in range(800)] + ["".join(rng.choices(pieces, k=rng.randrange(1, 6))) for _ in range(800)]
+    tokens, scores = trie.tokens_of(pa.array(words))
+    assert list(zip(tokens.tolist(), scores.tolist(), strict=True)) == [trie.tokens(w) for w in words]
+    assert [len(x) for x in trie.tokens_of(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_pretokens_are_segmented_once_a_block(monkeypatch):
+    """Texts of a block share their pre-tokens; results don't depend on how texts fall into blocks."""
+    from vigil.llm import token_counts as module
+
+    texts = pa.array(["a b  a\n", "", " ", "b\x0bc\td", "x\x1cy \x85z\u2003w", "b a " * 50, "longer words here"] * 20)
+    asked, trie = [], PrefixTrie(load_ranks(P.path("piece_bpe_32k.model")))
+    many = trie.tokens_of
+    trie.tokens_of = lambda words: (asked.append(len(words)), many(words))[1]
+    out = {}
+    for size in (1, 300, 1 << 20):
+        monkeypatch.setattr(module, "BLOCK_BYTES", size)
+        asked.clear()
+        out[size] = [np.concatenate(c).tolist() for c in zip(*(module._count_block(trie, t) for t in module._blocks(texts)), strict=True)]
+    assert len(asked) == 1 and asked[0] == 10
+    assert out[1] == out[300] == out[1 << 20]
+    assert out[1][0] == [len(t.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ")) - t.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ").count("") for t in texts.to_pylist()]
+
+
 @pytest.mark.parametrize("block_words", [4_000_000, 20])
 def test_leaks_against_brute_force(spark, sf, block_words):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")

@@ -5,9 +5,11 @@ probability -ln(r + 2) (Zipf's law over the public file's ranks, so nothing is t
 piece costs one byte token for each of its UTF-8 bytes. The count of a pre-token is that of the segmentation with the
 highest sum (ties: fewer tokens, then the longer last piece).
 
-Each worker keeps one trie of all pre-tokens it has met. A node holds the forward score and count of the best
-segmentation of its prefix, so pre-tokens that begin alike share that work, and a terminal node answers a repeated
-pre-token at once. Nothing is shuffled and no state grows with the input: a full trie is dropped and begun anew.
+Documents are looked at in blocks. Arrow splits their texts and finds the block's distinct pre-tokens, which make up a
+trie: a node holds the forward score and count of the best segmentation of its prefix, so pre-tokens that begin alike
+share that work. The trie is made level by level, in arrays, from the sorted pre-tokens; a node looks for the pieces that
+end at it in a second trie, of the pieces read backwards, while it goes up to the nodes that they begin at. Only as many
+levels are kept as the longest piece has characters. Nothing is shuffled and no state outlives its block.
 
 Null or blank texts have no tokens. Rows are independent, so repeated rows and ids just repeat. Other columns are ignored.
 """
@@ -15,18 +17,25 @@ Null or blank texts have no tokens. Rows are independent, so repeated rows and i
 from __future__ import annotations
 
 import math
-from collections import Counter
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Nodes of a worker's trie before it is begun anew; bounds its memory.
+from vigil.llm.common import trim
+
+#: Nodes of the trie that `tokens` keeps before it is begun anew; bounds its memory.
 TRIE_NODES = 600_000
-#: Depth of the trie: the characters of a pre-token behind these are scored in continuation and leave no nodes.
+#: Pre-tokens below which further levels of a block's trie aren't worth their arrays.
+FEW = 100
+#: Bytes of text whose distinct pre-tokens are counted together; a longer document is one block of its own.
+BLOCK_BYTES = 8 << 20
+#: Depth of that trie: the characters of a pre-token behind these are scored in continuation and leave no nodes.
 LONGEST_SHARED = 48
 MARK = "▁"
-WHITE = " \t\n\x0b\x0c\r"
 _UNKNOWN = -25.0
 SCHEMA = "doc_id long, n_pretokens long, n_tokens long, log_score double"
 
@@ -48,6 +57,21 @@ class PrefixTrie:
         self.ends |= {p: -math.log(r + 2) for p, r in ranks.items()}
         self.limit = limit
         self._begin()
+        # the ends as a trie read backwards: the state of an end (0: of none) follows from that of the end without its
+        # first character, and from this character
+        names = sorted(self.ends, key=len)
+        state = {e: i for i, e in enumerate(names, 1)} | {"": 0}
+        self.value = np.array([1.0, *(self.ends[e] for e in names)])
+        self.longest = max(map(len, names), default=1)
+        self.single = np.zeros(sys.maxunicode + 1, np.int64)
+        keys = np.array([state[e[1:]] << 21 | ord(e[0]) for e in names], np.int64)
+        self.inner = np.zeros(len(names) + 1, bool)
+        self.inner[keys >> 21] = True
+        for e in names:
+            if len(e) == 1:
+                self.single[ord(e)] = state[e]
+        by = np.argsort(keys)
+        self.keys, self.after = np.append(keys[by], np.iinfo(np.int64).max), np.append(by + 1, 0)
 
     def _begin(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
@@ -105,10 +129,97 @@ class PrefixTrie:
             self.terminal[pretoken] = out
         return out
 
+    def _level(self, levels: list, d: int) -> None:
+        """Fill in the forward scores and counts of the nodes at depth d, whose parents and characters are known."""
+        up, char, top, n = levels[d]
+        state = self.single[char]
+        _, _, best, count = levels[d - 1]
+        odd = np.flatnonzero(self.value[state] > 0)  # no piece by itself
+        size = 1 + (char[odd] > 0x7F) + (char[odd] > 0x7FF) + (char[odd] > 0xFFFF)
+        top[odd] = best[up[odd]] + _UNKNOWN * size
+        n[odd] = count[up[odd]] + size
+        at = np.flatnonzero(state > 0)
+        state, node = state[at], up[at]
+        for begin in range(d - 1, -1, -1):
+            score = self.value[state]
+            piece = np.flatnonzero(score < 0)
+            i, a = at[piece], node[piece]
+            s, k = score[piece] + levels[begin][2][a], levels[begin][3][a] + 1
+            better = (s > top[i]) | (s == top[i]) & (k <= n[i])
+            top[i[better]], n[i[better]] = s[better], k[better]
+            on = np.flatnonzero(self.inner[state])
+            if not begin or not len(on):
+                return
+            up, char = levels[begin][:2]
+            key = state[on] << 21 | char[node[on]]
+            place = np.searchsorted(self.keys, key)
+            some = self.keys[place] == key
+            on = on[some]
+            at, state, node = at[on], self.after[place[some]], up[node[on]]
+
+    def tokens_of(self, pretokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and scores of the best segmentations of many pre-tokens; the same as `tokens` gives of each."""
+        order = pc.array_sort_indices(pretokens)
+        words = pretokens.take(order)
+        chars = np.frombuffer(b"".join([w.encode("utf-32-le") for w in words.to_pylist()]), np.uint32).astype(np.int64)
+        length = np.asarray(pc.utf8_length(words)).astype(np.int64) + 1  # with the mark
+        begin = np.cumsum(length - 1) - length
+        tokens, scores = np.zeros(len(words), np.int64), np.zeros(len(words))
+        # of each level: its nodes' parents, last characters, forward scores and counts
+        none = np.zeros(1, np.int64)
+        levels: list = [(none, none, np.zeros(1), none)]
+        alive, node, d = np.arange(len(words)), np.zeros(len(words), np.int64), 0
+        while len(alive) >= FEW or d == 0 and len(alive):
+            d += 1
+            char = chars[begin[alive] + d - 1] if d > 1 else np.full(len(alive), ord(MARK), np.int64)
+            new = np.append(True, (node[1:] != node[:-1]) | (char[1:] != char[:-1]))
+            levels.append((node[new], char[new], np.full(int(new.sum()), -np.inf), np.zeros(int(new.sum()), np.int64)))
+            node = np.cumsum(new) - 1
+            self._level(levels, d)
+            if d > self.longest:
+                levels[d - self.longest - 1] = None
+            whole = length[alive] == d
+            scores[alive[whole]], tokens[alive[whole]] = levels[d][2][node[whole]], levels[d][3][node[whole]]
+            alive, node = alive[~whole], node[~whole]
+        for i, x in zip(alive.tolist(), node.tolist(), strict=True):
+            best, count, low = [], [], max(0, d - self.longest)
+            for y in range(d, low - 1, -1):
+                best.insert(0, float(levels[y][2][x]))
+                count.insert(0, int(levels[y][3][x]))
+                x = levels[y][0][x]
+            self._extend((MARK + words[i].as_py())[low:], best, count)
+            scores[i], tokens[i] = best[-1], count[-1]
+        back = np.empty(len(words), np.int64)
+        back[np.asarray(order)] = np.arange(len(words))
+        return tokens[back], scores[back]
+
 
 _TRIES: dict[str, PrefixTrie] = {}
 
 
+def _blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in slices of about BLOCK_BYTES; a longer text is a slice of its own."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_BYTES, side="right")))
+        yield texts[i:j]
+        i = j
+
+
+def _count_block(trie: PrefixTrie, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens, tokens and score of each text; the trie is asked once for each distinct pre-token of them all."""
+    words = pc.ascii_split_whitespace(texts)  # also gives an empty word beside white space at an end
+    ids = words.flatten().dictionary_encode()
+    n, s = trie.tokens_of(ids.dictionary)
+    some = np.asarray(pc.binary_length(ids.dictionary)) > 0
+    at = np.asarray(ids.indices)
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(words.offsets)))
+    # added up in text order, whatever the block, so a text's score is the same beside any others
+    a, b, c = (np.bincount(doc, (v * some).astype(np.float64)[at], len(texts)) for v in (some, n, s))
+    return a.astype(np.int64), b.astype(np.int64), c
+
+
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens and the log score of each document; vocabulary: a sentencepiece model file."""
 
@@ -116,22 +227,11 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
         if vocabulary not in _TRIES:
             _TRIES[vocabulary] = PrefixTrie(load_ranks(vocabulary))
         trie = _TRIES[vocabulary]
-        split = str.maketrans(dict.fromkeys(WHITE, " "))
         for b in batches:
-            rows = []
-            for text in b.column(1):
-                words = (text.as_py() or "").translate(split).split(" ")
-                n = n_words = 0
-                score = 0.0
-                for w, c in Counter(words).items():
-                    if w:
-                        t, s = trie.tokens(w)
-                        n_words += c
-                        n += c * t
-                        score += c * s
-                rows.append((n_words, n, score))
-            a, n, s = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64())], ["doc_id", "n_pretokens", "n_tokens", "log_score"])
+            made = [_count_block(trie, texts) for texts in _blocks(b.column(1).fill_null(""))]
+            cols = [np.concatenate(c) for c in zip(*made, strict=True)] or [[], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True))], ["doc_id", "n_pretokens", "n_tokens", "log_score"])
+        trim()
 
     from pyspark.sql import functions as F
 
